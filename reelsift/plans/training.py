@@ -121,7 +121,7 @@ QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "
 
 SQL = {
     "p4_found": _P4_SQL + 'SELECT DISTINCT tbl, field, "primary", target FROM orphans',
-    "p4_report": _P4_SQL + "SELECT tbl, field, strftime("at" AT TIME ZONE 'UTC', '%Y-%m') AS month, status, count(*) AS n FROM orphans GROUP BY ALL",
+    "p4_report": _P4_SQL + """SELECT tbl, field, strftime("at" AT TIME ZONE 'UTC', '%Y-%m') AS month, status, count(*) AS n FROM orphans GROUP BY ALL""",
     "p5_found": f"SELECT device, first_primary, last_primary, n_items FROM ({_P5_SQL})",
     "p5_sessions": _P5_SQL,
 }
