@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelsift.shared import materialize
+
 HOT_BUCKET = 256
 
 
@@ -34,7 +36,7 @@ def band_layout(bits: int, bands: int) -> list[tuple[int, int]]:
     return out
 
 
-def band(value: Column, shift: int, width: int) -> Column:
+def band(value: str | Column, shift: int, width: int) -> Column:
     """The bits [shift, shift + width) of a BIGINT."""
     return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
@@ -50,55 +52,31 @@ def hamming_pairs(nodes: DataFrame, block: list[str], bits: str, node: str, thre
     """Pairs (a, b, distance) of ``node`` values a < b within ``block`` whose BIGINT ``bits`` differ in at most ``threshold`` bits.
 
     Each pair comes once.  ``nodes`` must be unique in ``node``; nulls in a block column are equal to each other.
-    A null in ``bits`` matches nothing.  ``hot`` is the size from which a bucket is cut again;
-    the result doesn't depend on it.  Exact copies should be reduced to one node first: this operator
-    emits every matching pair of nodes.
+    A null in ``bits`` matches nothing.  ``hot`` is the size from which a bucket is cut again; the result doesn't
+    depend on it.  Exact copies should be reduced to one node first: every matching pair of nodes comes out.
     """
     n = threshold + 1
-    base = nodes.where(F.col(bits).isNotNull()).select(
-        F.col(node).alias("n"), F.col(bits).alias("h"), F.xxhash64(*block, *[F.col(c).isNull() for c in block]).alias("g"), F.xxhash64(F.lit(17), *block, *[F.col(c).isNull() for c in block]).alias("g2")
-    )
-    # The remaining bits: 64 less the narrowest band of each level, so that one layout serves every band.
-    levels, left = [], 64
-    for _ in range(3):
-        layout = band_layout(left, n)
-        levels.append(layout)
-        left -= min(w for _, w in layout)
-
-    def cut(df: DataFrame, level: int) -> DataFrame:
-        layout = levels[level]
-        items = [F.struct(F.lit(i).alias("i"), band("rest", s, w).alias("v"), without_band(F.col("rest"), s, w).alias("r")) for i, (s, w) in enumerate(layout)]
-        return (
-            df.withColumn("x", F.explode(F.array(*items)))
-            .withColumns({"key": F.xxhash64("key", "x.i", "x.v"), "path": F.concat("path", F.array("x.i")), "rest": F.col("x.r")})
-            .drop("x")
-        )
-
-    cold = None
-    rows = cut(base.withColumns({"rest": F.col("h"), "key": F.xxhash64("g", "g2"), "path": F.array().cast("array<int>")}), 0)
-    for level in (1, 2):
-        crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key", F.lit(True).alias("crowded"))
-        marked = rows.join(crowded, "key", "left")
-        calm = marked.where(F.col("crowded").isNull()).drop("crowded")
-        cold = calm if cold is None else cold.unionByName(calm)
-        rows = cut(marked.where(F.col("crowded")).drop("crowded"), level)
-    rows = cold.unionByName(rows)
-
-    # A pair is kept only where it first agrees: at each level on the path, no earlier band is equal.
-    def first(x: Column) -> Column:
-        ok = F.lit(True)
-        for level, layout in enumerate(levels):
-            step = F.get("path", F.lit(level))
-            for i, (s, w) in enumerate(layout):
-                ok = ok & (step.isNull() | (step <= i) | (band(F.col(f"x{level}"), s, w) != 0))
-        return ok
-
-    a = rows.select("key", "path", "g", "g2", F.col("n").alias("a"), F.col("h").alias("ha"))
-    b = rows.select("key", "g", "g2", F.col("n").alias("b"), F.col("h").alias("hb"))
-    pairs = a.join(b, ["key", "g", "g2"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= threshold))
-    pairs = pairs.withColumn("x0", F.col("ha").bitwiseXOR(F.col("hb")))
-    for level in (0, 1):
-        step = F.get("path", F.lit(level))
-        gone = [F.when(step == i, without_band(F.col(f"x{level}"), s, w)) for i, (s, w) in enumerate(levels[level])]
-        pairs = pairs.withColumn(f"x{level + 1}", F.coalesce(*gone, F.lit(0).cast("bigint")))
-    return pairs.where(first(F.col("x0"))).select("a", "b", F.bit_count("x0").alias("distance"))
+    whole = [*block, *[F.col(c).isNull() for c in block]]
+    base = nodes.where(F.col(bits).isNotNull()).select(F.col(node).alias("n"), F.col(bits).alias("h"), F.xxhash64(*whole).alias("g"), F.xxhash64(F.lit(17), *whole).alias("g2"))
+
+    def cut(df: DataFrame, width: int) -> DataFrame:
+        """Each row once per band of the ``width`` bits that are left, with the band added to its key."""
+        items = [F.struct(F.xxhash64("key", F.lit(i), band("rest", s, w)).alias("key"), without_band(F.col("rest"), s, w).alias("rest")) for i, (s, w) in enumerate(band_layout(width, n))]
+        return df.select("n", "h", "g", "g2", F.inline(F.array(*items)))
+
+    rows, width, keyed = cut(base.withColumns({"key": F.xxhash64("g", "g2"), "rest": F.col("h")}), 64), 64, None
+    for _ in range(2):
+        crowded = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key"), "crowded")
+        if crowded.isEmpty():
+            break
+        rows = materialize(rows.join(crowded.withColumn("crowded", F.lit(True)), "key", "left"), "banded")
+        calm = rows.where("crowded IS NULL").drop("crowded")
+        keyed = calm if keyed is None else keyed.unionByName(calm)
+        # What is left of 64 bits less the narrowest band, so that one layout serves the rests of all bands.
+        width -= min(w for _, w in band_layout(width, n))
+        rows = cut(rows.where("crowded").drop("crowded"), width)
+    keyed = rows if keyed is None else keyed.unionByName(rows)
+    a = keyed.select("key", "g", "g2", F.col("n").alias("a"), F.col("h").alias("ha"))
+    b = keyed.select("key", "g", "g2", F.col("n").alias("b"), F.col("h").alias("hb"))
+    distance = hamming(F.col("ha"), F.col("hb"))
+    return a.join(b, ["key", "g", "g2"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
