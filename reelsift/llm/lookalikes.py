@@ -24,33 +24,51 @@ def numbered(nodes: DataFrame, label: str, name: str) -> DataFrame:
     return materialize(plain.repartitionByRange(n, label).sortWithinPartitions(label).withColumn("node", F.monotonically_increasing_id()), name)
 
 
-def _grouped(records: DataFrame, nodes: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(group_key, primary) of the records whose node is linked or holds more than one record."""
-    copies = nodes.where("n_records > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    groups = connected_components(pairs.select("a", "b").unionByName(copies))
-    names = nodes.select(F.col("node").alias("component"), F.col("least").alias("group_key"))
-    labelled = nodes.select("node", *keys).join(groups, "node").join(names, "component")
-    # Null-safe: unknown parts of a key are equal.
-    r, g = records.alias("r"), labelled.alias("g")
-    same = reduce(lambda x, y: x & y, [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
-    return r.join(g, same).select("g.group_key", "r.primary")
+class Graph:
+    """Records reduced to nodes, and the pairs of nodes that match.
 
+    ``nodes`` has (node, least, n_records), ``members`` (node, primary); a node of several records is a match in itself.
+    """
+
+    def __init__(self, nodes: DataFrame, members: DataFrame, pairs: DataFrame):
+        self.nodes, self.members, self.pairs = nodes, members, pairs
+
+    def moved(self, by: int) -> Graph:
+        """The same with other numbers, to stand beside another graph."""
+        shift = lambda df, *cs: df.withColumns({c: F.col(c) + F.lit(by) for c in cs})
+        return Graph(shift(self.nodes, "node"), shift(self.members, "node"), shift(self.pairs, "a", "b"))
+
+    def beside(self, other: Graph) -> Graph:
+        cut = ["node", "least", "n_records"]
+        return Graph(self.nodes.select(cut).unionByName(other.nodes.select(cut)), self.members.unionByName(other.members), self.pairs.unionByName(other.pairs))
+
+    def groups(self) -> DataFrame:
+        """(group_key, primary) of all records with a match; group_key is the least primary linked to it."""
+        copies = self.nodes.where("n_records > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+        of = connected_components(self.pairs.unionByName(copies))
+        names = self.nodes.select(F.col("node").alias("component"), F.col("least").alias("group_key"))
+        return self.members.join(of.join(names, "component"), "node").select("group_key", "primary")
 
-def still_groups(stills: DataFrame, threshold: int = 6, hot: int = HOT_BUCKET) -> DataFrame:
-    """(group_key, primary) of stills that look like another one.
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def still_graph(stills: DataFrame, threshold: int = 6, hot: int = HOT_BUCKET) -> Graph:
+    """Stills that look alike.
 
     ``stills`` (primary, root, device, subtype, phash) has one row per primary.  Two match if root, device (trimmed,
     all unknown ones equal) and subtype are equal and their hashes differ in at most ``threshold`` bits.  A null or
     malformed hash matches nothing.  Copies of a hash are one node, so they are never paired with each other.
-    group_key is the least primary among all records linked directly or indirectly.
     """
     keys = ["root", "device", "subtype", "bits"]
     records = materialize(
         stills.select("primary", "root", known("device").alias("device"), "subtype", hash_bits(F.col("phash")).alias("bits")).where("bits IS NOT NULL AND primary IS NOT NULL"), "stills"
     )
     nodes = numbered(records.groupBy(*keys).agg(F.min("primary").alias("least"), F.count(F.lit(1)).alias("n_records")), "least", "still-nodes")
-    pairs = hamming_pairs(nodes, keys[:3], "bits", "node", threshold, hot)
-    return _grouped(records, nodes, pairs, keys)
+    pairs = hamming_pairs(nodes, keys[:3], "bits", "node", threshold, hot).select("a", "b")
+    members = records.join(nodes, _null_safe(records, nodes, keys)).select("node", "primary")
+    return Graph(nodes, members, pairs)
 
 
 def _near(lo: Column, hi: Column, lo2: Column, hi2: Column, share: float) -> Column:
@@ -58,8 +76,8 @@ def _near(lo: Column, hi: Column, lo2: Column, hi2: Column, share: float) -> Col
     return ((lo - hi2) <= share * lo) & ((lo2 - hi) <= share * lo2)
 
 
-def video_groups(videos: DataFrame, threshold: int = 6, share: float = 0.2, hot: int = HOT_BUCKET) -> DataFrame:
-    """(group_key, primary) of videos that look like another one.
+def video_graph(videos: DataFrame, threshold: int = 6, share: float = 0.2, hot: int = HOT_BUCKET) -> Graph:
+    """Videos that look alike.
 
     ``videos`` (primary, root, duration, phashes, error) has one row per primary.  Two match if root is equal, both have
     as many frame hashes (at least one), error is null, durations differ by at most ``share`` of the longer, and
@@ -91,10 +109,30 @@ def video_groups(videos: DataFrame, threshold: int = 6, share: float = 0.2, hot:
     base = nodes.select("node", "bits", "lo", "hi", F.size("bits").alias("L"), F.xxhash64("root", F.col("root").isNull(), F.size("bits")).alias("g"), F.xxhash64(F.lit(17), "root", F.col("root").isNull()).alias("g2"))
     layout = band_layout(64, threshold + 1)
     cuts = F.flatten(F.transform("bits", lambda h, j: F.array(*[F.struct(j.alias("j"), F.xxhash64("g", "g2", j, F.lit(i), band(h, s, w)).alias("key")) for i, (s, w) in enumerate(layout)])))
-    rows = base.withColumn("x", F.explode(cuts)).select("node", "bits", "lo", "hi", "L", "g", "g2", "x.j", "x.key")
-    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key", F.lit(True).alias("crowded"))
-    marked = rows.join(crowded, "key", "left")
-    # Of the other frames one differs in at most threshold * L / (L - 1) bits: for 2, 3 and more frames; for one the bucket stays.
+    keyed = base.withColumn("x", F.explode(cuts)).select("node", "bits", "lo", "hi", "L", "g", "g2", "x.j", "x.key")
+    crowded = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key"), "crowded")
+    if not crowded.isEmpty():
+        keyed = _cut_again(materialize(keyed.join(crowded.withColumn("crowded", F.lit(True)), "key", "left"), "frames"), threshold)
+    a = keyed.select("key", "g", "g2", F.col("node").alias("a"), F.col("bits").alias("ba"), F.col("lo").alias("la"), F.col("hi").alias("ua"))
+    b = keyed.select("key", "g", "g2", F.col("node").alias("b"), F.col("bits").alias("bb"), F.col("lo").alias("lb"), F.col("hi").alias("ub"))
+    total = F.aggregate(F.zip_with("ba", "bb", hamming), F.lit(0), lambda s, x: s + x)
+    pairs = (
+        a.join(b, ["key", "g", "g2"])
+        .where((F.col("a") < F.col("b")) & _near(F.col("la"), F.col("ua"), F.col("lb"), F.col("ub"), share) & (total <= threshold * F.size("ba")))
+        .select("a", "b")
+        .distinct()
+    )
+    of_length = lengths.join(nodes, _null_safe(lengths, nodes, ["root", "bits", "run"])).select("node", lengths["root"], lengths["bits"], lengths["duration"])
+    members = records.join(of_length, _null_safe(records, of_length, ["root", "bits", "duration"])).select("node", "primary")
+    return Graph(nodes, members, pairs)
+
+
+def _cut_again(marked: DataFrame, threshold: int) -> DataFrame:
+    """Rows of crowded buckets given the bands of each other frame, too.
+
+    Of the other frames one differs in at most threshold * L / (L - 1) bits: for 2, 3 and more frames; with one frame the
+    bucket stays.
+    """
     cuts_by_length = [band_layout(64, threshold * n // (n - 1) + 1) for n in (2, 3, 4)]
 
     def again(h: Column, k: Column, bands: list[tuple[int, int]]) -> Column:
@@ -106,20 +144,13 @@ def video_groups(videos: DataFrame, threshold: int = 6, share: float = 0.2, hot:
 
     hot_rows = marked.where(F.col("crowded") & (F.col("L") > 1)).withColumn("key", F.explode(F.flatten(F.transform("bits", finer))))
     cold = marked.where(F.col("crowded").isNull() | (F.col("L") == 1))
-    keyed = cold.drop("crowded").unionByName(hot_rows.drop("crowded"))
-    a = keyed.select("key", "g", "g2", F.col("node").alias("a"), F.col("bits").alias("ba"), F.col("lo").alias("la"), F.col("hi").alias("ua"))
-    b = keyed.select("key", "g", "g2", F.col("node").alias("b"), F.col("bits").alias("bb"), F.col("lo").alias("lb"), F.col("hi").alias("ub"))
-    total = F.aggregate(F.zip_with("ba", "bb", hamming), F.lit(0), lambda s, x: s + x)
-    pairs = (
-        a.join(b, ["key", "g", "g2"])
-        .where((F.col("a") < F.col("b")) & _near(F.col("la"), F.col("ua"), F.col("lb"), F.col("ub"), share) & (total <= threshold * F.size("ba")))
-        .select("a", "b")
-        .distinct()
-    )
-    copies = nodes.where("n_records > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    groups = connected_components(pairs.unionByName(copies))
-    names = nodes.select(F.col("node").alias("component"), F.col("least").alias("group_key"))
-    labelled = nodes.select("node", "root", "bits", "run").join(groups, "node").join(names, "component")
-    of_length = lengths.alias("l").join(labelled.alias("g"), F.col("l.root").eqNullSafe(F.col("g.root")) & (F.col("l.bits") == F.col("g.bits")) & (F.col("l.run") == F.col("g.run"))).select("l.root", "l.bits", "l.duration", "g.group_key")
-    r, o = records.alias("r"), of_length.alias("o")
-    return r.join(o, F.col("r.root").eqNullSafe(F.col("o.root")) & (F.col("r.bits") == F.col("o.bits")) & (F.col("r.duration") == F.col("o.duration"))).select("o.group_key", "r.primary")
+    return cold.drop("crowded").unionByName(hot_rows.drop("crowded"))
+
+
+def lookalike_groups(stills: DataFrame, videos: DataFrame, threshold: int = 6, share: float = 0.2) -> DataFrame:
+    """(group_key, primary) of stills and of videos that look like another one, consolidated in one run.
+
+    One row per record with a match, see :func:`still_graph` and :func:`video_graph`; empty tables give no rows.
+    """
+    # Numbers of nodes stay far below 2 ** 61.
+    return still_graph(stills, threshold).beside(video_graph(videos, threshold, share).moved(1 << 61)).groups()

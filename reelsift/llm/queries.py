@@ -23,8 +23,7 @@ def _videos(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Groups of look-alike stills and of look-alike videos."""
-    stills = lookalikes.still_groups(_stills(spark, d, ["root", "device", "subtype", "phash"]))
-    return stills.unionByName(lookalikes.video_groups(_videos(spark, d, ["root", "duration", "phashes", "error"])))
+    return lookalikes.lookalike_groups(_stills(spark, d, ["root", "device", "subtype", "phash"]), _videos(spark, d, ["root", "duration", "phashes", "error"]))
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
