@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.config import CONFIG, Config
-from reelsift.operators.flags import listed
-from reelsift.operators.similarity import hamming, hamming_pairs
+from reelsift.operators.similarity import band, band_layout, hamming, hamming_pairs
 from reelsift.shared import materialize, release
 
 
@@ -142,4 +143,27 @@ def relative_blink(faces: DataFrame, group: list[str], threshold: float = CONFIG
     return scored, scored.groupBy("photo").agg(closed.cast("int").alias("eye_rel_closed_n"))
 
 
-__all__ = ["cluster_spread", "cross_similar", "keeper", "label_clusters", "listed", "photo_edges", "propagate_labels", "relative_blink", "same_person_pairs", "similar_lists"]
+
+def video_edges(videos: DataFrame, library: list[str], cfg: Config = CONFIG, share: float = 0.2) -> DataFrame:
+    """(a, b) of videos that are near duplicates, between representatives of equal ones.
+
+    ``videos`` has node, bits (ARRAY<BIGINT>) and duration.  Two match if both have as many frame hashes, durations differ by at
+    most ``share`` of the longer and the mean distance frame by frame is at most ``dup_bits``.  One frame at least is then
+    no further apart than that, so pairs agree in a band of one frame and lie in the same or neighbouring geometric
+    class of durations.
+    """
+    ok = videos.where((F.size("bits") > 0) & ~F.exists("bits", lambda x: x.isNull()) & (F.col("duration") > 0) & (F.col("duration") < float("inf")))
+    same = [*library, "bits", "duration"]
+    reps = materialize(ok.withColumn("rep", F.min("node").over(Window.partitionBy(*same))).select("node", "rep", *same), "video-reps")
+    equal = reps.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    layout = band_layout(64, cfg.dup_bits + 1)
+    block = F.struct(*library, F.size("bits").alias("n"))
+    # A little wider than the tolerance, so that rounding loses no pair at its edge.
+    slot = F.floor(F.log(F.col("duration")) / (-math.log(1 - share) * 1.001))
+    bands = F.flatten(F.transform("bits", lambda h, j: F.array(*[F.xxhash64(j, F.lit(i), band(h, s, w)) for i, (s, w) in enumerate(layout)])))
+    base = reps.where("node = rep").select("node", "bits", "duration", block.alias("block"), slot.alias("slot"), F.explode(bands).alias("key"))
+    a = base.select("block", "key", "slot", F.col("node").alias("a"), F.col("bits").alias("ba"), F.col("duration").alias("da"))
+    b = base.select("block", "key", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("node").alias("b"), F.col("bits").alias("bb"), F.col("duration").alias("db"))
+    total = F.aggregate(F.zip_with("ba", "bb", hamming), F.lit(0), lambda s, x: s + x)
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= share * F.greatest("da", "db")) & (total <= cfg.dup_bits * F.size("ba"))
+    return equal.unionByName(a.join(b, ["block", "key", "slot"]).where(near).select("a", "b").distinct())
