@@ -186,9 +186,9 @@ def source_choice(primary: Column, companions: Column) -> Column:
     return F.coalesce(F.get(F.filter(companions, is_proxy), F.lit(0)), primary)
 
 
-def frame_times(duration: Column, n: int = 6) -> Column:
+def frame_times(duration: Column, n: int = 6, digits: int = 2) -> Column:
     """Mid-interval sample times."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(duration * (i + 0.5) / float(n), 2))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(duration * (i + 0.5) / float(n), digits))
 
 
 def human_size(n: Column) -> Column:

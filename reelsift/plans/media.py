@@ -91,7 +91,7 @@ s3 AS (SELECT *, sum(far) OVER (PARTITION BY root ORDER BY t NULLS LAST, seq, p
 s4 AS (SELECT *, max(e) OVER (PARTITION BY root, seg ORDER BY t NULLS LAST, seq, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s3),
 s5 AS (SELECT *, CASE WHEN reach IS NULL THEN far WHEN t - reach > 600 THEN 1 ELSE 0 END AS new FROM s4),
 s6 AS (SELECT *, 1 + sum(new) OVER (PARTITION BY root ORDER BY t NULLS LAST, seq, p ROWS UNBOUNDED PRECEDING) AS n FROM s5),
-scened AS (SELECT *, CASE WHEN t IS NOT NULL THEN 'S' || lpad(n::BIGINT::VARCHAR, greatest(3, length(n::BIGINT::VARCHAR)), '0') END AS scene FROM s6)
+scened AS (SELECT *, CASE WHEN t IS NOT NULL THEN 'S' || lpad(n::BIGINT::VARCHAR, greatest(3, length(n::BIGINT::VARCHAR))::INT, '0') END AS scene FROM s6)
 """
 
 
@@ -116,7 +116,7 @@ def carry_forward_place(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ITEMS} SELECT root, "primary", CASE WHEN kind = 'video' THEN 'V' ELSE 'P' END || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR)), '0') AS id FROM (
+    f"""WITH {_ITEMS} SELECT root, "primary", CASE WHEN kind = 'video' THEN 'V' ELSE 'P' END || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') AS id FROM (
   SELECT root, "primary", kind, row_number() OVER (PARTITION BY root, coalesce(kind = 'video', false) ORDER BY "time" NULLS LAST, coalesce(seq, 0), "primary") AS n FROM items)"""
 )
 def per_kind_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +126,7 @@ def per_kind_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_STILLS}, x AS (SELECT root, scene, "primary", row_number() OVER (PARTITION BY root, scene ORDER BY "time" NULLS LAST, "primary") - 1 AS n FROM stills WHERE scene IS NOT NULL)
-SELECT root, "primary", scene || '_' || lpad((n // 9 + 1)::VARCHAR, greatest(2, length((n // 9 + 1)::VARCHAR)), '0') AS sheet, (n % 9 + 1)::INT AS sheet_pos FROM x"""
+SELECT root, "primary", scene || '_' || lpad((n // 9 + 1)::VARCHAR, greatest(2, length((n // 9 + 1)::VARCHAR))::INT, '0') AS sheet, (n % 9 + 1)::INT AS sheet_pos FROM x"""
 )
 def sheet_pages(spark: SparkSession, d: str) -> DataFrame:
     """Contact sheets of nine per scene."""
@@ -281,7 +281,7 @@ reach AS (SELECT DISTINCT a AS p, a AS q FROM edges UNION SELECT r.p, e.b FROM r
 comp AS (SELECT p, min(q) AS label FROM reach GROUP BY p),
 lab AS (SELECT label, root, dk, subtype, count(*) AS dup_size FROM comp JOIN ph ON p = "primary" GROUP BY ALL),
 named AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY dk, subtype, label) AS k FROM lab),
-clustered AS (SELECT ph.*, 'D' || lpad(k::VARCHAR, greatest(3, length(k::VARCHAR)), '0') AS grp, n.dup_size AS size FROM comp JOIN ph ON p = ph."primary" JOIN named n USING (label)),
+clustered AS (SELECT ph.*, 'D' || lpad(k::VARCHAR, greatest(3, length(k::VARCHAR))::INT, '0') AS grp, n.dup_size AS size FROM comp JOIN ph ON p = ph."primary" JOIN named n USING (label)),
 kept AS (SELECT root, grp, "primary" AS keep FROM (SELECT root, grp, "primary", row_number() OVER (PARTITION BY root, grp ORDER BY coalesce(list_has_any(flags, ['R1', 'R3-high', 'R3-low']), false),
   coalesce(subject_open_n, 0) DESC, coalesce(eyes_closed_n, 0), coalesce({_OKNUM.format(c='sharp_p90')}, 0) DESC, "time" NULLS LAST, "primary") AS k FROM clustered) WHERE k = 1)
 """
@@ -320,7 +320,7 @@ reach AS (SELECT DISTINCT a AS p, a AS q FROM edges UNION SELECT r.p, e.b FROM r
 comp AS (SELECT p, min(q) AS label FROM reach GROUP BY p),
 lab AS (SELECT label, root, count(*) AS dup_size FROM comp JOIN vh ON p = "primary" GROUP BY ALL),
 named AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY label) AS k FROM lab),
-clustered AS (SELECT vh.*, 'VD' || lpad(k::VARCHAR, greatest(3, length(k::VARCHAR)), '0') AS grp, n.dup_size AS size FROM comp JOIN vh ON p = vh."primary" JOIN named n USING (label)),
+clustered AS (SELECT vh.*, 'VD' || lpad(k::VARCHAR, greatest(3, length(k::VARCHAR))::INT, '0') AS grp, n.dup_size AS size FROM comp JOIN vh ON p = vh."primary" JOIN named n USING (label)),
 kept AS (SELECT root, grp, "primary" AS keep FROM (SELECT root, grp, "primary", row_number() OVER (PARTITION BY root, grp ORDER BY coalesce(list_has_any(fl, ['V1', 'V3', 'V4-high', 'V4-low', 'V5']), false),
   coalesce(sharp, 0) DESC, coalesce(duration, 0) DESC, "primary") AS k FROM clustered) WHERE k = 1)
 """
@@ -450,11 +450,11 @@ def missing_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_ITEMS} SELECT "primary", coalesce(list_filter(companions, lambda x: {_ext('x')} = '.lrv' OR upper({_NAME.format(p='x')}) LIKE 'LRV\\_%' ESCAPE '\\')[1], "primary") AS source,
-  array_to_string(list_transform(range(6), lambda i: (round(duration * (i + 0.5) / 6.0, 2))::DECIMAL(18, 2)::VARCHAR), ' ') AS frames_s FROM items WHERE kind = 'video' AND duration > 0""")
+  array_to_string(list_transform(range(6), lambda i: (round(duration * (i + 0.5) / 6.0, 4))::DECIMAL(18, 4)::VARCHAR), ' ') AS frames_s FROM items WHERE kind = 'video' AND duration > 0""")
 def video_sources(spark: SparkSession, d: str) -> DataFrame:
     """What each video is analysed from, and at which seconds."""
     v = items(spark, d, "kind", "companions", "duration").where("kind = 'video' AND duration > 0")
-    times = F.array_join(F.transform(m.frame_times(F.col("duration")), lambda x: x.cast("decimal(18,2)").cast("string")), " ")
+    times = F.array_join(F.transform(m.frame_times(F.col("duration"), digits=4), lambda x: x.cast("decimal(18,4)").cast("string")), " ")
     return v.select("primary", m.source_choice(F.col("primary"), F.col("companions")).alias("source"), times.alias("frames_s"))
 
 
