@@ -46,20 +46,21 @@ def orphan_references(
     * deleted: some had started, all of those had ended by t,
     * undated: the reference has no time, so that it can't be judged (returned as an orphan).
 
-    Null and empty keys are no references.  Other columns of ``references`` pass through; repeated rows stay.
+    Null and empty keys are no references.  Other columns of ``references`` pass through (one
+    named status is replaced); repeated rows stay.
     """
     on = [*([kind] if kind else []), "__key"]
     refs = references.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("__key", F.col(key))
     there = parents.select(*([kind] if kind else []), F.col(parent_key).alias("__key"), F.col(start).alias("__s"), F.col(end).alias("__e")).where(F.col("__key").isNotNull())
-    spans = validity_intervals(there, on, "__s", "__e")
+    spans = validity_intervals(there, on, "__s", "__e").withColumnRenamed("spans", "__spans")
     t = F.col(at)
-    alive: Column = F.exists("spans", lambda x: (x["__start"] <= t) & (x["__end"].isNull() | (x["__end"] > t)))
-    started: Column = F.exists("spans", lambda x: x["__start"] <= t)
+    alive: Column = F.exists("__spans", lambda x: (x["__start"] <= t) & (x["__end"].isNull() | (x["__end"] > t)))
+    started: Column = F.exists("__spans", lambda x: x["__start"] <= t)
     return (
         refs.join(spans.hint("merge"), on, "left")
-        .where(F.col("spans").isNull() | t.isNull() | ~alive)
-        .withColumn("status", F.when(F.col("spans").isNull(), "missing").when(t.isNull(), "undated").when(started, "deleted").otherwise("late"))
-        .drop("spans", "__key")
+        .where(F.col("__spans").isNull() | t.isNull() | ~alive)
+        .withColumn("status", F.when(F.col("__spans").isNull(), "missing").when(t.isNull(), "undated").when(started, "deleted").otherwise("late"))
+        .drop("__spans", "__key")
     )
 
 
