@@ -154,7 +154,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres on a sphere of 12,742,000 m across."""
     a1, o1, a2, o2 = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), 2)
-    return F.lit(12742000.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(12742000.0) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def color_mode(transfer: Column, primaries: Column) -> Column:

@@ -82,7 +82,7 @@ def _scened(spark: SparkSession, d: str) -> DataFrame:
     return assign_scenes(items(spark, d, "kind", "seq", "time", "time_end", "gps").drop("scene"), ["root"])
 
 
-_FAR = "12742000.0 * asin(sqrt(least(pow(sin((radians(a) - radians(pa)) / 2), 2) + cos(radians(pa)) * cos(radians(a)) * pow(sin((radians(o) - radians(po)) / 2), 2), 1.0)))"
+_FAR = "12742000.0 * asin(sqrt(pow(sin((radians(a) - radians(pa)) / 2), 2) + cos(radians(pa)) * cos(radians(a)) * pow(sin((radians(o) - radians(po)) / 2), 2)))"
 _SCENES = f"""WITH {_ITEMS},
 s0 AS (SELECT root, "primary" AS p, kind, coalesce(seq, 0) AS seq, "time" AS t, coalesce(time_end, "time") AS e, gps, gps.lat AS a, gps.lon AS o FROM items),
 s1 AS (SELECT *, last_value(gps IGNORE NULLS) OVER (PARTITION BY root ORDER BY t NULLS LAST, seq, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lg FROM s0),
