@@ -104,7 +104,9 @@ def mix(
     room = F.floor((F.col("demand") - start - F.col("n_tokens") + 1e-6) / F.col("tokens")) + 1
     copies = F.least(F.col("max_repeat").cast("bigint"), room)
     y = F.least(F.col("c") / F.col("demand"), F.lit(1.0))
-    position = 2 * y / ((1 + F.col("slope")) + F.sqrt(F.greatest((1 + F.col("slope")) * (1 + F.col("slope")) - 4 * F.col("slope") * y, F.lit(0.0))))
+    rise = 1 + F.col("slope")
+    # The root of slope * u ** 2 - rise * u + y = 0 in the form that is stable for small slopes; 0 / 0 stands for u = 0.
+    position = F.try_divide(2 * y, rise + F.sqrt(F.greatest(rise * rise - 4 * F.col("slope") * y, F.lit(0.0))))
     mixture = (
         placed.withColumns({"start": start, "copies": copies})
         .where("demand > 0 AND copies >= 1")
