@@ -192,7 +192,10 @@ def frame_times(duration: Column, n: int = 6, digits: int = 2) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / float(1 << 20))).when(F.coalesce(n, F.lit(0)) == 0, "0 B").otherwise(F.format_string("%.1f KB", n / 1024.0))
+    """A size for people; ties round to even."""
+    tenth = lambda x: F.rint(x * 10) / 10
+    big, small = tenth(n / float(1 << 20)), tenth(n / 1024.0)
+    return F.when(n >= 1 << 20, F.format_string("%.1f MB", big)).when(F.coalesce(n, F.lit(0)) == 0, "0 B").otherwise(F.format_string("%.1f KB", small))
 
 
 def array_median(values: Column, digits: int = 1) -> Column:
