@@ -81,6 +81,19 @@ def edits(a: list[str], b: list[str], most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def edits_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of the rows of two arrays of word codes (pairs x words), all pairs at once."""
+    n, width = a.shape
+    row = np.broadcast_to(np.arange(width + 1, dtype=np.int8), (n, width + 1)).copy()
+    for i in range(width):
+        last, row[:, 0] = row[:, 0].copy(), i + 1
+        differ = (a[:, i, None] != b).astype(np.int8)
+        for j in range(width):
+            cost = np.minimum(np.minimum(row[:, j + 1], row[:, j]) + np.int8(1), last + differ[:, j])
+            last, row[:, j + 1] = row[:, j + 1].copy(), cost
+    return row[:, width]
+
+
 def repetitions_for(width: int, most_edits: int, sample: int, recall: float) -> int:
     """Repetitions after which a window at most ``most_edits`` away is found with probability ``recall``.
 
@@ -114,6 +127,8 @@ def find_leaks(
     them, edits: the least distance.  Texts that are null or have fewer words than the window match nothing; repeated
     documents or items give one row per pair of ids; rows with a null id are left out.
 
+    Windows are compared by 64-bit codes of their words, all candidates of a slice at once.
+
     Items are sent to the workers in blocks of at most ``block_chars`` characters each, one pass over the documents per block,
     so that what is sent never grows with the items.  Documents are never shuffled; whole texts are read.
     """
@@ -137,16 +152,16 @@ def find_leaks(
         owner = np.repeat(np.arange(len(rows)), [len(w) - window + 1 for _, w in rows]).astype(np.int64)
         sigs = walk_signatures(codes, starts, window, reps, sample, seed) if len(starts) else np.empty((reps, 0), np.uint64)
         order = [np.argsort(s, kind="stable") for s in sigs]
-        sent = spark.sparkContext.broadcast((rows, owner, starts - firsts[owner] if len(rows) else starts, [s[o] for s, o in zip(sigs, order)], order))
+        sent = spark.sparkContext.broadcast(([i for i, _ in rows], owner, (codes, starts), [s[o] for s, o in zip(sigs, order)], order))
 
         def match(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            rows, owner, offset, sorted_sigs, order = sent.value
+            rows, owner, items, sorted_sigs, order = sent.value
             known = _Codes()
             for pdf in batches:
                 # A few hundred documents at a time, fewer if they are long, bound the memory.
                 sizes = pdf["t"].str.len().to_numpy()
                 for chunk in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(sizes) // 400_000)) + 1):
-                    found = _match_chunk(pdf["d"].iloc[chunk].tolist(), pdf["t"].iloc[chunk].tolist(), known, rows, owner, offset, sorted_sigs, order, window, reps, sample, seed, most_edits)
+                    found = _match_chunk(pdf["d"].iloc[chunk].tolist(), pdf["t"].iloc[chunk].tolist(), known, rows, owner, items, sorted_sigs, order, window, reps, sample, seed, most_edits)
                     if found:
                         yield pd.DataFrame(found, columns=["d", "i", "n_windows", "longest", "edits"])
 
@@ -155,7 +170,7 @@ def find_leaks(
     return out.groupBy(F.col("d").alias(doc_id), F.col("i").alias(item_id)).agg(F.max("n_windows").alias("n_windows"), F.max("longest").alias("longest"), F.min("edits").alias("edits"))
 
 
-def _match_chunk(ids, texts, known, rows, owner, offset, sorted_sigs, order, window, reps, sample, seed, most_edits) -> list[tuple]:
+def _match_chunk(ids, texts, known, rows, owner, items, sorted_sigs, order, window, reps, sample, seed, most_edits) -> list[tuple]:
     words = [words_of(t) for t in texts]
     counts = np.array([max(0, len(w) - window + 1) for w in words], np.int64)
     if not len(owner) or not counts.sum():
@@ -165,28 +180,34 @@ def _match_chunk(ids, texts, known, rows, owner, offset, sorted_sigs, order, win
     doc = np.repeat(np.arange(len(words)), counts)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     sigs = walk_signatures(codes, firsts[doc] + at, window, reps, sample, seed)
-    pairs: dict[tuple[int, int], dict[int, int]] = {}
+    item_codes, item_starts = items
+    step = np.arange(window)
+    best: dict[tuple[int, int], dict[int, int]] = {}
+    seen = np.empty(0, np.int64)
     for sig, table, place in zip(sigs, sorted_sigs, order):
         lo = np.searchsorted(table, sig, "left")
         hit = np.flatnonzero((lo < len(table)) & (table[np.minimum(lo, len(table) - 1)] == sig))
-        hi = np.searchsorted(table, sig[hit], "right")
-        for h, a, b in zip(hit.tolist(), lo[hit].tolist(), hi.tolist()):
-            d, p = int(doc[h]), int(at[h])
-            mine = words[d][p : p + window]
-            for w in place[a:b].tolist():
-                o, q = int(owner[w]), int(offset[w])
-                seen = pairs.setdefault((d, o), {})
-                if seen.get(p) == 0:
-                    continue
-                e = edits(mine, rows[o][1][q : q + window], most_edits)
-                if e <= most_edits and e < seen.get(p, most_edits + 1):
-                    seen[p] = e
+        n = np.searchsorted(table, sig[hit], "right") - lo[hit]
+        # Slices of candidates, each pair of windows compared once over all repetitions.
+        for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(n) // 200_000)) + 1):
+            h, k = hit[part], n[part]
+            mine = np.repeat(h, k)
+            theirs = place[np.repeat(lo[h], k) + np.arange(len(mine)) - np.repeat(np.cumsum(k) - k, k)]
+            if reps > 1:
+                key = mine * len(owner) + theirs
+                fresh = ~np.isin(key, seen)
+                mine, theirs, seen = mine[fresh], theirs[fresh], np.union1d(seen, key[fresh])
+            a, b = codes[(firsts[doc] + at)[mine][:, None] + step], item_codes[item_starts[theirs][:, None] + step]
+            e = edits_of_pairs(a, b) if most_edits else np.where((a == b).all(1), 0, 1)
+            ok = np.flatnonzero(e <= most_edits)
+            for d, o, p, x in zip(doc[mine[ok]].tolist(), owner[theirs[ok]].tolist(), at[mine[ok]].tolist(), e[ok].tolist()):
+                places = best.setdefault((d, o), {})
+                places[p] = min(x, places.get(p, x))
     out = []
-    for (d, o), seen in pairs.items():
-        if seen:
-            places, longest, run = sorted(seen), 0, 0
-            for k, p in enumerate(places):
-                run = run + 1 if k and places[k - 1] == p - 1 else 1
-                longest = max(longest, run)
-            out.append((ids[d], rows[o][0], len(places), longest + window - 1, min(seen.values())))
+    for (d, o), found in best.items():
+        places, longest, run = sorted(found), 0, 0
+        for k, p in enumerate(places):
+            run = run + 1 if k and places[k - 1] == p - 1 else 1
+            longest = max(longest, run)
+        out.append((ids[d], rows[o], len(places), longest + window - 1, min(found.values())))
     return out

@@ -190,6 +190,14 @@ def test_exact_leaks_match_brute_force(spark):
     assert leaks.find_leaks(ddf.limit(0), idf).count() == 0 and leaks.find_leaks(ddf, idf.limit(0)).count() == 0
 
 
+def test_edits_of_pairs_match_the_plain_distance():
+    rnd = random.Random(17)
+    a = [[rnd.randrange(6) for _ in range(12)] for _ in range(300)]
+    b = [list(x) if rnd.random() < 0.3 else x[1:] + [rnd.randrange(6)] if rnd.random() < 0.5 else [rnd.randrange(6) for _ in range(12)] for x in a]
+    got = leaks.edits_of_pairs(np.array(a, np.uint64), np.array(b, np.uint64)).tolist()
+    assert got == [leaks.edits(x, y, 99) for x, y in zip(a, b)]
+
+
 def test_edited_leaks_reach_recall(spark):
     rnd = random.Random(12)
     vocab = [f"w{i}" for i in range(5000)]
@@ -202,7 +210,7 @@ def test_edited_leaks_reach_recall(spark):
             w = w[:at] + ([rnd.choice(vocab)] if k == "s" else [w[at], rnd.choice(vocab)] if k == "r" else []) + w[at + 1 :]
         docs.append((i, " ".join([*(rnd.choice(vocab) for _ in range(8)), *w, *(rnd.choice(vocab) for _ in range(8))])))
     ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.edits for r in leaks.find_leaks(ddf, idf, most_edits=2, sample=3, recall=0.95).collect()}
+    got = {(r.doc_id, r.item_id): r.edits for r in leaks.find_leaks(ddf, idf, most_edits=2, recall=0.95).collect()}
     true = {(d, i) for (d, t), (i, u) in zip(docs, items) if any(leaks.edits(leaks.words_of(t)[p : p + 12], u.split(), 2) <= 2 for p in range(len(t.split()) - 11))}
     assert len(true) > 80 and len(true & set(got)) >= 0.9 * len(true)
     assert all(e <= 2 for e in got.values())
