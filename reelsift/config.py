@@ -27,6 +27,7 @@ VENDOR_KEY = "luna"
 class Config:
     """Thresholds; every one may be changed per call."""
 
+    # The catalogue's defaults, by which its results are defined.
     scene_gap_s: float = 600.0
     scene_gps_m: float = 500.0
     dup_bits: int = 6

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelsift import config as c
 from reelsift.config import CONFIG, Config
 
+# Fixed value: how the vendor's cameras name files.
 VENDOR_NAME = r"(?i)^(IMG|LIV|VID|LRV)_([0-9]{8})_([0-9]{6})_([0-9]+)$"
 
 

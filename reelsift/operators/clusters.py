@@ -33,6 +33,15 @@ def propagate_labels(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
     raise RuntimeError(f"labels still moved after {max_rounds} rounds")
 
 
+def _with_least(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``rep``: the least node of equal keys, nulls equal too.  Reduced before the shuffle, joined back, so a hot key is split."""
+    least = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("node").alias("rep"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(least, cond)
+
+
 def photo_edges(photos: DataFrame, library: list[str], cfg: Config = CONFIG) -> DataFrame:
     """(a, b) of stills that are near duplicates, between representatives of equal records.
 
@@ -41,7 +50,7 @@ def photo_edges(photos: DataFrame, library: list[str], cfg: Config = CONFIG) ->
     than ``burst_gap_s`` apart.  Records with the same hash are linked to the least of them, not pairwise.
     """
     block = [*library, "device_key", "subtype"]
-    reps = photos.where("bits IS NOT NULL").withColumn("rep", F.min("node").over(Window.partitionBy(*block, "bits")))
+    reps = _with_least(photos.where("bits IS NOT NULL"), [*block, "bits"])
     reps = materialize(reps.select("node", "rep", *block, "scene", "time", "bits"), "photo-reps")
     equal = reps.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     close = hamming_pairs(reps.where("node = rep"), block, "bits", "node", cfg.dup_bits).select("a", "b")
@@ -154,7 +163,7 @@ def video_edges(videos: DataFrame, library: list[str], cfg: Config = CONFIG, sha
     """
     ok = videos.where((F.size("bits") > 0) & ~F.exists("bits", lambda x: x.isNull()) & (F.col("duration") > 0) & (F.col("duration") < float("inf")))
     same = [*library, "bits", "duration"]
-    reps = materialize(ok.withColumn("rep", F.min("node").over(Window.partitionBy(*same))).select("node", "rep", *same), "video-reps")
+    reps = materialize(_with_least(ok, same).select("node", "rep", *same), "video-reps")
     equal = reps.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     layout = band_layout(64, cfg.dup_bits + 1)
     block = F.struct(*library, F.size("bits").alias("n"))

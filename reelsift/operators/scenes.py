@@ -9,28 +9,60 @@ from reelsift.config import CONFIG, Config
 from reelsift.functions.media import haversine
 
 
-def assign_scenes(items: DataFrame, library: list[str], cfg: Config = CONFIG, tie: str = "primary") -> DataFrame:
+def assign_scenes(items: DataFrame, library: list[str], cfg: Config = CONFIG, tie: str = "primary", chunk: float = 86400.0) -> DataFrame:
     """``items`` with ``scene``: 'S001' and so on along (time, seq, tie) in each ``library``.
 
     A scene starts more than ``scene_gap_s`` after the latest end of the scene so far, or more than ``scene_gps_m`` from the last
-    known place.  Ends are ``time_end``, or ``time`` where that is null.  Rows with a null time come last, without
-    a scene.  Places are the last non-null ``gps`` before a row and never reset, so jumps in place are found first;
-    the latest end is then a running maximum within the stretches between them.  A library is one timeline and
-    is sorted as one; libraries spread over the cluster.
+    known place.  Ends are ``time_end``, or ``time`` where that is null.  Rows with a null or NaN time belong to no scene.
+    Places are the last non-null ``gps`` before a row and never reset, so jumps in place are found first; the latest
+    end is then a running maximum within the stretches between them.
+
+    Rows are sorted within (library, chunk of time) only.  What crosses a chunk's border is carried over the chunks' summaries, a
+    row each: the last place, the latest end since the last jump, the numbers of jumps and of scenes.  ``chunk`` sets how the work is
+    cut; the result doesn't depend on it.
     """
-    part = Window.partitionBy(*library)
-    order = part.orderBy(F.col("time").asc_nulls_last(), F.coalesce("seq", F.lit(0)), F.col(tie))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    known = items.withColumn("__place", F.last("gps", ignorenulls=True).over(before))
+    t = F.col("time")
+    timed = t.isNotNull() & ~F.isnan(t)
+    idle = items.where(~timed).withColumn("scene", F.lit(None).cast("string"))
+    rows = items.where(timed).withColumns({"__c": F.floor(t / chunk), "__e": F.coalesce("time_end", "time"), "__o": F.struct(t.alias("t"), F.coalesce("seq", F.lit(0)).alias("s"), F.col(tie).alias("tie"))})
+    inside = Window.partitionBy(*library, "__c").orderBy("__o")
+    before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*library, "__c")
+    chain = Window.partitionBy(*library).orderBy("__c")
+    earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, to: DataFrame) -> DataFrame:
+        """``to`` joined by (library, chunk), null-safe, with the other columns of ``df``."""
+        df = df.withColumnsRenamed({k: f"__{k}" for k in library} | {"__c": "__cc"})
+        cond = F.col("__c") == F.col("__cc")
+        for k in library:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        return to.join(df, cond).drop("__cc", *[f"__{k}" for k in library])
+
+    # Jumps in place.
+    last = rows.where("gps IS NOT NULL").groupBy(*library, "__c").agg(F.max(F.struct("__o", "gps")).getField("gps").alias("g"))
+    chunks = rows.select(*library, "__c").distinct()
+    place = carried(last, chunks).unionByName(chunks.withColumn("g", F.lit(None).cast(last.schema["g"].dataType))).groupBy(*library, "__c").agg(F.first("g", ignorenulls=True).alias("g"))
+    place = place.withColumn("__place0", F.last("g", ignorenulls=True).over(earlier)).drop("g")
+    rows = carried(place, rows).withColumn("__place", F.coalesce(F.last("gps", ignorenulls=True).over(before), "__place0"))
     jump = haversine(F.col("gps.lat"), F.col("gps.lon"), F.col("__place.lat"), F.col("__place.lon")) > cfg.scene_gps_m
-    far = known.withColumn("__far", F.when(jump, 1).otherwise(0))
-    far = far.withColumn("__seg", F.sum("__far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = Window.partitionBy(*library, "__seg").orderBy(F.col("time").asc_nulls_last(), F.coalesce("seq", F.lit(0)), F.col(tie))
-    reach = F.max(F.coalesce("time_end", "time")).over(ends.rowsBetween(Window.unboundedPreceding, -1))
-    far = far.withColumn("__reach", reach)
-    new = F.when(F.col("__reach").isNull(), F.col("__far")).when(F.col("time") - F.col("__reach") > cfg.scene_gap_s, 1).otherwise(0)
-    out = far.withColumn("__new", new).withColumn("__n", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1)
-    return out.withColumn("scene", F.when(F.col("time").isNotNull(), F.format_string("S%03d", "__n"))).drop("__place", "__far", "__seg", "__reach", "__new", "__n")
+    rows = rows.withColumn("__far", F.when(jump, 1).otherwise(0))
+    # The latest end since the last jump: a chunk hands on that of its rows from its last jump on.
+    rows = rows.withColumns({"__seg": F.sum("__far").over(upto), "__segs": F.sum("__far").over(whole)})
+    tails = rows.groupBy(*library, "__c").agg(F.max("__segs").alias("n"), F.max(F.when(F.col("__seg") == F.col("__segs"), F.col("__e"))).alias("e"))
+    tails = tails.withColumn("to", F.sum("n").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*library, "to").orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)
+    tails = tails.withColumn("run", F.max("e").over(run)).withColumn("__reach0", F.lag("run").over(chain)).select(*library, "__c", "__reach0")
+    rows = carried(tails, rows)
+    local = F.max("__e").over(Window.partitionBy(*library, "__c", "__seg").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1))
+    # greatest() skips nulls; before its first jump a chunk's rows go on from the earlier chunks.
+    rows = rows.withColumn("__reach", F.when(F.col("__seg") == 0, F.greatest(local, F.col("__reach0"))).otherwise(local))
+    rows = rows.withColumn("__new", F.when(F.col("__reach").isNull(), F.col("__far")).when(t - F.col("__reach") > cfg.scene_gap_s, 1).otherwise(0))
+    # Numbers.
+    counts = rows.groupBy(*library, "__c").agg(F.sum("__new").alias("n")).withColumn("__base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    rows = carried(counts, rows.withColumn("__k", F.sum("__new").over(upto)))
+    rows = rows.withColumn("scene", F.format_string("S%03d", F.col("__base") + F.col("__k") + 1))
+    return rows.select(*[c for c in items.columns if c != "scene"], "scene").unionByName(idle.select(*[c for c in items.columns if c != "scene"], "scene"))
 
 
 def assign_ids(items: DataFrame, library: list[str], tie: str = "primary") -> DataFrame:

@@ -106,9 +106,9 @@ def instants_of_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_instants(spark: SparkSession, d: str) -> DataFrame:
-    """Every current item with its UTC instant (null where no tag is valid) and the difference from its time."""
+    """Every current item with the Unix seconds of its UTC instant (null where no tag is valid) and the difference from its time."""
     i = instants_of_scan(spark, d)
-    return i.select("primary", F.timestamp_micros("instant_us").alias("instant"), (F.col("instant_us") / 1e6 - F.col("time")).alias("off_s"))
+    return i.select("primary", (F.col("instant_us") / 1e6).alias("instant_s"), (F.col("instant_us") / 1e6 - F.col("time")).alias("off_s"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -117,6 +117,34 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return i.select("primary", F.floor(F.col("instant_us") / 1_000_000).cast("bigint").alias("utc_s"))
 
 
+_ZONE_RE = r"(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|Z|UTC|GMT"
+
+
+def _offset(text: str) -> str:
+    """SQL: the seconds of an offset, null where it is none."""
+    o = f"upper(trim({text}))"
+    pattern = r"'^(?:UTC|GMT)?([+-])(\d{1,2}?)(?::?(\d{2}))?$'"
+    size = f"(regexp_extract({o}, {pattern}, 2)::INT * 3600 + coalesce(try_cast(regexp_extract({o}, {pattern}, 3) AS INT), 0) * 60)"
+    return f"CASE WHEN {o} IN ('Z', 'UTC', 'GMT') THEN 0 WHEN regexp_matches({o}, {pattern}) THEN CASE regexp_extract({o}, {pattern}, 1) WHEN '-' THEN -{size} ELSE {size} END END"
+
+
+# DuckDB takes the second of a repeated local hour, so the hour before is tried and taken if it shows the same clock.
+_P6_SQL = rf"""
+WITH {_CURRENT_SCAN}, homes AS (SELECT root, min(home_zone) AS hz FROM photo_root GROUP BY root),
+c AS (SELECT "primary", "time", 1 AS ord, trim(SubSecDateTimeOriginal) AS s, {_offset('OffsetTimeOriginal')} AS fallback, coalesce(hz, 'UTC') AS z FROM cur LEFT JOIN homes USING (root)
+  UNION ALL SELECT "primary", "time", 2, trim(CreateDate), NULL, CASE WHEN kind = 'video' THEN 'UTC' ELSE coalesce(hz, 'UTC') END FROM cur LEFT JOIN homes USING (root)),
+t AS (SELECT *, CASE WHEN regexp_matches(s, '^\d{{1,2}} [A-Za-z]{{3}} \d{{4}} ') THEN strftime(try_strptime(regexp_extract(s, '^(\d{{1,2}} [A-Za-z]{{3}} \d{{4}})', 1), '%d %b %Y'), '%Y:%m:%d') || ' ' || regexp_extract(s, '^\d{{1,2}} [A-Za-z]{{3}} \d{{4}} (.*)$', 1)
+  ELSE regexp_replace(regexp_replace(s, '^(\d{{4}})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)', '\1:\2:\3 \4:\5:\6'), '^(\d{{4}})-(\d\d)-(\d\d)[T ]', '\1:\2:\3 ') END AS x FROM c),
+p AS (SELECT *, CASE WHEN regexp_matches(x, '^\d{{4}}:\d\d:\d\d \d\d:\d\d:[0-5]\d(\.\d+)?\s*({_ZONE_RE})?$') THEN try_strptime(substr(x, 1, 19), '%Y:%m:%d %H:%M:%S') END AS ts,
+  rpad(substr(regexp_extract(x, '^.{{19}}\.(\d+)', 1), 1, 6), 6, '0')::BIGINT AS us, {_offset(f"nullif(regexp_extract(x, '^.{{{{19}}}}(?:[.][0-9]+)?[ ]*({_ZONE_RE})$', 1), '')".replace('{{', '{').replace('}}', '}'))} AS own,
+  CASE WHEN regexp_matches(s, '^-?\d{{1,17}}(\.\d+)?$') THEN s::DECIMAL(30, 9) END AS num FROM t),
+u AS (SELECT *, timezone(z, ts) AS there FROM p),
+i AS (SELECT "primary", "time", ord, coalesce(CASE WHEN coalesce(own, fallback) IS NOT NULL THEN epoch_us(ts) - coalesce(own, fallback)::BIGINT * 1000000
+    WHEN timezone(z, there - INTERVAL 1 HOUR) = ts THEN epoch_us(there - INTERVAL 1 HOUR) ELSE epoch_us(there) END + us,
+  floor(CASE WHEN abs(num) >= 100000000000 THEN num * 1000 ELSE num * 1000000 END)::BIGINT) AS m FROM u),
+best AS (SELECT "primary", any_value("time") AS t, arg_min(m, ord) FILTER (m IS NOT NULL) AS m FROM i GROUP BY "primary")
+"""
+
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_instants": p6_instants}
 
 SQL = {
@@ -124,4 +152,6 @@ SQL = {
     "p4_report": _P4_SQL + """SELECT tbl, field, strftime("at" AT TIME ZONE 'UTC', '%Y-%m') AS month, status, count(*) AS n FROM orphans GROUP BY ALL""",
     "p5_found": f"SELECT device, first_primary, last_primary, n_items FROM ({_P5_SQL})",
     "p5_sessions": _P5_SQL,
+    "p6_found": _P6_SQL + """SELECT "primary", floor(m / 1e6)::BIGINT AS utc_s FROM best WHERE t IS NOT NULL AND abs(m / 1e6 - t) > 2""",
+    "p6_instants": _P6_SQL + """SELECT "primary", m / 1e6 AS instant_s, m / 1e6 - t AS off_s FROM best""",
 }

@@ -19,9 +19,11 @@ def col(spark, schema, rows, *exprs):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*exprs).collect()]
 
 
-def scenes(spark, rows):
-    df = spark.createDataFrame([("lib", *r) for r in rows], f"root string, {ITEM}")
-    return {r.primary: r.scene for r in assign_scenes(df, ["root"]).collect()}
+def scenes(spark, rows, chunk=86400.0):
+    df = spark.createDataFrame([(lib, *r) for r in rows for lib in ("lib", None)], f"root string, {ITEM}").withColumn("n", F.lit("clash"))
+    got = assign_scenes(df, ["root"], chunk=chunk).collect()
+    assert sorted((r.primary, r.scene or "") for r in got if r.root) == sorted((r.primary, r.scene or "") for r in got if not r.root)
+    return {r.primary: r.scene for r in got}
 
 
 def test_scene_gap_is_strict(spark):
@@ -51,7 +53,8 @@ def test_scenes_match_a_fold(spark):
         end = e if e is not None else t
         last_end = end if last_end is None or new else max(last_end, end)
         place = g or place
-    assert scenes(spark, rows) == want
+    for chunk in (86400.0, 700.0, 1e9):
+        assert scenes(spark, rows, chunk) == want
 
 
 def test_ids_and_sheets(spark):
