@@ -179,30 +179,32 @@ def _match_chunk(ids, texts, known, rows, owner, items, sorted_sigs, order, wind
     firsts = np.cumsum([0] + [len(w) for w in words])[:-1]
     doc = np.repeat(np.arange(len(words)), counts)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    sigs = walk_signatures(codes, firsts[doc] + at, window, reps, sample, seed)
+    place_of = firsts[doc] + at
     item_codes, item_starts = items
     step = np.arange(window)
     best: dict[tuple[int, int], dict[int, int]] = {}
-    seen = np.empty(0, np.int64)
-    for sig, table, place in zip(sigs, sorted_sigs, order):
-        lo = np.searchsorted(table, sig, "left")
-        hit = np.flatnonzero((lo < len(table)) & (table[np.minimum(lo, len(table) - 1)] == sig))
-        n = np.searchsorted(table, sig[hit], "right") - lo[hit]
-        # Slices of candidates, each pair of windows compared once over all repetitions.
-        for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(n) // 200_000)) + 1):
-            h, k = hit[part], n[part]
-            mine = np.repeat(h, k)
-            theirs = place[np.repeat(lo[h], k) + np.arange(len(mine)) - np.repeat(np.cumsum(k) - k, k)]
-            if reps > 1:
-                key = mine * len(owner) + theirs
-                fresh = ~np.isin(key, seen)
-                mine, theirs, seen = mine[fresh], theirs[fresh], np.union1d(seen, key[fresh])
-            a, b = codes[(firsts[doc] + at)[mine][:, None] + step], item_codes[item_starts[theirs][:, None] + step]
-            e = edits_of_pairs(a, b) if most_edits else np.where((a == b).all(1), 0, 1)
-            ok = np.flatnonzero(e <= most_edits)
-            for d, o, p, x in zip(doc[mine[ok]].tolist(), owner[theirs[ok]].tolist(), at[mine[ok]].tolist(), e[ok].tolist()):
-                places = best.setdefault((d, o), {})
-                places[p] = min(x, places.get(p, x))
+    # Slices of windows bound the memory that a very long text takes.
+    for first in range(0, len(doc), 400_000):
+        sigs, seen = walk_signatures(codes, place_of[first : first + 400_000], window, reps, sample, seed), np.empty(0, np.int64)
+        for sig, table, place in zip(sigs, sorted_sigs, order):
+            lo = np.searchsorted(table, sig, "left")
+            hit = np.flatnonzero((lo < len(table)) & (table[np.minimum(lo, len(table) - 1)] == sig))
+            n = np.searchsorted(table, sig[hit], "right") - lo[hit]
+            # Slices of candidates, each pair of windows compared once over all repetitions.
+            for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(n) // 200_000)) + 1):
+                h, k = hit[part], n[part]
+                mine = first + np.repeat(h, k)
+                theirs = place[np.repeat(lo[h], k) + np.arange(len(mine)) - np.repeat(np.cumsum(k) - k, k)]
+                if reps > 1:
+                    key = mine * len(owner) + theirs
+                    fresh = ~np.isin(key, seen)
+                    mine, theirs, seen = mine[fresh], theirs[fresh], np.union1d(seen, key[fresh])
+                a, b = codes[place_of[mine][:, None] + step], item_codes[item_starts[theirs][:, None] + step]
+                e = edits_of_pairs(a, b) if most_edits else np.where((a == b).all(1), 0, 1)
+                ok = np.flatnonzero(e <= most_edits)
+                for d, o, p, x in zip(doc[mine[ok]].tolist(), owner[theirs[ok]].tolist(), at[mine[ok]].tolist(), e[ok].tolist()):
+                    places = best.setdefault((d, o), {})
+                    places[p] = min(x, places.get(p, x))
     out = []
     for (d, o), found in best.items():
         places, longest, run = sorted(found), 0, 0
