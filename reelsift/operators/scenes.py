@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelsift.config import CONFIG, Config
 from reelsift.functions.media import haversine
+from reelsift.shared import materialize
 
 
 def assign_scenes(items: DataFrame, library: list[str], cfg: Config = CONFIG, tie: str = "primary", chunk: float = 86400.0) -> DataFrame:
@@ -25,6 +26,8 @@ def assign_scenes(items: DataFrame, library: list[str], cfg: Config = CONFIG, ti
     timed = t.isNotNull() & ~F.isnan(t)
     idle = items.where(~timed).withColumn("scene", F.lit(None).cast("string"))
     rows = items.where(timed).withColumns({"__c": F.floor(t / chunk), "__e": F.coalesce("time_end", "time"), "__o": F.struct(t.alias("t"), F.coalesce("seq", F.lit(0)).alias("s"), F.col(tie).alias("tie"))})
+    # Written twice, here and once jumps are known: each is read for its summary and for its rows.
+    rows = materialize(rows, "scene-rows")
     inside = Window.partitionBy(*library, "__c").orderBy("__o")
     before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*library, "__c")
@@ -48,7 +51,7 @@ def assign_scenes(items: DataFrame, library: list[str], cfg: Config = CONFIG, ti
     jump = haversine(F.col("gps.lat"), F.col("gps.lon"), F.col("__place.lat"), F.col("__place.lon")) > cfg.scene_gps_m
     rows = rows.withColumn("__far", F.when(jump, 1).otherwise(0))
     # The latest end since the last jump: a chunk hands on that of its rows from its last jump on.
-    rows = rows.withColumns({"__seg": F.sum("__far").over(upto), "__segs": F.sum("__far").over(whole)})
+    rows = materialize(rows.withColumns({"__seg": F.sum("__far").over(upto), "__segs": F.sum("__far").over(whole)}).drop("__place", "__place0"), "scene-jumps")
     tails = rows.groupBy(*library, "__c").agg(F.max("__segs").alias("n"), F.max(F.when(F.col("__seg") == F.col("__segs"), F.col("__e"))).alias("e"))
     tails = tails.withColumn("to", F.sum("n").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy(*library, "to").orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)
