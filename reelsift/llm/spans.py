@@ -123,23 +123,29 @@ def _columns(out: list, names: tuple) -> pd.DataFrame:
 
 
 class _Best:
-    """Fenwick tree of the greatest (score, index) over prefixes."""
+    """Segment tree of the greatest (score, index) over ranges of leaves; a leaf can be emptied again."""
+
+    NONE = (float("-inf"), -1)
 
     def __init__(self, n: int):
-        self.cells = [(float("-inf"), -1)] * (n + 1)
+        self.n, self.cells = n, [self.NONE] * (2 * n)
 
     def put(self, i: int, value: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.cells):
-            if value > self.cells[i]:
-                self.cells[i] = value
-            i += i & -i
-
-    def upto(self, i: int) -> tuple[float, int]:
-        best = (float("-inf"), -1)
-        while i > 0:
-            best = max(best, self.cells[i])
-            i -= i & -i
+        i += self.n
+        self.cells[i] = value
+        while i > 1:
+            i //= 2
+            self.cells[i] = max(self.cells[2 * i], self.cells[2 * i + 1])
+
+    def between(self, low: int, high: int) -> tuple[float, int]:
+        best, low, high = self.NONE, low + self.n, high + self.n
+        while low < high:
+            if low & 1:
+                best, low = max(best, self.cells[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = max(best, self.cells[high])
+            low, high = low // 2, high // 2
         return best
 
 
@@ -156,25 +162,27 @@ def chains_of(runs: list[tuple[int, int, int]], gap_cost: float, most_gap: int)
     """Collinear chains of exact matches, best first, each match in one chain.
 
     A chain scores its matched length less ``gap_cost`` for each code point between matches, in either text.  A match
-    continues the best chain that ends before it in both texts; the best is found in a Fenwick tree over the ends in the
-    second text, while a sweep over the first puts ended matches into it.  Chains are cut where a gap exceeds ``most_gap``.
+    continues the best chain that ends before it in both texts, at most ``most_gap`` away in each: a sweep over the first text puts
+    ended matches into a tree over the ends in the second and takes those out that are too far behind.
     """
-    ends = sorted({y + n for _, y, n in runs})
-    tree, score, before, waiting = _Best(len(ends)), [0.0] * len(runs), [-1] * len(runs), sorted(range(len(runs)), key=lambda i: runs[i][0] + runs[i][2])
-    done = 0
+    x_end, y_end = [x + n for x, _, n in runs], [y + n for _, y, n in runs]
+    by_y = sorted(range(len(runs)), key=lambda i: y_end[i])
+    ends, leaf = [y_end[i] for i in by_y], {i: at for at, i in enumerate(by_y)}
+    tree, score, before, waiting = _Best(len(runs)), [0.0] * len(runs), [-1] * len(runs), sorted(range(len(runs)), key=lambda i: x_end[i])
+    done = gone = 0
     for j, (x, y, n) in enumerate(runs):
-        while done < len(waiting) and runs[waiting[done]][0] + runs[waiting[done]][2] <= x:
+        while done < len(waiting) and x_end[waiting[done]] <= x:
             i = waiting[done]
-            xe, ye = runs[i][0] + runs[i][2], runs[i][1] + runs[i][2]
-            tree.put(bisect_left(ends, ye), (score[i] + gap_cost * (xe + ye), i))
+            tree.put(leaf[i], (score[i] + gap_cost * (x_end[i] + y_end[i]), i))
             done += 1
-        best, i = tree.upto(bisect_left(ends, y + 1))
+        while gone < done and x_end[waiting[gone]] < x - most_gap:
+            tree.put(leaf[waiting[gone]], tree.NONE)
+            gone += 1
+        best, i = tree.between(bisect_left(ends, y - most_gap), bisect_left(ends, y + 1))
         score[j] = n
-        if i >= 0:
-            xe, ye = runs[i][0] + runs[i][2], runs[i][1] + runs[i][2]
-            linked = n + best - gap_cost * (x + y)
-            if linked > n and x - xe <= most_gap and y - ye <= most_gap:
-                score[j], before[j] = linked, i
+        linked = n + best - gap_cost * (x + y)
+        if i >= 0 and linked > n:
+            score[j], before[j] = linked, i
     taken, out = set(), []
     for j in sorted(range(len(runs)), key=lambda j: -score[j]):
         chain = []

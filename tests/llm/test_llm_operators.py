@@ -326,6 +326,30 @@ def test_chains_match_a_quadratic_model():
         assert sorted(r for c in got for r in c) == runs
 
 
+def chains_value(chain):
+    return sum(n for *_, n in chain) - 0.1 * sum(b[0] - a[0] - a[2] + b[1] - a[1] - a[2] for a, b in zip(chain, chain[1:]))
+
+
+def test_long_matches_hide_no_nearer_ones():
+    seeds = [(1800 + 50 * i, 1800 + 50 * i, 32) for i in range(10)]
+    got = spans.chains_of([(0, 0, 1500), *seeds], 0.1, 200)
+    assert sorted(got, key=len) == [[(0, 0, 1500)], seeds]
+
+
+def test_chains_with_a_greatest_gap_match_a_quadratic_model():
+    rnd = random.Random(18)
+    for _ in range(200):
+        runs = sorted((rnd.randrange(300), rnd.randrange(300), rnd.randrange(1, 30)) for _ in range(rnd.randrange(1, 25)))
+        score = []
+        for j, (x, y, n) in enumerate(runs):
+            near = [score[i] - 0.1 * (x - u - k + y - v - k) for i, (u, v, k) in enumerate(runs[:j]) if 0 <= x - u - k <= 40 and 0 <= y - v - k <= 40]
+            score.append(n + max([0.0, *near]))
+        got = spans.chains_of(runs, 0.1, 40)
+        assert chains_value(got[0]) == pytest.approx(max(score))
+        assert all(0 <= b[i] - a[i] - a[2] <= 40 for c in got for a, b in zip(c, c[1:]) for i in (0, 1))
+        assert sorted(r for c in got for r in c) == runs
+
+
 def test_token_counts_match_the_public_file(spark):
     texts = ["Hello world's 3 tests", "", None, "naïve 中文 😀", "x" * 3000]
     enc = mixture._encoder(mixture.TOKENIZER, mixture.PATTERN)
