@@ -270,28 +270,40 @@ class SharedSpans:
     def fuzzy_passages(self, least: int = 100) -> DataFrame:
         """As :meth:`passages`, chained from the seeds themselves: passages with edits in them, matched over ``least`` points.
 
-        A seed's matches are with the first text that has it; seeds that stand in a text more than once are anchored at
-        their first place.  Identical texts are compared once.
+        Any two texts that share seeds are compared, on all places of all seeds they share.  Identical texts are compared once.
         """
         k, width = self.seed, self.winnow
         placed = materialize(self.texts.select("d", "t").mapInPandas(lambda b: _places(b, k, width), "d bigint, seed bigint, at int"), "places")
-        lead = placed.groupBy("seed").agg(F.min(F.struct("d", "at")).alias("lead"), F.max("d").alias("last")).where(F.col("lead.d") < F.col("last")).select("seed", "lead")
-        pairs = placed.join(lead, "seed").where(F.col("d") != F.col("lead.d")).groupBy("d", F.col("lead.d").alias("other")).agg(F.collect_list("at").alias("xs"), F.collect_list("lead.at").alias("ys"))
+        rows = _seed_pairs(placed)
+        # Seeds that can't cover ``least`` points together make no passage.
+        pairs = rows.groupBy("d", "other").agg(F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys")).where(F.size("xs") * k >= least)
         schema = "d bigint, other bigint, from_at int, to_at int, other_from int, other_to int, matched int, longest int"
         gap_cost, most_gap = self.gap_cost, self.most_gap
         return pairs.mapInPandas(lambda b: _passages(b, k, gap_cost, most_gap), schema).where(F.col("matched") >= least)
 
 
+def _seed_pairs(placed: DataFrame, block: int = 256) -> DataFrame:
+    """(d, at, other, other_at, ...): each place of a seed with each place of it in a text of a lesser number.
+
+    A seed of many places is salted: one side is cut into parts of about ``block`` places, the other repeated for each part.
+    """
+    many = placed.groupBy("seed").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi")
+    salts = placed.join(many.select("seed", F.ceil(F.col("c") / block).cast("int").alias("salts")), "seed")
+    extra = [c for c in placed.columns if c not in ("d", "seed", "at")]
+    left = salts.withColumn("salt", F.pmod(F.xxhash64("d", "at"), F.col("salts")).cast("int")).drop("salts")
+    right = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("seed", "salt", F.col("d").alias("other"), F.col("at").alias("other_at"), *[F.col(c).alias(f"other_{c}") for c in extra])
+    return left.join(right, ["seed", "salt"]).where("d > other").drop("seed", "salt")
+
+
 def _places(batches: Iterator[pd.DataFrame], k: int, width: int) -> Iterator[pd.DataFrame]:
-    """(d, seed, at): the distinct seeds of each text with their first place."""
+    """(d, seed, at): the seeds of each text with all their places."""
     for pdf in batches:
         out, held = [], 0
         for d, t in zip(pdf["d"].tolist(), pdf["t"].tolist()):
             h = gram_hashes(code_points(t), k)
             at = np.flatnonzero(winnowed(h, width))
-            seed, first = np.unique(h[at], return_index=True)
-            out.append((np.full(len(seed), d), seed.view(np.int64), at[first].astype(np.int32)))
-            held += len(seed)
+            out.append((np.full(len(at), d), h[at].view(np.int64), at.astype(np.int32)))
+            held += len(at)
             if held > 500_000:
                 yield _columns(out, ("d", "seed", "at"))
                 out, held = [], 0

@@ -326,6 +326,20 @@ def test_chains_match_a_quadratic_model():
         assert sorted(r for c in got for r in c) == runs
 
 
+def test_passages_between_all_texts_and_at_all_places(spark):
+    rnd = random.Random(19)
+    letters = "abcdefghijklmnop "
+    text = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    parts = [text(230) for _ in range(4)]
+    # Earlier texts hold one piece each; 8 and 9 share the whole, and 9 holds it twice.
+    docs = [(i, text(300) + p + text(300)) for i, p in enumerate(parts)]
+    docs += [(8, text(300) + "".join(parts) + text(300)), (9, text(300) + "".join(parts) + text(400) + "".join(parts))]
+    rows = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string")).fuzzy_passages().collect()
+    both = sorted((r.from_at, r.to_at) for r in rows if (r.d, r.other) == (9, 8))
+    assert len(both) == 2 and all(to - at > 700 for at, to in both)
+    assert {(r.d, r.other) for r in rows} == {(9, 8), *((d, o) for d in (8, 9) for o in range(4))}
+
+
 def chains_value(chain):
     return sum(n for *_, n in chain) - 0.1 * sum(b[0] - a[0] - a[2] + b[1] - a[1] - a[2] for a, b in zip(chain, chain[1:]))
 
