@@ -226,11 +226,16 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Passages that two texts share but for small edits, chained from seeds."""
+    """Passages that two texts share but for small edits, chained from seeds and aligned; p10_copies has the members of a text."""
     p = _spans(spark, d).fuzzy_passages()
     return p.select(F.col("d").alias("doc_id"), F.col("other").alias("other_id"), "from_at", "to_at", "other_from", "other_to", "matched", "longest")
 
 
+def p10_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text another one repeats, with the one that stands for them in p10_passages."""
+    return _spans(spark, d).copies()
+
+
 _P10_SQL = """
 WITH g AS (SELECT doc_id, p, "text"[p:p + 299] AS gram FROM (SELECT doc_id, "text", unnest(range(1, length("text") - 298)) AS p FROM documents WHERE length("text") >= 300)),
 hot AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1),
@@ -254,6 +259,7 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_coverage": p10_coverage,
     "p10_passages": p10_passages,
+    "p10_copies": p10_copies,
 }
 
 SQL = {
@@ -266,6 +272,7 @@ SQL = {
     "p3_distances": _P3_SQL + "SELECT floor(dt * 10)::BIGINT AS tenths, count(*) AS n FROM near WHERE k = 1 GROUP BY 1",
     "p7_found": _P7_SQL,
     "p8_found": _P8_SQL,
+    "p10_copies": """SELECT doc_id, min(doc_id) OVER (PARTITION BY "text") AS text_id FROM documents WHERE doc_id IS NOT NULL AND length("text") >= 100 QUALIFY count(*) OVER (PARTITION BY "text") > 1""",
     "p10_found": _P10_SQL + "SELECT DISTINCT doc_id FROM places",
     "p10_coverage": _P10_SQL + """SELECT doc_id, n_chars, shared_chars, round(shared_chars / n_chars, 6) AS share FROM (
   SELECT doc_id, max(length(d."text")) AS n_chars, sum(least(coalesce(nxt - p, 300), 300))::BIGINT AS shared_chars FROM places JOIN documents d USING (doc_id) GROUP BY doc_id)""",

@@ -14,6 +14,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,10 +218,23 @@ class SharedSpans:
         if seed + 3 * winnow > span + 3:
             raise ValueError("seed + 3 * winnow must not exceed span + 3")
         self.span, self.seed, self.winnow, self.gap_cost, self.most_gap = span, seed, winnow, gap_cost, most_gap
-        docs = documents.where(F.col(doc_id).isNotNull() & (F.length(text) >= span)).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
-        keyed = docs.withColumn("key", F.md5(F.encode("t", "utf-8")))
-        self.texts = materialize(keyed.groupBy("key").agg(F.min("d").alias("d"), F.first("t").alias("t"), F.count(F.lit(1)).alias("n")), "texts")
-        self.members = keyed.select("key", F.col("d").alias("member"))
+        docs = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
+        self.keyed = docs.withColumn("key", F.md5(F.encode("t", "utf-8")))
+        self.members = self.keyed.where(F.length("t") >= span).select("key", F.col("d").alias("member"))
+
+    def _texts(self, least: int) -> DataFrame:
+        """(key, d, t, n): the different texts of ``least`` code points or more, by their least document."""
+        return materialize(self.keyed.where(F.length("t") >= least).groupBy("key").agg(F.min("d").alias("d"), F.first("t").alias("t"), F.count(F.lit(1)).alias("n")), "texts")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        return self._texts(self.span)
+
+    def copies(self, least: int = 100) -> DataFrame:
+        """(doc_id, text_id): each document of ``least`` code points or more whose text another one repeats, with the least such document."""
+        same = self.keyed.where(F.length("t") >= least).select("key", "d")
+        heads = same.groupBy("key").agg(F.min("d").alias("text_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        return same.join(heads, "key").select(F.col("d").alias("doc_id"), "text_id")
 
     @cached_property
     def anchors(self) -> DataFrame:
@@ -268,18 +282,172 @@ class SharedSpans:
         return self._each(texts).select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("share"))
 
     def fuzzy_passages(self, least: int = 100) -> DataFrame:
-        """As :meth:`passages`, chained from the seeds themselves: passages with edits in them, matched over ``least`` points.
+        """As :meth:`passages`, but with edits in them: chains of seeds, extended and aligned, that match in ``least`` points.
 
-        Any two texts that share seeds are compared, on all places of all seeds they share.  Identical texts are compared once.
+        Any two texts of ``least`` points or more that share seeds are compared, on all places of all seeds they share;
+        an exact stretch of seed + winnow - 1 points always holds one.  Chains are extended at both ends and into their gaps
+        (see :func:`extended`); matched: points of the alignment that are equal, longest: those of the longest exact match.
+        A passage inside another one in both texts is that one.  Identical texts are compared once; :meth:`copies` has their members.
+
+        Before texts are joined, each seed match is extended over ``CONTEXT`` points kept beside the seed: pairs whose
+        matches, all added up, stay under three quarters of ``least`` are left out.
         """
         k, width = self.seed, self.winnow
-        placed = materialize(self.texts.select("d", "t").mapInPandas(lambda b: _places(b, k, width), "d bigint, seed bigint, at int"), "places")
-        rows = _seed_pairs(placed)
-        # Seeds that can't cover ``least`` points together make no passage.
-        pairs = rows.groupBy("d", "other").agg(F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys")).where(F.size("xs") * k >= least)
+        texts = self._texts(least)
+        seeds = materialize(texts.select("d", "t").mapInPandas(lambda b: _seeds(b, k, width), "d bigint, seed bigint"), "seeds")
+        shared = seeds.join(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed"), "seed", "left_semi")
+        per_text = shared.groupBy("d").agg(F.collect_list("seed").alias("shared"))
+        placed = materialize(texts.select("d", "t").join(per_text, "d").mapInPandas(lambda b: _places(b, k, width), "d bigint, seed bigint, at int, ctx binary"), "places")
+        rows = _seed_pairs(placed).select("d", "other", "at", "other_at", "ctx", "other_ctx")
+        hopeful = rows.mapInArrow(lambda b: _hopes(b, k, least), "d bigint, other bigint, at int, other_at int, hope int")
+        pairs = hopeful.groupBy("d", "other").agg(F.sum("hope").alias("hope"), F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys")).where(F.col("hope") * 4 >= 3 * least)
+        pairs = pairs.drop("hope").join(texts.select("d", "t"), "d").join(texts.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
         schema = "d bigint, other bigint, from_at int, to_at int, other_from int, other_to int, matched int, longest int"
         gap_cost, most_gap = self.gap_cost, self.most_gap
-        return pairs.mapInPandas(lambda b: _passages(b, k, gap_cost, most_gap), schema).where(F.col("matched") >= least)
+        return pairs.mapInPandas(lambda b: _aligned(b, k, gap_cost, most_gap, least), schema)
+
+
+CONTEXT = 100
+_PENALTY, _DROP, _BAND, _PAD = 2, 12, 8, -1
+
+
+def _padded(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    out = np.full((len(pieces), int(lengths.max(initial=0))), _PAD, np.int32)
+    for row, p in zip(out, pieces):
+        row[: len(p)] = p
+    return out, lengths
+
+
+def extended(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(matched, in a, in b, whole): how far the rows of a and b, padded, can be aligned from their starts, all rows at once.
+
+    An equal point scores 1, an inserted, deleted or replaced one costs ``_PENALTY``; the alignment ends at its greatest score, and
+    is given up ``_DROP`` below it or ``_BAND`` points off the diagonal.  whole: it was not given up before the end of a row.
+    """
+    n, width = len(a), 2 * _BAND + 1
+    one, fee, none = (1 << 16) + 1, _PENALTY << 16, -(1 << 40)
+    shift = np.arange(-_BAND, _BAND + 1)
+    matched, in_a, in_b, whole = (np.zeros(n, np.int64) for _ in range(4))
+    if not n:
+        return matched, in_a, in_b, whole
+    ends = np.full((n, _BAND), _PAD - 1, np.int32)
+    b = np.concatenate([ends, b, np.full((n, max(0, a.shape[1] - b.shape[1]) + _BAND + 1), _PAD - 1, np.int32)], 1)
+    row, v, best = np.arange(n), np.where((shift >= 0) & (shift <= b_len[:, None]), -fee * shift, none), np.zeros(n, np.int64)
+    whole[:] = (a_len == 0) | (b_len == 0)
+    live = (a_len > 0) & (b_len > 0)
+    row, v, best, a, b, la, lb = row[live], v[live], best[live], a[live], b[live], a_len[live], b_len[live]
+    i = 0
+    while len(row):
+        v[:, :-1], v[:, -1] = np.maximum(v[:, :-1] + np.where(a[:, i, None] == b[:, i : i + width - 1], one, -fee), v[:, 1:] - fee), v[:, -1] + np.where(a[:, i] == b[:, i + width - 1], one, -fee)
+        v = np.maximum.accumulate(v + fee * np.arange(width), 1) - fee * np.arange(width)
+        y = i + 1 + shift
+        v[(y < 0) | (y > lb[:, None])] = none
+        at = v.argmax(1)
+        top = v[np.arange(len(v)), at]
+        up = top >> 16 > best >> 16
+        best = np.where(up, top, best)
+        matched[row[up]], in_a[row[up]], in_b[row[up]] = top[up] & 0xFFFF, i + 1, y[at[up]]
+        i += 1
+        held = (top >> 16) > (best >> 16) - _DROP
+        ended = held & ((i >= la) | (i - _BAND >= lb) | (y[at] >= lb))
+        whole[row[ended]] = 1
+        keep = held & (i < la)
+        if not keep.all():
+            row, v, best, a, b, la, lb = row[keep], v[keep], best[keep], a[keep], b[keep], la[keep], lb[keep]
+    return matched, in_a, in_b, whole
+
+
+def _hopes(batches, k: int, least: int):
+    """Each seed match with the most points it can match by its context; ``least`` if the context ends first."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sides = []
+        for name in ("ctx", "other_ctx"):
+            column = batch.column(name)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), 2 * CONTEXT)
+            sides.append(data)
+        hope = np.full(batch.num_rows, k, np.int64)
+        for part in (slice(0, CONTEXT), slice(CONTEXT, 2 * CONTEXT)):
+            a, b = (np.ascontiguousarray(x[:, part]) for x in sides)
+            # Code 0 stands behind the ends of a text.
+            a_len, b_len = ((x != 0).sum(1) for x in (a, b))
+            matched, in_a, in_b, whole = extended(a.astype(np.int32), a_len, b.astype(np.int32), b_len)
+            hope += np.where((whole > 0) & ((a_len == CONTEXT) | (b_len == CONTEXT)) , np.maximum(matched, least), matched)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d", "other", "at", "other_at")), pa.array(np.minimum(hope, 1 << 20).astype(np.int32))], names=["d", "other", "at", "other_at", "hope"])
+
+
+def _aligned(batches: Iterator[pd.DataFrame], k: int, gap_cost: float, most_gap: int, least: int) -> Iterator[pd.DataFrame]:
+    """Chains of the seed matches of each pair of texts, extended on the texts."""
+    columns = ["d", "other", "from_at", "to_at", "other_from", "other_to", "matched", "longest"]
+    for pdf in batches:
+        for first in range(0, len(pdf), 500):
+            out = []
+            chains = []
+            for d, o, xs, ys, t, u in zip(*(pdf[c].iloc[first : first + 500].tolist() for c in ("d", "other", "xs", "ys", "t", "u"))):
+                p, q = code_points(t).astype(np.int32), code_points(u).astype(np.int32)
+                for c in chains_of(runs_of(np.asarray(xs, np.int64), np.asarray(ys, np.int64), k), gap_cost, most_gap):
+                    chains.append((d, o, p, q, c))
+            # Backward from the first match, forward from each match up to the next one, then backward into what is left of the gaps.
+            jobs = [(p[: c[0][0]][::-1], q[: c[0][1]][::-1]) for _, _, p, q, c in chains]
+            for _, _, p, q, c in chains:
+                for (x, y, n), (x2, y2, _) in zip(c, [*c[1:], (len(p), len(q), 0)]):
+                    jobs.append((p[x + n : x2], q[y + n : y2]))
+            forward = _jobs(jobs)
+            rest, at = [], len(chains)
+            for _, _, p, q, c in chains:
+                for (x, y, n), (x2, y2, _) in zip(c, c[1:]):
+                    _, da, db = forward[at]
+                    rest.append((p[x + n + da : x2][::-1], q[y + n + db : y2][::-1]))
+                    at += 1
+                at += 1
+            back = iter(_jobs(rest))
+            at, last = len(chains), {}
+            for (d, o, p, q, c), (m, da, db) in zip(chains, forward):
+                matched, longest = m + sum(n for *_, n in c), max(_exact(p, q, *r) for r in c)
+                for _ in c[1:]:
+                    matched += forward[at][0] + next(back)[0]
+                    at += 1
+                matched += forward[at][0]
+                if matched >= least:
+                    last.setdefault((d, o), []).append((c[0][0] - da, c[-1][0] + c[-1][2] + forward[at][1], c[0][1] - db, c[-1][1] + c[-1][2] + forward[at][2], matched, longest))
+                at += 1
+            for (d, o), found in last.items():
+                kept = []
+                for r in sorted(set(found), key=lambda r: (-r[4], r)):
+                    if not any(z[0] <= r[0] and r[1] <= z[1] and z[2] <= r[2] and r[3] <= z[3] for z in kept):
+                        kept.append(r)
+                out += [(d, o, *r) for r in kept]
+            yield pd.DataFrame(out, columns=columns)
+
+
+def _jobs(jobs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """(matched, in the first, in the second) of each pair of pieces, those of like length together."""
+    out = [(0, 0, 0)] * len(jobs)
+    order = sorted((i for i, (a, b) in enumerate(jobs) if len(a) and len(b)), key=lambda i: min(map(len, jobs[i])))
+    start = 0
+    while start < len(order):
+        stop = start
+        while stop < len(order) and (stop == start or (stop - start + 1) * min(map(len, jobs[order[stop]])) <= 1_000_000):
+            stop += 1
+        part = order[start:stop]
+        # Beyond the band the longer piece can't be reached.
+        a, a_len = _padded([jobs[i][0][: len(jobs[i][1]) + _BAND] for i in part])
+        b, b_len = _padded([jobs[i][1][: len(jobs[i][0]) + _BAND] for i in part])
+        for i, *r in zip(part, *(z.tolist() for z in extended(a, a_len, b, b_len)[:3])):
+            out[i] = tuple(r)
+        start = stop
+    return out
+
+
+def _exact(p: np.ndarray, q: np.ndarray, x: int, y: int, n: int) -> int:
+    """Length of the exact match around (x, y, n)."""
+    left, right = min(x, y), min(len(p) - x - n, len(q) - y - n)
+    before = np.flatnonzero(p[x - left : x][::-1] != q[y - left : y][::-1])
+    after = np.flatnonzero(p[x + n : x + n + right] != q[y + n : y + n + right])
+    return n + (int(before[0]) if len(before) else left) + (int(after[0]) if len(after) else right)
 
 
 def _seed_pairs(placed: DataFrame, block: int = 256) -> DataFrame:
@@ -296,16 +464,21 @@ def _seed_pairs(placed: DataFrame, block: int = 256) -> DataFrame:
 
 
 def _places(batches: Iterator[pd.DataFrame], k: int, width: int) -> Iterator[pd.DataFrame]:
-    """(d, seed, at): the seeds of each text with all their places."""
+    """(d, seed, at, ctx): the shared seeds of each text with all their places and bytes of the points to the left, backward, and to the right."""
     for pdf in batches:
         out, held = [], 0
-        for d, t in zip(pdf["d"].tolist(), pdf["t"].tolist()):
-            h = gram_hashes(code_points(t), k)
-            at = np.flatnonzero(winnowed(h, width))
-            out.append((np.full(len(at), d), h[at].view(np.int64), at.astype(np.int32)))
+        for d, t, shared in zip(pdf["d"].tolist(), pdf["t"].tolist(), pdf["shared"].tolist()):
+            p = code_points(t)
+            h = gram_hashes(p, k)
+            at = np.flatnonzero(winnowed(h, width) & np.isin(h.view(np.int64), np.asarray(shared, np.int64)))
+            near = np.zeros(len(p) + 2 * CONTEXT, np.uint8)
+            near[CONTEXT : CONTEXT + len(p)] = _mix(p.astype(np.uint64) + _TURN[0]) % np.uint64(255) + np.uint64(1)
+            step = np.arange(CONTEXT)
+            ctx = np.concatenate([near[at[:, None] + CONTEXT - 1 - step], near[at[:, None] + CONTEXT + k + step]], 1)
+            out.append((np.full(len(at), d), h[at].view(np.int64), at.astype(np.int32), np.array([r.tobytes() for r in ctx] + [None], object)[:-1]))
             held += len(at)
-            if held > 500_000:
-                yield _columns(out, ("d", "seed", "at"))
+            if held > 100_000:
+                yield _columns(out, ("d", "seed", "at", "ctx"))
                 out, held = [], 0
         if out:
-            yield _columns(out, ("d", "seed", "at"))
+            yield _columns(out, ("d", "seed", "at", "ctx"))

@@ -340,6 +340,51 @@ def test_passages_between_all_texts_and_at_all_places(spark):
     assert {(r.d, r.other) for r in rows} == {(9, 8), *((d, o) for d in (8, 9) for o in range(4))}
 
 
+def test_short_exact_stretches_and_short_texts_are_passages(spark):
+    rnd = random.Random(20)
+    letters = "abcdefghijklmnop "
+    text = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    docs, want = [], {}
+    for i in range(0, 60, 2):
+        piece, at, other = text(120), rnd.randrange(1, 300), rnd.randrange(1, 300)
+        docs += [(i, text(other) + piece + text(200)), (i + 1, text(at) + piece + text(200))]
+        want[i + 1, i] = (at, other)
+    body = text(220)
+    docs += [(100, body), (101, body), (102, text(20) + body[:110] + "!" + body[110:])]
+    s = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = {(r.d, r.other): r for r in s.fuzzy_passages().collect()}
+    assert set(rows) == {*want, (102, 100)}
+    for pair, (at, other) in want.items():
+        r = rows[pair]
+        assert r.matched >= 120 and r.longest >= 120 and r.from_at <= at and r.to_at >= at + 120 and r.other_from <= other and r.other_to >= other + 120
+    r = rows[102, 100]
+    assert (r.from_at, r.to_at, r.other_from, r.other_to, r.matched) == (20, 241, 0, 220, 220)
+    assert sorted(map(tuple, s.copies().collect())) == [(100, 100), (101, 100)]
+    assert sorted(r.doc_id for r in s.found().collect()) == []
+
+
+def test_extension_matches_a_full_table():
+    rnd = random.Random(21)
+    pairs = []
+    for _ in range(200):
+        a = [rnd.randrange(4) for _ in range(rnd.randrange(0, 40))]
+        b = list(a)
+        for _ in range(rnd.randrange(0, 4)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randrange(2)] = [rnd.randrange(4)] * rnd.randrange(2)
+        pairs.append((np.array(a, np.int32), np.array(b, np.int32)))
+    a, n = spans._padded([x for x, _ in pairs])
+    b, m = spans._padded([y for _, y in pairs])
+    matched, in_a, in_b, _ = spans.extended(a, n, b, m)
+    for k, (x, y) in enumerate(pairs):
+        cells = {(0, 0): 0}
+        for i in range(len(x) + 1):
+            for j in range(len(y) + 1):
+                if i or j:
+                    cells[i, j] = max(cells.get((i - 1, j - 1), -99) + (1 if i and j and x[i - 1] == y[j - 1] else -2), cells.get((i - 1, j), -99) - 2, cells.get((i, j - 1), -99) - 2)
+        assert cells[in_a[k], in_b[k]] == max(cells.values()) and matched[k] >= max(cells.values())
+
+
 def chains_value(chain):
     return sum(n for *_, n in chain) - 0.1 * sum(b[0] - a[0] - a[2] + b[1] - a[1] - a[2] for a, b in zip(chain, chain[1:]))
 
