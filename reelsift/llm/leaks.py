@@ -42,8 +42,8 @@ class _Codes(dict):
         return code
 
 
-def walk_signatures(codes: np.ndarray, starts: np.ndarray, width: int, repetitions: int, sample: int, seed: int) -> np.ndarray:
-    """Signatures (repetitions x windows) of the windows of ``width`` words that begin at ``starts`` in ``codes``."""
+def walk_signatures(codes: np.ndarray, starts: np.ndarray, width: int, repetitions: int, sample: int, seed: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Signatures (repetitions x windows) of the windows of ``width`` words, or up to ``ends``, that begin at ``starts`` in ``codes``."""
     out = np.empty((repetitions, len(starts)), np.uint64)
     steps = 3 * width
     for r in range(repetitions):
@@ -54,7 +54,7 @@ def walk_signatures(codes: np.ndarray, starts: np.ndarray, width: int, repetitio
         taken = np.zeros(steps, bool)
         taken[places] = True
         at = starts.astype(np.int64)
-        stop = at + width
+        stop = at + width if ends is None else np.minimum(at + width, ends)
         sig = np.full(len(starts), np.uint64(r + 1))
         for step in range(int(places[-1]) + 1):
             inside = at < stop
@@ -81,17 +81,32 @@ def edits(a: list[str], b: list[str], most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def edits_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distances of the rows of two arrays of word codes (pairs x words), all pairs at once."""
-    n, width = a.shape
+def _edit_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of the rows of ``a`` to every beginning of the rows of ``b`` (pairs x (words + 1)), all pairs at once."""
+    (n, height), width = a.shape, b.shape[1]
     row = np.broadcast_to(np.arange(width + 1, dtype=np.int8), (n, width + 1)).copy()
-    for i in range(width):
+    for i in range(height):
         last, row[:, 0] = row[:, 0].copy(), i + 1
         differ = (a[:, i, None] != b).astype(np.int8)
         for j in range(width):
             cost = np.minimum(np.minimum(row[:, j + 1], row[:, j]) + np.int8(1), last + differ[:, j])
             last, row[:, j + 1] = row[:, j + 1].copy(), cost
-    return row[:, width]
+    return row
+
+
+def edits_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of the rows of two arrays of word codes (pairs x words), all pairs at once."""
+    return _edit_rows(a, b)[:, -1]
+
+
+def edits_to_best_end(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, words): least edit distance of the rows of ``a`` to beginnings of the rows of ``b``, at most ``most`` words shorter
+    or longer, and the words of that beginning; of equally near ones the one of like length, then the shorter."""
+    width = a.shape[1]
+    words = np.array(sorted(range(max(1, width - most), width + most + 1), key=lambda n: (abs(n - width), n)))
+    rows = _edit_rows(a, b)[:, words]
+    best = rows.argmin(1)
+    return rows[np.arange(len(rows)), best], words[best]
 
 
 def repetitions_for(width: int, most_edits: int, sample: int, recall: float) -> int:
@@ -121,11 +136,13 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, longest, edits): documents that hold a window of ``window`` words of an item.
 
-    A document's window counts if it is at most ``most_edits`` edits (of words) away from a window of the item; at 0
-    this is exact: equal windows have equal signatures, so none is missed.  For more, enough repetitions are made
-    to reach ``recall``.  n_windows: windows of the document that match, longest: words of the longest run of
-    them, edits: the least distance.  Texts that are null or have fewer words than the window match nothing; repeated
-    documents or items give one row per pair of ids; rows with a null id are left out.
+    A stretch of the document counts if it is at most ``most_edits`` edits (of words) away from a window of the item, so that it
+    has up to as many words less or more than the window; at 0 this is exact: equal windows have equal signatures, so
+    none is missed.  For more, enough repetitions are made to reach ``recall``: signatures are of ``window`` words, and the
+    exact comparison tries every end within the edits.  n_windows: words of the document where a match begins, longest: words of
+    the longest run of matches, edits: the least distance.  Texts that are null, items of fewer words than the window and documents of
+    fewer words than it less the edits match nothing; repeated documents or items give one row per pair of ids; rows with
+    a null id are left out.
 
     Windows are compared by 64-bit codes of their words, all candidates of a slice at once.
 
@@ -172,20 +189,20 @@ def find_leaks(
 
 def _match_chunk(ids, texts, known, rows, owner, items, sorted_sigs, order, window, reps, sample, seed, most_edits) -> list[tuple]:
     words = [words_of(t) for t in texts]
-    counts = np.array([max(0, len(w) - window + 1) for w in words], np.int64)
+    counts = np.array([max(0, len(w) - max(1, window - most_edits) + 1) for w in words], np.int64)
     if not len(owner) or not counts.sum():
         return []
     codes = np.fromiter((known[x] for w in words for x in w), np.uint64, sum(map(len, words)))
     firsts = np.cumsum([0] + [len(w) for w in words])[:-1]
     doc = np.repeat(np.arange(len(words)), counts)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place_of = firsts[doc] + at
+    place_of, end_of = firsts[doc] + at, (firsts + [len(w) for w in words])[doc]
     item_codes, item_starts = items
-    step = np.arange(window)
-    best: dict[tuple[int, int], dict[int, int]] = {}
+    step, ahead = np.arange(window), np.arange(window + most_edits)
+    best: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
     # Slices of windows bound the memory that a very long text takes.
     for first in range(0, len(doc), 400_000):
-        sigs, seen = walk_signatures(codes, place_of[first : first + 400_000], window, reps, sample, seed), np.empty(0, np.int64)
+        sigs, seen = walk_signatures(codes, place_of[first : first + 400_000], window, reps, sample, seed, end_of[first : first + 400_000]), np.empty(0, np.int64)
         for sig, table, place in zip(sigs, sorted_sigs, order):
             lo = np.searchsorted(table, sig, "left")
             hit = np.flatnonzero((lo < len(table)) & (table[np.minimum(lo, len(table) - 1)] == sig))
@@ -199,17 +216,24 @@ def _match_chunk(ids, texts, known, rows, owner, items, sorted_sigs, order, wind
                     key = mine * len(owner) + theirs
                     fresh = ~np.isin(key, seen)
                     mine, theirs, seen = mine[fresh], theirs[fresh], np.union1d(seen, key[fresh])
-                a, b = codes[place_of[mine][:, None] + step], item_codes[item_starts[theirs][:, None] + step]
-                e = edits_of_pairs(a, b) if most_edits else np.where((a == b).all(1), 0, 1)
+                a = item_codes[item_starts[theirs][:, None] + step]
+                if most_edits:
+                    # Behind its end a document has words that equal none.
+                    places = place_of[mine][:, None] + ahead
+                    b = np.where(places < end_of[mine][:, None], codes[np.minimum(places, len(codes) - 1)], np.uint64(0))
+                    e, n = edits_to_best_end(a, b, most_edits)
+                else:
+                    e, n = np.where((a == codes[place_of[mine][:, None] + step]).all(1), 0, 1), np.full(len(mine), window)
                 ok = np.flatnonzero(e <= most_edits)
-                for d, o, p, x in zip(doc[mine[ok]].tolist(), owner[theirs[ok]].tolist(), at[mine[ok]].tolist(), e[ok].tolist()):
+                ends = np.minimum(at[mine[ok]] + n[ok], at[mine[ok]] + end_of[mine[ok]] - place_of[mine[ok]])
+                for d, o, p, x, end in zip(doc[mine[ok]].tolist(), owner[theirs[ok]].tolist(), at[mine[ok]].tolist(), e[ok].tolist(), ends.tolist()):
                     places = best.setdefault((d, o), {})
-                    places[p] = min(x, places.get(p, x))
+                    places[p] = min((x, -end), places.get(p, (x, -end)))
     out = []
     for (d, o), found in best.items():
-        places, longest, run = sorted(found), 0, 0
+        places, longest, start = sorted(found), 0, 0
         for k, p in enumerate(places):
-            run = run + 1 if k and places[k - 1] == p - 1 else 1
-            longest = max(longest, run)
-        out.append((ids[d], rows[o], len(places), longest + window - 1, min(found.values())))
+            start = start if k and places[k - 1] == p - 1 else p
+            longest = max(longest, -found[p][1] - start)
+        out.append((ids[d], rows[o], len(places), longest, min(found.values())[0]))
     return out

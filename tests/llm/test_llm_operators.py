@@ -216,6 +216,35 @@ def test_edited_leaks_reach_recall(spark):
     assert all(e <= 2 for e in got.values())
 
 
+def test_recall_over_all_planted_edits(spark):
+    rnd = random.Random(22)
+    vocab = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(12))) for i in range(600)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for _ in range(2):
+            k, at = rnd.choice("srd"), rnd.randrange(len(w))
+            w = w[:at] + ([rnd.choice(vocab)] if k == "s" else [w[at], rnd.choice(vocab)] if k == "r" else []) + w[at + 1 :]
+        # A third of the documents are the edited passage alone: some have ten words.
+        around = 8 if i % 3 else 0
+        docs.append((i, " ".join([*(rnd.choice(vocab) for _ in range(around)), *w, *(rnd.choice(vocab) for _ in range(around))])))
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks.find_leaks(ddf, idf, most_edits=2, recall=0.95).collect()}
+    assert all(d == i and r.edits <= 2 for (d, i), r in got.items())
+    assert len(got) >= 0.9 * len(items)
+
+
+def test_edits_to_best_end_match_the_plain_distance():
+    rnd = random.Random(23)
+    a = [[rnd.randrange(6) for _ in range(12)] for _ in range(200)]
+    b = [x[:4] + [9] * rnd.randrange(3) + x[4 + rnd.randrange(3) :] + [8] * 6 for x in a]
+    b = [x[:14] for x in b]
+    got, words = leaks.edits_to_best_end(np.array(a, np.uint64), np.array(b, np.uint64), 2)
+    for x, y, e, n in zip(a, b, got.tolist(), words.tolist()):
+        assert e == min(leaks.edits(x, y[:k], 99) for k in range(10, 15)) == leaks.edits(x, y[:n], 99)
+
+
 def test_mixture_meets_shares_and_caps(spark):
     rnd = random.Random(13)
     docs = [(i, rnd.choice(["big"] * 6 + [" Small ", "SMALL", "mid", "none", None]), "word " * rnd.randrange(1, 60)) for i in range(1500)]
