@@ -147,15 +147,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(rows, ["root", "dup_group"], order, "primary").select("root", "dup_group", F.col("survivor").alias("primary"))
 
 
+FUSED = {"scene": "string", "zoom_bucket": "string", "hdr": "boolean", "eyes_closed_n": "int", "sharp_p90": "double", "suggested_keep": "string"}
+
+
 def p7_fused(spark: SparkSession, d: str) -> DataFrame:
-    """Field values of each stored group fused over its devices: scene, zoom_bucket and hdr."""
-    fields = ["scene", "zoom_bucket", "hdr"]
-    rows = _stills(spark, d, ["root", "dup_group", "device", "time", *fields]).where("root IS NOT NULL AND dup_group IS NOT NULL")
-    claims = rows.select(F.to_json(F.array("root", "dup_group")).alias("object"), known("device").alias("source"), finite("time").alias("at"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))
+    """Field values of each stored group fused over its records, each of which is a source; n_sources: records of the group.
+
+    sharp_p90 counts where it is a valid number.  A group whose records have no value of a field gets null there.
+    """
+    rows = _stills(spark, d, ["root", "dup_group", "time", *FUSED]).where("root IS NOT NULL AND dup_group IS NOT NULL")
+    rows = rows.withColumn("sharp_p90", F.when(valid_number("sharp_p90"), F.col("sharp_p90")))
+    claims = rows.select(F.to_json(F.array("root", "dup_group")).alias("object"), F.col("primary").alias("source"), finite("time").alias("at"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FUSED])))
     fused = survivor.fuse(claims)
-    key = F.from_json("object", "array<string>")
-    wide = fused.groupBy("object").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields], F.round(F.min("posterior"), 6).alias("least_posterior"))
-    return wide.select(key[0].alias("root"), key[1].alias("dup_group"), *fields, "least_posterior")
+    wide = fused.groupBy("object").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).cast(t).alias(f) for f, t in FUSED.items()], F.round(F.min("posterior"), 6).alias("least_posterior"))
+    groups = rows.groupBy("root", "dup_group").agg(F.count(F.lit(1)).alias("n_sources")).withColumn("object", F.to_json(F.array("root", "dup_group")))
+    return groups.join(wide, "object", "left").select("root", "dup_group", *FUSED, "least_posterior", "n_sources")
 
 
 _P7_SQL = f"""

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reelsift.llm import leaks, lookalikes, mixture, nearest, percentiles, spans, survivor
+from reelsift.llm import leaks, lookalikes, mixture, nearest, percentiles, queries, spans, survivor
 from reelsift.llm.components import connected_components
 
 
@@ -158,6 +158,18 @@ def test_fusion_trusts_accurate_sources_and_discounts_copies(spark):
     assert survivor.fuse(df.limit(0)).count() == 0
 
 
+def test_fused_groups_have_their_records_as_sources(spark, tmp_path):
+    # (primary, dup_group, device, scene, eyes_closed_n, sharp_p90, suggested_keep)
+    rows = [("a", "D1", "cam", "S1", 1, 5.0, "a"), ("b", "D1", "cam", "S1", 1, 5.0, "a"), ("c", "D1", "cam", "S9", 0, 9.0, "c")]
+    rows += [("e", "D2", None, "S2", 2, float("nan"), None), ("f", "D2", " ", "S2", 2, 7.0, "f"), ("g", "D3", None, None, None, -1.0, None)]
+    schema = "primary string, dup_group string, device string, scene string, eyes_closed_n int, sharp_p90 double, suggested_keep string"
+    df = spark.createDataFrame(rows, schema).withColumns({"root": F.lit("r"), "zoom_bucket": F.lit(None).cast("string"), "hdr": F.col("primary") != "c", "time": F.lit(1.0), "run_at": F.lit("2024-01-01").cast("timestamp")})
+    df.write.parquet(f"{tmp_path}/analysis.parquet")
+    got = {r.dup_group: r for r in queries.p7_fused(spark, str(tmp_path)).collect()}
+    values = {g: (r.scene, r.zoom_bucket, r.hdr, r.eyes_closed_n, r.sharp_p90, r.suggested_keep, r.n_sources) for g, r in got.items()}
+    assert values == {"D1": ("S1", None, True, 1, 5.0, "a", 3), "D2": ("S2", None, True, 2, 7.0, "f", 2), "D3": (None, None, True, None, None, None, 1)}
+
+
 def test_words():
     assert leaks.words_of("Größe_a1, x²—Ünï 3.5") == ["größe", "a1", "x", "ünï", "3", "5"]
     assert leaks.words_of(None) == [] and leaks.words_of("") == []
