@@ -158,6 +158,19 @@ def test_fusion_trusts_accurate_sources_and_discounts_copies(spark):
     assert survivor.fuse(df.limit(0)).count() == 0
 
 
+def test_copies_among_later_sources_are_discounted(spark):
+    rnd = random.Random(24)
+    rows = []
+    for o in range(60):
+        truth, lie = f"t{o}", f"t{o}" if rnd.random() < 0.3 else f"lie{o % 7}"
+        for s, p, at in (("good1", 0.95, 1.0), ("good2", 0.9, 2.0), ("good3", 0.9, 2.0)):
+            rows.append((f"o{o}", "f", s, truth if rnd.random() < p else f"w{rnd.randrange(9)}", at))
+        rows += [(f"o{o}", "f", s, lie, at) for s, at in (("bad", 3.0), ("copy1", 4.0), ("copy2", 4.0), ("copy3", 4.0))]
+    df = spark.createDataFrame(rows, "object string, field string, source string, value string, at double")
+    got = {r.object: r.value for r in survivor.fuse(df).collect()}
+    assert sum(got[f"o{o}"] == f"t{o}" for o in range(60)) > 50
+
+
 def test_fused_groups_have_their_records_as_sources(spark, tmp_path):
     # (primary, dup_group, device, scene, eyes_closed_n, sharp_p90, suggested_keep)
     rows = [("a", "D1", "cam", "S1", 1, 5.0, "a"), ("b", "D1", "cam", "S1", 1, 5.0, "a"), ("c", "D1", "cam", "S9", 0, 9.0, "c")]
