@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelsift.config import DELETE_REASONS, DUPLICATE_REASON, REVIEW_PREFIX, TIER_DIRS
 from reelsift.functions.media import is_proxy, is_sidecar, target_path
+from reelsift.shared import materialize
 
 REASON = "^[A-Za-z0-9一-鿿-]{1,20}$"
 
@@ -95,19 +96,23 @@ def destinations(files: DataFrame, taken: DataFrame, most: int = 50) -> DataFram
     """``files`` (primary, path, tier, reason) with ``suffix`` and ``dst``: the first suffix '', _2, _3 ... by which no file of the entry
     meets a path in ``taken``.
 
-    An entry moves as one, so its files share a suffix.  Only entries that clash go on to the next suffix, at most ``most`` times.
+    An entry moves as one, so its files share a suffix.  Only entries that clash go on to the next suffixes, in rounds of
+    ``most`` each until none is left; rounds after the first of these run only if an entry clashes with all of them.
     """
     taken = taken.where("path IS NOT NULL").select(F.col("path").alias("dst")).distinct()
-    tries = files.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))) if most <= 1 else files
     with_dst = lambda df, s: df.withColumns({"suffix": s, "dst": target_path(F.col("path"), F.col("tier"), F.col("reason"), s)})
-    first = with_dst(tries, F.lit(""))
+    first = with_dst(files, F.lit(""))
     clash = first.where(F.col("dst") != F.col("path")).join(taken, "dst", "left_semi").select("primary").distinct()
-    free = first.join(clash, "primary", "left_anti")
-    again = files.join(clash, "primary", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(most))))
-    again = with_dst(again, F.concat(F.lit("_"), F.col("k").cast("string")))
-    bad = again.where(F.col("dst") != F.col("path")).join(taken, "dst", "left_semi").select("primary", "k").distinct()
-    chosen = again.join(bad, ["primary", "k"], "left_anti").groupBy("primary").agg(F.min("k").alias("k"))
-    return free.unionByName(again.join(chosen, ["primary", "k"]).drop("k"))
+    out = first.join(clash, "primary", "left_anti")
+    left, low = materialize(files.join(clash, "primary", "left_semi"), "clashing"), 2
+    while not left.isEmpty():
+        again = left.withColumn("k", F.explode(F.sequence(F.lit(low), F.lit(low + max(most, 1) - 1))))
+        again = with_dst(again, F.concat(F.lit("_"), F.col("k").cast("string")))
+        bad = again.where(F.col("dst") != F.col("path")).join(taken, "dst", "left_semi").select("primary", "k").distinct()
+        chosen = materialize(again.select("primary", "k").distinct().join(bad, ["primary", "k"], "left_anti").groupBy("primary").agg(F.min("k").alias("k")), "chosen")
+        out = out.unionByName(again.join(chosen, ["primary", "k"]).drop("k"))
+        left, low = materialize(left.join(chosen, "primary", "left_anti"), "clashing"), low + max(most, 1)
+    return out
 
 
 def colliding(moves: DataFrame) -> DataFrame:

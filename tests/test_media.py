@@ -202,6 +202,13 @@ def test_destinations_and_collisions(spark):
     assert planning.is_stale(1.0, [1.0, 1.5]) and not planning.is_stale(1.0, [1.0])
 
 
+def test_destinations_go_on_until_no_entry_clashes(spark):
+    files = spark.createDataFrame([("e1", "a.jpg", "02", None), ("e1", "a.mov", "02", None), ("e2", "b.jpg", "02", None), ("e3", "c.jpg", "02", None)], "primary string, path string, tier string, reason string")
+    taken = spark.createDataFrame([("02_优秀/a.mov",), *((f"02_优秀/a_{k}.jpg",) for k in range(2, 121)), ("02_优秀/c.jpg",)], "path string")
+    want = {"a.jpg": "02_优秀/a_121.jpg", "a.mov": "02_优秀/a_121.mov", "b.jpg": "02_优秀/b.jpg", "c.jpg": "02_优秀/c_2.jpg"}
+    assert {r.path: r.dst for r in planning.destinations(files, taken).collect()} == want
+
+
 def test_ledger(spark):
     log = [("B1", 1, "a", "t/a", "pending"), ("B1", 1, None, None, "done"), ("B1", None, None, None, "undone"), ("B2", 1, "a", "t/a", "pending"), ("B2", 1, None, None, "done"), ("B2", 2, "b", "t/b", "pending"), ("B2", 3, "c", "t/c", "pending"), ("B2", 3, None, None, "done"), ("B2", 4, "._d", "t/._d", "auto"), ("B2", 5, "e", "t/e", "pending"), ("B2", 5, None, None, "done")]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(log)], "batch string, seq long, src string, dst string, state string, ord long")
