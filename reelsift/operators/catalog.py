@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelsift.config import CONFIG, Config
 from reelsift.functions.media import classify, image_rank, parent_of, stem_of
-from reelsift.operators.clusters import propagate_labels
+from reelsift.operators.components import component_labels
 
 
 def with_keys(files: DataFrame, path: str = "path") -> DataFrame:
@@ -44,7 +44,7 @@ def merge_by_shared_id(groups: DataFrame, group: str, shared: str) -> DataFrame:
     """
     ids = groups.where(F.col(shared).isNotNull() & (F.col(shared) != "")).select(F.col(group).alias("g"), F.col(shared).alias("s")).distinct()
     first = ids.groupBy("s").agg(F.min("g").alias("f"))
-    labels = propagate_labels(ids.join(first, "s").where("g <> f").select(F.col("f").alias("a"), F.col("g").alias("b")))
+    labels = component_labels(ids.join(first, "s").where("g <> f").select(F.col("f").alias("a"), F.col("g").alias("b")))
     out = groups.select(F.col(group).alias("g")).distinct().join(labels, F.col("g") == F.col("node"), "left")
     return out.select(F.col("g").alias(group), F.coalesce("label", "g").alias("merged"))
 

@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.config import CONFIG, Config
-from reelsift.operators.similarity import band, band_layout, hamming, hamming_pairs
-from reelsift.shared import materialize, release
-
-
-def propagate_labels(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
-    """(node, label): the least node linked to each node of ``edges``, by label propagation with pointer jumps.
-
-    Each round a node takes the least label around it, then the label of its label, until nothing changes; a chain of
-    n nodes takes about log n rounds.  Edges with a null are none.  Rounds are written to the shared folder.
-    """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        least = labels.join(near, F.col("node") == F.col("u")).select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        stepped = materialize(least.join(jump, "next", "left").select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") < F.col("label")).alias("moved")), "labels")
-        release(labels)
-        labels = stepped
-        if stepped.where("moved").isEmpty():
-            return labels.select("node", "label")
-    raise RuntimeError(f"labels still moved after {max_rounds} rounds")
+from reelsift.operators.components import component_labels
+from reelsift.operators.similarity import HOT_BUCKET, band, band_cuts, band_layout, block_keys, frame_links, frame_runs, hamming, hamming_links, links
+from reelsift.shared import materialize
 
 
 def _with_least(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,23 +20,27 @@ def _with_least(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(least, cond)
 
 
-def photo_edges(photos: DataFrame, library: list[str], cfg: Config = CONFIG) -> DataFrame:
+def photo_edges(photos: DataFrame, library: list[str], cfg: Config = CONFIG, hot: int = HOT_BUCKET) -> DataFrame:
     """(a, b) of stills that are near duplicates, between representatives of equal records.
 
     ``photos`` has node, device_key, subtype, scene, time and bits, one row per record.  Within (library, device_key, subtype)
     two match if their hashes differ in at most ``dup_bits``, or in at most ``burst_bits`` if they are of one scene and less
-    than ``burst_gap_s`` apart.  Records with the same hash are linked to the least of them, not pairwise.
+    than ``burst_gap_s`` apart.  Links come out, enough to connect every matching pair; records with the same hash are linked to
+    the least of them.
+
+    Shots of a burst meet in slots of twice the gap, laid over time twice, half a slot apart.  A slot that holds too many, as of
+    a camera whose clock stands, is cut by the hashes' bands.
     """
     block = [*library, "device_key", "subtype"]
     reps = _with_least(photos.where("bits IS NOT NULL"), [*block, "bits"])
     reps = materialize(reps.select("node", "rep", *block, "scene", "time", "bits"), "photo-reps")
     equal = reps.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    close = hamming_pairs(reps.where("node = rep"), block, "bits", "node", cfg.dup_bits).select("a", "b")
-    shots = reps.where("time IS NOT NULL").groupBy(*block, "scene", "time", "bits", "rep").agg(F.min("node").alias("node")).withColumn("slot", F.floor(F.col("time") / cfg.burst_gap_s))
-    a = shots.select(F.struct(*block, F.coalesce("scene", F.lit("\u0001")).alias("scene")).alias("k"), "slot", F.col("time").alias("ta"), F.col("bits").alias("ha"), F.col("node").alias("a"))
-    b = shots.select(F.struct(*block, F.coalesce("scene", F.lit("\u0001")).alias("scene")).alias("k"), F.explode(F.array(F.col("slot"), F.col("slot") - 1, F.col("slot") + 1)).alias("slot"), F.col("time").alias("tb"), F.col("bits").alias("hb"), F.col("node").alias("b"))
-    near = (F.abs(F.col("ta") - F.col("tb")) < cfg.burst_gap_s) & (hamming(F.col("ha"), F.col("hb")) <= cfg.burst_bits)
-    burst = a.join(b, ["k", "slot"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
+    close = hamming_links(reps.where("node = rep"), block, "bits", "node", cfg.dup_bits, hot)
+    shots = reps.where("time IS NOT NULL").groupBy(*block, "scene", "time", "bits").agg(F.min("node").alias("n"))
+    slots = F.array(*[F.xxhash64(F.lit(i), F.floor((F.col("time") + i * cfg.burst_gap_s) / (2 * cfg.burst_gap_s))) for i in (0, 1)])
+    shots = shots.select("n", F.col("time").alias("t"), F.col("bits").alias("h"), F.col("bits").alias("rest"), *[c.alias(k) for k, c in block_keys([*block, "scene"]).items()], F.explode(slots).alias("key"))
+    near = lambda x, y: (F.abs(x["t"] - y["t"]) < cfg.burst_gap_s) & (hamming(x["h"], y["h"]) <= cfg.burst_bits)
+    burst = links(shots, ["t", "h"], near, band_cuts(cfg.burst_bits), hot)
     return equal.unionByName(close).unionByName(burst).distinct()
 
 
@@ -102,17 +84,25 @@ def cluster_spread(records: DataFrame, group: list[str], loose_size: int = CONFI
     return out.withColumn("dup_loose", (F.col("dup_size") >= loose_size) | (F.col("dup_maxdist") > loose_bits))
 
 
-def cross_similar(photos: DataFrame, library: list[str], cfg: Config = CONFIG) -> DataFrame:
+def cross_similar(photos: DataFrame, library: list[str], cfg: Config = CONFIG, hot: int = HOT_BUCKET) -> DataFrame:
     """(a, b) of an IMG and a LIV of one scene at most ``cross_gap_s`` apart whose hashes differ in at most ``burst_bits``.
 
-    Slots are as wide as the tolerance, so partners lie in the same or a neighbouring slot.
+    Slots are as wide as the tolerance, so partners lie in the same or a neighbouring slot.  Slots with more than ``hot`` photos are
+    cut by the hashes' bands, in one of which partners agree.  Every pair comes out once, for the lists of both.
     """
     ok = photos.where("bits IS NOT NULL AND time IS NOT NULL").withColumn("slot", F.floor(F.col("time") / cfg.cross_gap_s))
     key = F.struct(*library, F.coalesce("scene", F.lit("\u0001")).alias("scene"))
     a = ok.where("subtype = 'IMG'").select(key.alias("k"), "slot", F.col("primary").alias("a"), F.col("time").alias("ta"), F.col("bits").alias("ha"))
     b = ok.where("subtype = 'LIV'").select(key.alias("k"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("primary").alias("b"), F.col("time").alias("tb"), F.col("bits").alias("hb"))
     near = (F.abs(F.col("ta") - F.col("tb")) <= cfg.cross_gap_s) & (hamming(F.col("ha"), F.col("hb")) <= cfg.burst_bits)
-    return a.join(b, ["k", "slot"]).where(near).select("a", "b")
+    crowded = materialize(a.select("k", "slot").unionByName(b.select("k", "slot")).groupBy("k", "slot").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("k", "slot"), "crowded")
+    if crowded.isEmpty():
+        return a.join(b, ["k", "slot"]).where(near).select("a", "b")
+    layout = list(enumerate(band_layout(64, cfg.burst_bits + 1)))
+    cut = lambda df, h: df.join(crowded, ["k", "slot"], "left_semi").withColumn("band", F.explode(F.array(*[F.xxhash64(F.lit(i), band(h, s, w)) for i, (s, w) in layout])))
+    calm = a.join(crowded, ["k", "slot"], "left_anti").join(b, ["k", "slot"]).where(near).select("a", "b")
+    hot_pairs = cut(a, "ha").join(cut(b, "hb"), ["k", "slot", "band"]).where(near).select("a", "b").distinct()
+    return calm.unionByName(hot_pairs)
 
 
 def similar_lists(pairs: DataFrame) -> DataFrame:
@@ -143,7 +133,7 @@ def relative_blink(faces: DataFrame, group: list[str], threshold: float = CONFIG
     Persons are the components of :func:`same_person_pairs`; a face without a partner or without a score has none.
     ``faces`` has face, photo, cx, cy, h, blink_l, blink_r, subject.
     """
-    person = propagate_labels(same_person_pairs(faces, group)).withColumnRenamed("node", "face")
+    person = component_labels(same_person_pairs(faces, group)).withColumnRenamed("node", "face")
     most = F.greatest(F.coalesce("blink_l", F.lit(0.0)), F.coalesce("blink_r", F.lit(0.0)))
     scored = faces.join(person, "face", "left").withColumn("__blink", F.when(F.col("label").isNotNull() & (F.col("blink_l").isNotNull() | F.col("blink_r").isNotNull()), most))
     rel = F.round(F.col("__blink") - F.min("__blink").over(Window.partitionBy("label")), 4)
@@ -152,27 +142,17 @@ def relative_blink(faces: DataFrame, group: list[str], threshold: float = CONFIG
     return scored, scored.groupBy("photo").agg(closed.cast("int").alias("eye_rel_closed_n"))
 
 
-
-def video_edges(videos: DataFrame, library: list[str], cfg: Config = CONFIG, share: float = 0.2) -> DataFrame:
-    """(a, b) of videos that are near duplicates, between representatives of equal ones.
+def video_edges(videos: DataFrame, library: list[str], cfg: Config = CONFIG, share: float = 0.2, hot: int = HOT_BUCKET) -> DataFrame:
+    """(a, b) of videos that are near duplicates: links, enough to connect every matching pair.
 
     ``videos`` has node, bits (ARRAY<BIGINT>) and duration.  Two match if both have as many frame hashes, durations differ by at
-    most ``share`` of the longer and the mean distance frame by frame is at most ``dup_bits``.  One frame at least is then
-    no further apart than that, so pairs agree in a band of one frame and lie in the same or neighbouring geometric
-    class of durations.
+    most ``share`` of the longer and the mean distance frame by frame is at most ``dup_bits``; see
+    :func:`reelsift.operators.similarity.frame_links` for how they meet.
     """
     ok = videos.where((F.size("bits") > 0) & ~F.exists("bits", lambda x: x.isNull()) & (F.col("duration") > 0) & (F.col("duration") < float("inf")))
-    same = [*library, "bits", "duration"]
-    reps = materialize(_with_least(ok, same).select("node", "rep", *same), "video-reps")
-    equal = reps.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    layout = band_layout(64, cfg.dup_bits + 1)
-    block = F.struct(*library, F.size("bits").alias("n"))
-    # A little wider than the tolerance, so that rounding loses no pair at its edge.
-    slot = F.floor(F.log(F.col("duration")) / (-math.log(1 - share) * 1.001))
-    bands = F.flatten(F.transform("bits", lambda h, j: F.array(*[F.xxhash64(j, F.lit(i), band(h, s, w)) for i, (s, w) in enumerate(layout)])))
-    base = reps.where("node = rep").select("node", "bits", "duration", block.alias("block"), slot.alias("slot"), F.explode(bands).alias("key"))
-    a = base.select("block", "key", "slot", F.col("node").alias("a"), F.col("bits").alias("ba"), F.col("duration").alias("da"))
-    b = base.select("block", "key", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("node").alias("b"), F.col("bits").alias("bb"), F.col("duration").alias("db"))
-    total = F.aggregate(F.zip_with("ba", "bb", hamming), F.lit(0), lambda s, x: s + x)
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= share * F.greatest("da", "db")) & (total <= cfg.dup_bits * F.size("ba"))
-    return equal.unionByName(a.join(b, ["block", "key", "slot"]).where(near).select("a", "b").distinct())
+    keyed = ok.select("node", *[c.alias(k) for k, c in block_keys(library).items()], "bits", "duration")
+    of_run = keyed.join(frame_runs(keyed, share), ["g", "g2", "bits", "duration"]).select("node", "g", "g2", "bits", "duration", "run")
+    of_run = materialize(of_run, "video-runs")
+    runs = materialize(of_run.groupBy("g", "g2", "bits", "run").agg(F.min("node").alias("rep"), F.min("duration").alias("lo"), F.max("duration").alias("hi")), "video-reps")
+    equal = of_run.join(runs, ["g", "g2", "bits", "run"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return equal.unionByName(frame_links(runs.withColumnRenamed("rep", "node"), cfg.dup_bits, share, hot)).distinct()

@@ -9,6 +9,7 @@ from reelsift.config import CONFIG, DELETE_REASONS, DUPLICATE_REASON
 from reelsift.functions import media as m
 from reelsift.functions.text import nfc
 from reelsift.operators import catalog, clusters, eyes, flags, ledger, pixels, planning
+from reelsift.operators.components import component_labels
 from reelsift.operators.baseline import PHOTO_LEVELS, adaptive_levels, ladder_median
 from reelsift.operators.current import current_rows, finite, known, valid_number
 from reelsift.operators.scenes import assign_ids, assign_scenes, sheet_layout
@@ -267,7 +268,7 @@ _BAD_PHOTO, _BAD_VIDEO = ["R1", "R3-high", "R3-low"], ["V1", "V3", "V4-high", "V
 def _photo_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = stills(spark, d, "device", "scene", "subtype", "time", "phash", "flags", "subject_open_n", "eyes_closed_n", "sharp_p90")
     rows = rows.withColumns({"device_key": m.device_key(F.col("device")), "bits": hash_bits(F.col("phash")), "node": F.col("primary")})
-    components = clusters.propagate_labels(clusters.photo_edges(rows, ["root"]))
+    components = component_labels(clusters.photo_edges(rows, ["root"]))
     labelled = clusters.label_clusters(rows, components, ["root"], ["device_key", "subtype"], "D")
     sharp = F.when(valid_number("sharp_p90"), F.col("sharp_p90")).otherwise(0.0)
     order = [-F.coalesce("subject_open_n", F.lit(0)), F.coalesce("eyes_closed_n", F.lit(0)), -sharp, F.col("time").isNull(), F.col("time")]
@@ -307,7 +308,7 @@ def cluster_spread(spark: SparkSession, d: str) -> DataFrame:
 
 def _video_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = _video_flags(spark, d).withColumns({"node": F.col("primary"), "bits": F.transform("phashes", lambda x: hash_bits(x))})
-    components = clusters.propagate_labels(clusters.video_edges(rows, ["root"]))
+    components = component_labels(clusters.video_edges(rows, ["root"]))
     labelled = clusters.label_clusters(rows, components, ["root"], [], "VD")
     order = [-F.coalesce("sharp", F.lit(0.0)), -F.coalesce("duration", F.lit(0.0))]
     return clusters.keeper(labelled, ["root", "dup_group"], _BAD_VIDEO, order)

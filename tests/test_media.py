@@ -9,8 +9,9 @@ from reelsift.functions import media as m
 from reelsift.functions import times
 from reelsift.operators import catalog, clusters, eyes, flags, ledger, pixels, planning
 from reelsift.operators.baseline import ladder_median
+from reelsift.operators.components import component_labels
 from reelsift.operators.scenes import assign_ids, assign_scenes, sheet_layout
-from reelsift.operators.similarity import hash_bits
+from reelsift.operators.similarity import hamming_links, hash_bits
 
 ITEM = "primary string, kind string, time double, time_end double, seq int, gps struct<lat: double, lon: double>"
 
@@ -138,11 +139,57 @@ def test_photo_edges_at_their_limits(spark):
     assert sorted(map(tuple, clusters.photo_edges(df, ["root"]).collect())) == [("a", "a2"), ("a", "b"), ("e", "f")]
 
 
-def test_labels_reach_the_least_node_along_a_chain(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 3)], "a long, b long")
-    got = {r.node: r.label for r in clusters.propagate_labels(df).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
-    assert clusters.propagate_labels(df.limit(0)).count() == 0
+def test_labels_reach_the_least_node_whatever_the_order(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 3), (7, 7), (200, 200), (5, 4), (5, 4)], "a long, b long")
+    got = {r.node: r.label for r in component_labels(df).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
+    assert component_labels(df.limit(0)).count() == 0
+    # A shuffled chain, one of bit-reversed order, and a star whose hub is the greatest.
+    names = np.random.default_rng(1).permutation(10_000).tolist()
+    chain = list(zip(names, names[1:]))
+    turned = [20_000 + int(f"{i:010b}"[::-1], 2) for i in range(1024)]
+    star = [(40_000, 30_000 + i) for i in range(500)]
+    df = spark.createDataFrame(chain + list(zip(turned, turned[1:])) + star, "a long, b long")
+    got = component_labels(df).groupBy("label").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 10_000), (20_000, 1024), (30_000, 501)]
+
+
+def test_links_connect_what_pairs_connect(spark):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**62, 12)
+    rows = []
+    for i in range(400):
+        h = int(base[int(rnd.integers(12))])
+        for bit in rnd.integers(0, 64, int(rnd.integers(0, 6))):
+            h ^= 1 << int(bit)
+        rows.append((i, "r" if i % 5 else None, h - (1 << 64) if h >= 1 << 63 else h))
+    df = spark.createDataFrame(list({(r, h): (i, r, h) for i, r, h in rows}.values()), "node long, root string, h long")
+    kept = [tuple(r) for r in df.collect()]
+    near = [(a, b) for a, ra, ha in kept for b, rb, hb in kept if a < b and ra == rb and ((ha ^ hb) & (2**64 - 1)).bit_count() <= 6]
+    label = {a: a for a, _, _ in kept}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in near:
+        x, y = sorted((top(a), top(b)))
+        label[y] = x
+    want = {a: top(a) for p in near for a in p}
+    for hot in (256, 20, 3):
+        edges = hamming_links(df, ["root"], "h", "node", 6, hot)
+        assert {tuple(r) for r in edges.collect()} <= set(near)
+        assert {r.node: r.label for r in component_labels(edges).collect()} == want
+
+
+def test_a_stopped_clock_is_cut(spark):
+    rows = [(f"p{i:03d}", "r", "cam", "IMG", None, 5.0, (1 << (i % 60)) if i % 7 else i * 0x9E3779B97F4A7C15 % 2**63) for i in range(300)]
+    df = spark.createDataFrame(rows, "node string, root string, device_key string, subtype string, scene string, time double, bits long")
+    calm, cut = (sorted(map(tuple, component_labels(clusters.photo_edges(df, ["root"], hot=hot)).collect())) for hot in (1000, 10))
+    assert calm == cut and len(calm) > 250
+    x = df.withColumn("primary", F.col("node")).withColumn("subtype", F.when(F.substring("node", 4, 1) < "5", "IMG").otherwise("LIV"))
+    assert sorted(map(tuple, clusters.cross_similar(x, ["root"], hot=1000).collect())) == sorted(map(tuple, clusters.cross_similar(x, ["root"], hot=10).collect()))
 
 
 def test_spread(spark):
