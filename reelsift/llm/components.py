@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from reelsift.shared import materialize, release
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node u links its neighbours greater than u to the least of u and its neighbours."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _both_ways(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -22,28 +26,45 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def _with_leaves(edges: DataFrame, name: str) -> DataFrame:
+    """Edges (u > v, distinct) with ``leaf``: u has no other edge.  Written to the shared folder."""
+    ends = _both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("u", F.lit(True).alias("leaf"))
+    return materialize(edges.join(ends, "u", "left").select("u", "v", F.coalesce("leaf", F.lit(False)).alias("leaf")), name)
+
+
+def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of ``pairs`` the least node that it is linked to, directly or not.
 
     Nodes are of any ordered type.  Pairs may repeat, stand in either order or link a node to itself; a node
     that is linked only to itself is its own component.  Pairs with a null are no links.  An empty table gives an
-    empty table.  Rounds go on until the edges don't change; each is written to the shared folder.
+    empty table.
+
+    A node whose only neighbour is less than itself has that one's component, whatever comes: its edge is put aside, before the first round and
+    after each.  So stars, which both steps leave as they are, vanish at once; rounds go on over what is left until no edge
+    is.  Each is written to the shared folder, and the edges put aside are followed back from the last round to the first.
     A hub's edges are spread: least neighbours are pre-aggregated, and Spark splits the hub's rows in the join.
     """
     pairs = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    every = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    edges, state = every.where("u > v"), None
-    for _ in range(max_rounds):
-        done = materialize(_small_star(_large_star(edges)).distinct(), "stars")
-        now = done.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if edges is not every:
-            release(edges)
-        if now == state:
+    alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
+    edges = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    aside = []
+    while True:
+        edges = _with_leaves(edges, "stars")
+        aside.append(edges)
+        rest = edges.where("NOT leaf").select("u", "v")
+        if rest.isEmpty():
             break
-        edges, state = done, now
-    else:
-        raise RuntimeError(f"components still changed after {max_rounds} rounds")
-    # Stable under both: every edge leads to the component's least node.
-    members = done.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = every.select("v").unionByName(every.where("u = v").select(F.col("u").alias("v"))).distinct().join(members.select(F.col("node").alias("v")), "v", "left_anti")
-    return members.unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+        edges = _small_star(_large_star(rest)).distinct()
+    members = None
+    for done in reversed(aside):
+        leaves = done.where("leaf").select(F.col("u").alias("node"), F.col("v").alias("up"))
+        if members is None:
+            members = leaves.withColumnRenamed("up", "component")
+        else:
+            found = leaves.join(members.select(F.col("node").alias("up"), "component"), "up", "left").select("node", F.coalesce("component", "up").alias("component"))
+            members = materialize(found.unionByName(members), "members")
+    for done in aside[:-1]:
+        release(done)
+    roots = members.select(F.col("component").alias("node")).distinct()
+    members = members.unionByName(roots.select("node", F.col("node").alias("component")))
+    return members.unionByName(alone.join(members.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -2,56 +2,43 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm.components import connected_components
 from reelsift.operators.current import known
-from reelsift.operators.similarity import HOT_BUCKET, band, band_layout, hamming, hamming_pairs, hash_bits
+from reelsift.operators.similarity import HOT_BUCKET, block_keys, frame_links, frame_runs, hamming_links, hash_bits
 from reelsift.shared import materialize
 
 
-def numbered(nodes: DataFrame, label: str, name: str) -> DataFrame:
-    """``nodes`` with BIGINT ``node`` in the order of ``label``: the least number of a group has its least label.
-
-    Range-partitioned and sorted, so that the number needs no global counter; written at once, since
-    the numbers hold only for one evaluation.  Labels must be unique and not null.
-    """
-    plain = materialize(nodes, f"{name}-plain")
-    n = max(2, plain.rdd.getNumPartitions())
-    return materialize(plain.repartitionByRange(n, label).sortWithinPartitions(label).withColumn("node", F.monotonically_increasing_id()), name)
+def numbered(nodes: DataFrame, name: str) -> DataFrame:
+    """``nodes`` with BIGINT ``node``, unique but in no order; written at once, since the numbers hold for one evaluation only."""
+    return materialize(nodes.withColumn("node", F.monotonically_increasing_id()), name)
 
 
 class Graph:
-    """Records reduced to nodes, and the pairs of nodes that match.
+    """Records reduced to nodes, and links between nodes that match.
 
-    ``nodes`` has (node, least, n_records), ``members`` (node, primary); a node of several records is a match in itself.
+    ``members`` has (node, n_records, primary), n_records that of the node; records of one node match each other.
     """
 
-    def __init__(self, nodes: DataFrame, members: DataFrame, pairs: DataFrame):
-        self.nodes, self.members, self.pairs = nodes, members, pairs
+    def __init__(self, members: DataFrame, links: DataFrame):
+        self.members, self.links = members, links
 
     def moved(self, by: int) -> Graph:
         """The same with other numbers, to stand beside another graph."""
         shift = lambda df, *cs: df.withColumns({c: F.col(c) + F.lit(by) for c in cs})
-        return Graph(shift(self.nodes, "node"), shift(self.members, "node"), shift(self.pairs, "a", "b"))
+        return Graph(shift(self.members, "node"), shift(self.links, "a", "b"))
 
     def beside(self, other: Graph) -> Graph:
-        cut = ["node", "least", "n_records"]
-        return Graph(self.nodes.select(cut).unionByName(other.nodes.select(cut)), self.members.unionByName(other.members), self.pairs.unionByName(other.pairs))
+        return Graph(self.members.unionByName(other.members), self.links.unionByName(other.links))
 
     def groups(self) -> DataFrame:
         """(group_key, primary) of all records with a match; group_key is the least primary linked to it."""
-        copies = self.nodes.where("n_records > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-        of = connected_components(self.pairs.unionByName(copies))
-        names = self.nodes.select(F.col("node").alias("component"), F.col("least").alias("group_key"))
-        return self.members.join(of.join(names, "component"), "node").select("group_key", "primary")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[k]) for k in keys])
+        of = connected_components(self.links)
+        found = self.members.join(of, "node", "left").where("component IS NOT NULL OR n_records > 1").select("primary", F.coalesce("component", "node").alias("component"))
+        found = materialize(found, "linked")
+        return found.join(found.groupBy("component").agg(F.min("primary").alias("group_key")), "component").select("group_key", "primary")
 
 
 def still_graph(stills: DataFrame, threshold: int = 6, hot: int = HOT_BUCKET) -> Graph:
@@ -61,19 +48,10 @@ def still_graph(stills: DataFrame, threshold: int = 6, hot: int = HOT_BUCKET) ->
     all unknown ones equal) and subtype are equal and their hashes differ in at most ``threshold`` bits.  A null or
     malformed hash matches nothing.  Copies of a hash are one node, so they are never paired with each other.
     """
-    keys = ["root", "device", "subtype", "bits"]
-    records = materialize(
-        stills.select("primary", "root", known("device").alias("device"), "subtype", hash_bits(F.col("phash")).alias("bits")).where("bits IS NOT NULL AND primary IS NOT NULL"), "stills"
-    )
-    nodes = numbered(records.groupBy(*keys).agg(F.min("primary").alias("least"), F.count(F.lit(1)).alias("n_records")), "least", "still-nodes")
-    pairs = hamming_pairs(nodes, keys[:3], "bits", "node", threshold, hot).select("a", "b")
-    members = records.join(nodes, _null_safe(records, nodes, keys)).select("node", "primary")
-    return Graph(nodes, members, pairs)
-
-
-def _near(lo: Column, hi: Column, lo2: Column, hi2: Column, share: float) -> Column:
-    """Whether two runs of durations hold a pair that differs by at most ``share`` of the longer one."""
-    return ((lo - hi2) <= share * lo) & ((lo2 - hi) <= share * lo2)
+    rows = stills.select("primary", "root", known("device").alias("device"), "subtype", hash_bits(F.col("phash")).alias("bits")).where("bits IS NOT NULL AND primary IS NOT NULL")
+    records = materialize(rows.select("primary", "bits", *[c.alias(k) for k, c in block_keys(["root", "device", "subtype"]).items()]), "stills")
+    nodes = numbered(records.groupBy("g", "g2", "bits").agg(F.count(F.lit(1)).alias("n_records")), "still-nodes")
+    return Graph(records.join(nodes, ["g", "g2", "bits"]).select("node", "n_records", "primary"), hamming_links(nodes, ["g", "g2"], "bits", "node", threshold, hot))
 
 
 def video_graph(videos: DataFrame, threshold: int = 6, share: float = 0.2, hot: int = HOT_BUCKET) -> Graph:
@@ -86,65 +64,19 @@ def video_graph(videos: DataFrame, threshold: int = 6, share: float = 0.2, hot:
 
     One node stands for all videos of a root with the same hashes whose durations form a chain without a gap beyond
     ``share``: such videos are linked anyway, and two chains hold a matching pair just where their ranges come near
-    enough.  One frame at least of a pair differs in no more than the mean, so frames are cut into
-    bands as stills are; a bucket that is hot, such as of black frames, is cut again by the bands of another frame, one
-    of which differs in at most threshold * L / (L - 1) bits.
+    enough.
     """
     bits = F.transform("phashes", lambda x: hash_bits(x))
-    records = (
+    rows = (
         videos.where("error IS NULL AND primary IS NOT NULL")
         .select("primary", "root", F.col("duration").cast("double").alias("duration"), bits.alias("bits"))
         .where((F.size("bits") > 0) & ~F.exists("bits", lambda x: x.isNull()) & (F.col("duration") >= 0) & ~F.isnan("duration") & (F.col("duration") < float("inf")))
     )
-    same = Window.partitionBy("root", "bits").orderBy("duration")
-    prev = F.lag("duration").over(same)
-    lengths = records.groupBy("root", "bits", "duration").agg(F.min("primary").alias("least"), F.count(F.lit(1)).alias("n"))
-    lengths = materialize(
-        lengths.withColumn("gap", F.when(prev.isNull() | ((F.col("duration") - prev) > share * F.col("duration")), 1).otherwise(0)).withColumn("run", F.sum("gap").over(same.rowsBetween(Window.unboundedPreceding, 0))).drop("gap"),
-        "video-lengths",
-    )
-    nodes = numbered(
-        lengths.groupBy("root", "bits", "run").agg(F.min("least").alias("least"), F.sum("n").alias("n_records"), F.min("duration").alias("lo"), F.max("duration").alias("hi")), "least", "video-nodes"
-    )
-    base = nodes.select("node", "bits", "lo", "hi", F.size("bits").alias("L"), F.xxhash64("root", F.col("root").isNull(), F.size("bits")).alias("g"), F.xxhash64(F.lit(17), "root", F.col("root").isNull()).alias("g2"))
-    layout = band_layout(64, threshold + 1)
-    cuts = F.flatten(F.transform("bits", lambda h, j: F.array(*[F.struct(j.alias("j"), F.xxhash64("g", "g2", j, F.lit(i), band(h, s, w)).alias("key")) for i, (s, w) in enumerate(layout)])))
-    keyed = base.withColumn("x", F.explode(cuts)).select("node", "bits", "lo", "hi", "L", "g", "g2", "x.j", "x.key")
-    crowded = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key"), "crowded")
-    if not crowded.isEmpty():
-        keyed = _cut_again(materialize(keyed.join(crowded.withColumn("crowded", F.lit(True)), "key", "left"), "frames"), threshold)
-    a = keyed.select("key", "g", "g2", F.col("node").alias("a"), F.col("bits").alias("ba"), F.col("lo").alias("la"), F.col("hi").alias("ua"))
-    b = keyed.select("key", "g", "g2", F.col("node").alias("b"), F.col("bits").alias("bb"), F.col("lo").alias("lb"), F.col("hi").alias("ub"))
-    total = F.aggregate(F.zip_with("ba", "bb", hamming), F.lit(0), lambda s, x: s + x)
-    pairs = (
-        a.join(b, ["key", "g", "g2"])
-        .where((F.col("a") < F.col("b")) & _near(F.col("la"), F.col("ua"), F.col("lb"), F.col("ub"), share) & (total <= threshold * F.size("ba")))
-        .select("a", "b")
-        .distinct()
-    )
-    of_length = lengths.join(nodes, _null_safe(lengths, nodes, ["root", "bits", "run"])).select("node", lengths["root"], lengths["bits"], lengths["duration"])
-    members = records.join(of_length, _null_safe(records, of_length, ["root", "bits", "duration"])).select("node", "primary")
-    return Graph(nodes, members, pairs)
-
-
-def _cut_again(marked: DataFrame, threshold: int) -> DataFrame:
-    """Rows of crowded buckets given the bands of each other frame, too.
-
-    Of the other frames one differs in at most threshold * L / (L - 1) bits: for 2, 3 and more frames; with one frame the
-    bucket stays.
-    """
-    cuts_by_length = [band_layout(64, threshold * n // (n - 1) + 1) for n in (2, 3, 4)]
-
-    def again(h: Column, k: Column, bands: list[tuple[int, int]]) -> Column:
-        return F.array(*[F.xxhash64("key", k, F.lit(i), band(h, s, w)) for i, (s, w) in enumerate(bands)])
-
-    def finer(h: Column, k: Column) -> Column:
-        two, three, more = (again(h, k, bands) for bands in cuts_by_length)
-        return F.when(k == F.col("j"), F.array().cast("array<bigint>")).when(F.col("L") == 2, two).when(F.col("L") == 3, three).otherwise(more)
-
-    hot_rows = marked.where(F.col("crowded") & (F.col("L") > 1)).withColumn("key", F.explode(F.flatten(F.transform("bits", finer))))
-    cold = marked.where(F.col("crowded").isNull() | (F.col("L") == 1))
-    return cold.drop("crowded").unionByName(hot_rows.drop("crowded"))
+    records = materialize(rows.select("primary", "bits", "duration", *[c.alias(k) for k, c in block_keys(["root"]).items()]), "videos")
+    lengths = materialize(frame_runs(records, share), "video-lengths")
+    nodes = numbered(lengths.groupBy("g", "g2", "bits", "run").agg(F.sum("n").alias("n_records"), F.min("duration").alias("lo"), F.max("duration").alias("hi")), "video-nodes")
+    of_length = lengths.select("g", "g2", "bits", "duration", "run").join(nodes.select("g", "g2", "bits", "run", "node", "n_records"), ["g", "g2", "bits", "run"])
+    return Graph(records.join(of_length, ["g", "g2", "bits", "duration"]).select("node", "n_records", "primary"), frame_links(nodes, threshold, share, hot))
 
 
 def lookalike_groups(stills: DataFrame, videos: DataFrame, threshold: int = 6, share: float = 0.2) -> DataFrame:
