@@ -9,7 +9,7 @@ from reelsift.shared import materialize, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def _with_leaves(edges: DataFrame, name: str) -> DataFrame:
+def _with_leaves(edges: DataFrame) -> DataFrame:
     """Edges (u > v, distinct) with ``leaf``: u has no other edge.  Written to the shared folder."""
     ends = _both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("u", F.lit(True).alias("leaf"))
-    return materialize(edges.join(ends, "u", "left").select("u", "v", F.coalesce("leaf", F.lit(False)).alias("leaf")), name)
+    return materialize(edges.join(ends, "u", "left").select("u", "v", F.coalesce("leaf", F.lit(False)).alias("leaf")), "stars")
 
 
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -45,16 +45,17 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFr
     A hub's edges are spread: least neighbours are pre-aggregated, and Spark splits the hub's rows in the join.
     """
     pairs = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
-    edges = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    aside = []
+    every = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
+    alone, edges, aside = every.where("u = v").select(F.col("u").alias("node")), every.where("u > v"), []
     while True:
-        edges = _with_leaves(edges, "stars")
-        aside.append(edges)
-        rest = edges.where("NOT leaf").select("u", "v")
+        stars = _with_leaves(edges)
+        aside.append(stars)
+        if aside[1:]:
+            release(edges)
+        rest = stars.where("NOT leaf").select("u", "v")
         if rest.isEmpty():
             break
-        edges = _small_star(_large_star(rest)).distinct()
+        edges = materialize(_small_star(_large_star(rest)).distinct(), "edges")
     members = None
     for done in reversed(aside):
         leaves = done.where("leaf").select(F.col("u").alias("node"), F.col("v").alias("up"))
