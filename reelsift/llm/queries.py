@@ -69,7 +69,7 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Groups of at least 25 values whose stored median is off by more than 20 % of the true one."""
     rows = _measures(spark, d)
-    true = percentiles.percentiles(percentiles.state(rows, _GROUP, "x"), _GROUP, {"p50": 0.5})
+    true = percentiles.percentiles(percentiles.cells(rows, _GROUP, "x"), _GROUP, {"p50": 0.5})
     stored = rows.where("stored IS NOT NULL").groupBy(*_GROUP).agg(F.max("stored").alias("stored"))
     both = true.where(F.col("n_values") >= LEAST_GROUP).join(stored, _GROUP)
     return both.where(F.abs(F.col("stored") - F.col("p50")) > OFF * F.abs(F.col("p50"))).select(*_GROUP)
@@ -77,24 +77,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of sharpness per group."""
-    exact = percentiles.percentiles(percentiles.state(_measures(spark, d), _GROUP, "x"), _GROUP, SHARES)
+    exact = percentiles.percentiles(percentiles.cells(_measures(spark, d), _GROUP, "x"), _GROUP, SHARES)
     return exact.select(*_GROUP, "n_values", *[F.round(n, 6).alias(n) for n in SHARES])
 
 
 def p2_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles from states of months, made apart with cells of 32 bits and combined, against the exact ones.
+    """Percentiles from states of months, made apart with cells of 32 bits and combined, held against the exact ones.
 
     within_bound: each is off by at most 2 ** -20 of its size.
     """
     rows = _measures(spark, d)
     states = [percentiles.state(rows.where(F.pmod(F.coalesce(F.month("run_at"), F.lit(0)), F.lit(3)) == part), _GROUP, "x", digits=2) for part in range(3)]
     near = percentiles.percentiles(percentiles.combine(states, _GROUP), _GROUP, SHARES, digits=2)
-    exact = percentiles.percentiles(percentiles.state(rows, _GROUP, "x"), _GROUP, SHARES).select(*_GROUP, *[F.col(n).alias(f"{n}_exact") for n in SHARES])
+    exact = percentiles.percentiles(percentiles.cells(rows, _GROUP, "x"), _GROUP, SHARES).select(*_GROUP, *[F.col(n).alias(f"{n}_exact") for n in SHARES])
     off = [F.abs(F.col(n) - F.col(f"{n}_exact")) <= F.col(f"{n}_exact") * 2.0**-20 for n in SHARES]
     ok = off[0]
     for o in off[1:]:
         ok = ok & o
-    return near.join(exact, _GROUP).select(*_GROUP, "n_values", ok.alias("within_bound"))
+    # Cells are binary fractions, so that some stand just between two decimals.
+    return near.join(exact, _GROUP).select(*_GROUP, "n_values", *[F.round(F.col(n) + 1e-8, 6).alias(n) for n in SHARES], ok.alias("within_bound"))
 
 
 _P2_SQL = f"""
@@ -273,7 +274,15 @@ SQL = {
     "p1_groups": _P1_SQL + "SELECT group_key, count(*) AS n_records FROM found GROUP BY group_key",
     "p2_found": _P2_SQL + "SELECT tbl, device, grp FROM ok GROUP BY ALL HAVING count(*) >= 25 AND abs(max(stored) - median(x)) > 0.2 * median(x)",
     "p2_percentiles": _P2_SQL + "SELECT tbl, device, grp, count(*) AS n_values, " + ", ".join(f"round(quantile_cont(x, {p}), 6) AS {n}" for n, p in SHARES.items()) + " FROM ok GROUP BY ALL",
-    "p2_combined": _P2_SQL + "SELECT tbl, device, grp, count(*) AS n_values, true AS within_bound FROM ok GROUP BY ALL",
+    # A cell of 32 bits is the value with 20 bits after the first of its mantissa.
+    "p2_combined": _P2_SQL
+    + ", low AS (SELECT *, CASE WHEN x > 0 THEN floor(x * pow(2, 20 - floor(log2(x)))) * pow(2, floor(log2(x)) - 20) ELSE 0 END AS y FROM ok), q AS (SELECT tbl, device, grp, count(*) AS n_values, "
+    + ", ".join(f"quantile_cont(y, {p}) AS {n}, quantile_cont(x, {p}) AS {n}_exact" for n, p in SHARES.items())
+    + " FROM low GROUP BY ALL) SELECT tbl, device, grp, n_values, "
+    + ", ".join(f"round({n} + 1e-8, 6) AS {n}" for n in SHARES)
+    + ", "
+    + " AND ".join(f"abs({n} - {n}_exact) <= {n}_exact * pow(2, -20)" for n in SHARES)
+    + " AS within_bound FROM q",
     "p3_found": _P3_SQL + "SELECT least(p, q) AS primary_a, greatest(p, q) AS primary_b FROM near WHERE k = 1",
     "p3_distances": _P3_SQL + "SELECT floor(dt * 10)::BIGINT AS tenths, count(*) AS n FROM near WHERE k = 1 GROUP BY 1",
     "p7_found": _P7_SQL,

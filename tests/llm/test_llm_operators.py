@@ -91,7 +91,7 @@ def test_percentiles_are_exact_and_states_combine(spark):
     rows += [("a", None), ("a", float("nan")), ("a", float("inf")), ("only", None)]
     df = spark.createDataFrame(rows, "g string, x double").withColumn("cell", F.lit(1))
     shares = {"lo": 0.0, "p33": 0.33, "mid": 0.5, "hi": 1.0}
-    got = {r.g: r for r in percentiles.percentiles(percentiles.state(df, ["g"], "x"), ["g"], shares).collect()}
+    got = {r.g: r for r in percentiles.percentiles(percentiles.cells(df, ["g"], "x"), ["g"], shares).collect()}
     for g in ("a", "b", None):
         xs = [v for k, v in rows if k == g and v is not None and np.isfinite(v)]
         assert got[g].n_values == len(xs)
@@ -103,7 +103,7 @@ def test_percentiles_are_exact_and_states_combine(spark):
     for g in ("a", "b", None):
         for name in ("p33", "mid", "hi"):
             assert abs(near[g][name] - got[g][name]) <= max(abs(got[g][name]) * 2.0**-19, 1e-200)
-    assert percentiles.percentiles(percentiles.state(df.limit(0), ["g"], "x"), ["g"], shares).count() == 0
+    assert percentiles.percentiles(percentiles.cells(df.limit(0), ["g"], "x"), ["g"], shares).count() == 0
 
 
 def test_nearest_matches_brute_force(spark):
