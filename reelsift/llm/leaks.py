@@ -132,7 +132,8 @@ def find_leaks(
     sample: int = 6,
     recall: float = 0.95,
     seed: int = 7,
-    block_chars: int = 16_000_000,
+    whole_short: bool = False,
+    block_bytes: int = 128_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, longest, edits): documents that hold a window of ``window`` words of an item.
 
@@ -140,45 +141,40 @@ def find_leaks(
     has up to as many words less or more than the window; at 0 this is exact: equal windows have equal signatures, so
     none is missed.  For more, enough repetitions are made to reach ``recall``: signatures are of ``window`` words, and the
     exact comparison tries every end within the edits.  n_windows: words of the document where a match begins, longest: words of
-    the longest run of matches, edits: the least distance.  Texts that are null, items of fewer words than the window and documents of
-    fewer words than it less the edits match nothing; repeated documents or items give one row per pair of ids; rows with
+    the longest run of matches, edits: the least distance.  Items of fewer words than the window match nothing, or with ``whole_short``
+    documents in which all their words stand in a row, without edits.  Texts that are null or without words and documents of
+    fewer words than the window less the edits match nothing else; repeated documents or items give one row per pair of ids; rows with
     a null id are left out.
 
     Windows are compared by 64-bit codes of their words, all candidates of a slice at once.
 
-    Items are sent to the workers in blocks of at most ``block_chars`` characters each, one pass over the documents per block,
-    so that what is sent never grows with the items.  Documents are never shuffled; whole texts are read.
+    Items are sent to the workers in blocks, one pass over the documents per block, so that what is sent never grows with the items:
+    a block's codes, signatures and orders take at most about ``block_bytes``.  Documents are never shuffled; whole texts are read.
     """
     spark = documents.sparkSession
     reps = repetitions_for(window, most_edits, sample, recall)
     items = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t")).distinct()
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / block_chars))
+    # A word has a character and another between it and the next; for each, a code, a place, and a signature and its order per repetition.
+    blocks = max(1, math.ceil((total / 2 + 1) * (16 * reps + 24) / block_bytes))
     dtype, itype = dict(docs.dtypes)["d"], dict(items.dtypes)["i"]
     schema = f"d {dtype}, i {itype}, n_windows int, longest int, edits int"
     out = None
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         rows = [(r["i"], words_of(r["t"])) for r in part.toLocalIterator()]
-        rows = [(i, w) for i, w in rows if len(w) >= window]
-        known = _Codes()
-        codes = np.fromiter((known[x] for _, w in rows for x in w), np.uint64)
-        firsts = np.cumsum([0] + [len(w) for _, w in rows])[:-1]
-        starts = np.concatenate([f + np.arange(len(w) - window + 1) for f, (_, w) in zip(firsts, rows)] or [np.empty(0, np.int64)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(w) - window + 1 for _, w in rows]).astype(np.int64)
-        sigs = walk_signatures(codes, starts, window, reps, sample, seed) if len(starts) else np.empty((reps, 0), np.uint64)
-        order = [np.argsort(s, kind="stable") for s in sigs]
-        sent = spark.sparkContext.broadcast(([i for i, _ in rows], owner, (codes, starts), [s[o] for s, o in zip(sigs, order)], order))
+        sent = spark.sparkContext.broadcast([x for x in [_item_windows([r for r in rows if len(r[1]) >= window], window, reps, sample, seed, most_edits)] + [_item_windows([r for r in rows if len(r[1]) == n], n, 1, sample, seed, 0) for n in range(1, window if whole_short else 1)] if x])
 
         def match(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            rows, owner, items, sorted_sigs, order = sent.value
             known = _Codes()
             for pdf in batches:
                 # A few hundred documents at a time, fewer if they are long, bound the memory.
                 sizes = pdf["t"].str.len().to_numpy()
                 for chunk in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(sizes) // 400_000)) + 1):
-                    found = _match_chunk(pdf["d"].iloc[chunk].tolist(), pdf["t"].iloc[chunk].tolist(), known, rows, owner, items, sorted_sigs, order, window, reps, sample, seed, most_edits)
+                    words = [words_of(t) for t in pdf["t"].iloc[chunk].tolist()]
+                    codes = np.fromiter((known[x] for w in words for x in w), np.uint64, sum(map(len, words)))
+                    found = [r for group in sent.value for r in _match_chunk(pdf["d"].iloc[chunk].tolist(), words, codes, sample, seed, *group)]
                     if found:
                         yield pd.DataFrame(found, columns=["d", "i", "n_windows", "longest", "edits"])
 
@@ -187,12 +183,25 @@ def find_leaks(
     return out.groupBy(F.col("d").alias(doc_id), F.col("i").alias(item_id)).agg(F.max("n_windows").alias("n_windows"), F.max("longest").alias("longest"), F.min("edits").alias("edits"))
 
 
-def _match_chunk(ids, texts, known, rows, owner, items, sorted_sigs, order, window, reps, sample, seed, most_edits) -> list[tuple]:
-    words = [words_of(t) for t in texts]
+def _item_windows(rows: list[tuple], window: int, reps: int, sample: int, seed: int, most_edits: int) -> tuple | None:
+    """All windows of ``window`` words of items (id, words), with their sorted signatures; None without any."""
+    if not rows:
+        return None
+    known = _Codes()
+    codes = np.fromiter((known[x] for _, w in rows for x in w), np.uint64)
+    firsts = np.cumsum([0] + [len(w) for _, w in rows])[:-1]
+    starts = np.concatenate([f + np.arange(len(w) - window + 1) for f, (_, w) in zip(firsts, rows)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(w) - window + 1 for _, w in rows]).astype(np.int64)
+    sigs = walk_signatures(codes, starts, window, reps, sample, seed)
+    order = [np.argsort(s, kind="stable") for s in sigs]
+    return [i for i, _ in rows], owner, (codes, starts), [s[o] for s, o in zip(sigs, order)], order, window, reps, most_edits
+
+
+def _match_chunk(ids, words, codes, sample, seed, rows, owner, items, sorted_sigs, order, window, reps, most_edits) -> list[tuple]:
+    """(id, item, n_windows, longest, edits) of the documents in ``ids``, whose ``words`` have ``codes``."""
     counts = np.array([max(0, len(w) - max(1, window - most_edits) + 1) for w in words], np.int64)
-    if not len(owner) or not counts.sum():
+    if not counts.sum():
         return []
-    codes = np.fromiter((known[x] for w in words for x in w), np.uint64, sum(map(len, words)))
     firsts = np.cumsum([0] + [len(w) for w in words])[:-1]
     doc = np.repeat(np.arange(len(words)), counts)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)

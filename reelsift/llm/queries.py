@@ -186,8 +186,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
-    """Leaked test items with the number of documents that hold a passage of them, up to two words of twelve edited."""
-    found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), window=LEAK_WORDS, most_edits=2, recall=0.95)
+    """Leaked test items with the number of documents that hold a passage of them, up to two words of twelve edited; shorter items whole."""
+    found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), window=LEAK_WORDS, most_edits=2, recall=0.95, whole_short=True)
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("longest").alias("longest_words"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("n_exact"))
 
 

@@ -210,8 +210,10 @@ def test_exact_leaks_match_brute_force(spark):
     docs += [(500, None), (501, ""), (502, "word " * 60_000 + items[0][1] + " end"), docs[0]]
     want = sorted({(d, i) for d, t in docs for i, u in items if ngrams(t, 12) & ngrams(u, 12)})
     ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (16_000_000, 900):
-        assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(ddf, idf, block_chars=block).collect()) == want
+    for block in (128_000_000, 20_000):
+        assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(ddf, idf, block_bytes=block).collect()) == want
+    short = {(d, i) for d, t in docs for i, u in items for n in [len(leaks.words_of(u))] if 0 < n < 12 and ngrams(t, n) & ngrams(u, n)}
+    assert short and sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(ddf, idf, whole_short=True).collect()) == sorted(short.union(want))
     assert leaks.find_leaks(ddf.limit(0), idf).count() == 0 and leaks.find_leaks(ddf, idf.limit(0)).count() == 0
 
 
@@ -255,7 +257,10 @@ def test_recall_over_all_planted_edits(spark):
         around = 8 if i % 3 else 0
         docs.append((i, " ".join([*(rnd.choice(vocab) for _ in range(around)), *w, *(rnd.choice(vocab) for _ in range(around))])))
     ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r for r in leaks.find_leaks(ddf, idf, most_edits=2, recall=0.95).collect()}
+    nine = spark.createDataFrame([(1000, "an item of nine words stands whole in here")], "item_id long, text string")
+    ddf = ddf.unionByName(spark.createDataFrame([(1000, "So an item of nine words stands whole in here, too.")], ddf.schema))
+    got = {(r.doc_id, r.item_id): r for r in leaks.find_leaks(ddf, idf.unionByName(nine), most_edits=2, recall=0.95, whole_short=True).collect()}
+    assert tuple(got.pop((1000, 1000)))[2:] == (1, 9, 0)
     assert all(d == i and r.edits <= 2 for (d, i), r in got.items())
     assert len(got) >= 0.9 * len(items)
 
