@@ -1,9 +1,12 @@
 """Long exact spans shared between records.
 
 Seeds are k-mers chosen by content (the least hash of every window of k-mers), so that two texts with a common span
-choose the same seeds inside it.  Texts keep what seeds they share with another text; of a window of the wanted length
-the hash is taken only if all its seeds are shared, which leaves few windows.  Matches are joined on those anchors, each
-text against the first one that has the anchor, and chained collinearly with gap costs.
+choose the same seeds inside it.  Only seeds are shuffled at first; texts keep those that they share with another text.
+
+For exact spans, of a window of the wanted length the hash is taken only if all its seeds are shared, which leaves few windows; equal windows say which
+two texts to compare, each text with the first one that has the window.  For passages with edits, all texts with a common seed are
+compared.  In either case the seeds that two texts share are chained collinearly with gap costs, and the chains are
+extended and aligned on the texts.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ from reelsift.shared import materialize
 
 K = 32
 WINNOW = 64
+PASSAGE = "d bigint, other bigint, from_at int, to_at int, other_from int, other_to int, matched int, longest int"
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _TURN = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F))
 
@@ -70,25 +75,18 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _seeds(batches: Iterator[pd.DataFrame], k: int, width: int) -> Iterator[pd.DataFrame]:
-    """(d, seed): distinct seeds of each text."""
+def _heads(batches: Iterator[pd.DataFrame], k: int, width: int) -> Iterator[pd.DataFrame]:
+    """(d, k1, k2, n_chars, seeds): each text's 128-bit key, length and distinct seeds."""
     for pdf in batches:
-        ids, seeds, held = [], [], 0
-        for d, t in zip(pdf["d"].tolist(), pdf["t"].tolist()):
-            h = gram_hashes(code_points(t), k)
-            s = np.unique(h[winnowed(h, width)]).view(np.int64)
-            ids.append((d, len(s)))
-            seeds.append(s)
-            held += len(s)
-            if held > 500_000:
-                yield _frame(ids, seeds)
-                ids, seeds, held = [], [], 0
-        if ids:
-            yield _frame(ids, seeds)
-
-
-def _frame(ids: list, seeds: list) -> pd.DataFrame:
-    return pd.DataFrame({"d": np.repeat(np.array([d for d, _ in ids]), [n for _, n in ids]), "seed": np.concatenate(seeds)})
+        # A few hundred texts at a time, fewer if they are long.
+        for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(pdf["t"].str.len().to_numpy()) // 4_000_000)) + 1):
+            out = []
+            for d, t in zip(pdf["d"].iloc[part].tolist(), pdf["t"].iloc[part].tolist()):
+                p = code_points(t)
+                h = gram_hashes(p, k)
+                key = np.frombuffer(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")), np.int64)
+                out.append((d, key[0], key[1], len(p), np.unique(h[winnowed(h, width)]).view(np.int64)))
+            yield pd.DataFrame(out, columns=["d", "k1", "k2", "n_chars", "seeds"])
 
 
 def _anchors(batches: Iterator[pd.DataFrame], k: int, width: int, span: int) -> Iterator[pd.DataFrame]:
@@ -196,14 +194,20 @@ def chains_of(runs: list[tuple[int, int, int]], gap_cost: float, most_gap: int)
     return out
 
 
-def _passages(batches: Iterator[pd.DataFrame], length: int, gap_cost: float, most_gap: int) -> Iterator[pd.DataFrame]:
-    columns = ["d", "other", "from_at", "to_at", "other_from", "other_to", "matched", "longest"]
+def _seeds_in_windows(batches: Iterator[pd.DataFrame], k: int, width: int, span: int) -> Iterator[pd.DataFrame]:
+    """Pairs of texts with equal windows (xs, ys) given the places of the seeds inside those windows instead."""
     for pdf in batches:
-        out = []
-        for d, o, xs, ys in zip(pdf["d"].tolist(), pdf["other"].tolist(), pdf["xs"], pdf["ys"]):
-            for c in chains_of(runs_of(np.asarray(xs, np.int64), np.asarray(ys, np.int64), length), gap_cost, most_gap):
-                out.append((d, o, c[0][0], c[-1][0] + c[-1][2], c[0][1], c[-1][1] + c[-1][2], sum(n for *_, n in c), max(n for *_, n in c)))
-        yield pd.DataFrame(out, columns=columns)
+        xs, ys = [], []
+        for x, y, t in zip(pdf["xs"].tolist(), pdf["ys"].tolist(), pdf["t"].tolist()):
+            at = np.flatnonzero(winnowed(gram_hashes(code_points(t), k), width))
+            mine, theirs = [], []
+            for a, b, n in runs_of(np.asarray(x, np.int64), np.asarray(y, np.int64), span):
+                here = at[np.searchsorted(at, a) : np.searchsorted(at, a + n - k, "right")]
+                mine.append(here)
+                theirs.append(here - a + b)
+            xs.append(np.concatenate(mine))
+            ys.append(np.concatenate(theirs))
+        yield pdf.assign(xs=xs, ys=ys)
 
 
 class SharedSpans:
@@ -218,56 +222,63 @@ class SharedSpans:
         if seed + 3 * winnow > span + 3:
             raise ValueError("seed + 3 * winnow must not exceed span + 3")
         self.span, self.seed, self.winnow, self.gap_cost, self.most_gap = span, seed, winnow, gap_cost, most_gap
-        docs = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
-        self.keyed = docs.withColumn("key", F.md5(F.encode("t", "utf-8")))
-        self.members = self.keyed.where(F.length("t") >= span).select("key", F.col("d").alias("member"))
-
-    def _texts(self, least: int) -> DataFrame:
-        """(key, d, t, n): the different texts of ``least`` code points or more, by their least document."""
-        return materialize(self.keyed.where(F.length("t") >= least).groupBy("key").agg(F.min("d").alias("d"), F.first("t").alias("t"), F.count(F.lit(1)).alias("n")), "texts")
-
-    @cached_property
-    def texts(self) -> DataFrame:
-        return self._texts(self.span)
+        self.docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
+        self._kept: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+    def _texts(self, least: int) -> tuple[DataFrame, DataFrame]:
+        """Of the documents with ``least`` code points or more: (d, k1, k2, n_chars, seeds), and (k1, k2, lead, n) with the least document of
+        each text and the number of its documents.  Texts themselves aren't shuffled for this."""
+        if least not in self._kept:
+            k, width = self.seed, self.winnow
+            heads = self.docs.where(F.length("t") >= least).mapInPandas(lambda b: _heads(b, k, width), "d bigint, k1 bigint, k2 bigint, n_chars int, seeds array<bigint>")
+            heads = materialize(heads, "heads")
+            self._kept[least] = heads, materialize(heads.groupBy("k1", "k2").agg(F.min("d").alias("lead"), F.count(F.lit(1)).alias("n")), "texts")
+        return self._kept[least]
+
+    def _shared_seeds(self, least: int) -> DataFrame:
+        """(d, shared): the seeds that each text, by its least document, has in common with another text."""
+        heads, texts = self._texts(least)
+        seeds = heads.join(texts, ["k1", "k2"]).where("d = lead").select("d", F.explode("seeds").alias("seed"))
+        both = seeds.groupBy("seed").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("seed")
+        return seeds.join(both, "seed", "left_semi").groupBy("d").agg(F.collect_list("seed").alias("shared"))
 
     def copies(self, least: int = 100) -> DataFrame:
         """(doc_id, text_id): each document of ``least`` code points or more whose text another one repeats, with the least such document."""
-        same = self.keyed.where(F.length("t") >= least).select("key", "d")
-        heads = same.groupBy("key").agg(F.min("d").alias("text_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        return same.join(heads, "key").select(F.col("d").alias("doc_id"), "text_id")
+        heads, texts = self._texts(least)
+        return heads.select("k1", "k2", "d").join(texts.where("n > 1"), ["k1", "k2"]).select(F.col("d").alias("doc_id"), F.col("lead").alias("text_id"))
 
     @cached_property
     def anchors(self) -> DataFrame:
         """(d, at, other, other_at): windows of ``span`` code points that stand in different texts, with the first text and place."""
         seed, winnow, span = self.seed, self.winnow, self.span
-        seeds = materialize(self.texts.select("d", "t").mapInPandas(lambda b: _seeds(b, seed, winnow), "d bigint, seed bigint"), "seeds")
-        shared = seeds.join(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed"), "seed", "left_semi")
-        per_text = shared.groupBy("d").agg(F.collect_list("seed").alias("shared"))
-        windows = self.texts.select("d", "t").join(per_text, "d").mapInPandas(lambda b: _anchors(b, seed, winnow, span), "d bigint, at int, h1 bigint, h2 bigint")
+        windows = self.docs.join(self._shared_seeds(span), "d").mapInPandas(lambda b: _anchors(b, seed, winnow, span), "d bigint, at int, h1 bigint, h2 bigint")
         anchors = materialize(windows, "anchors")
         lead = anchors.groupBy("h1", "h2").agg(F.min(F.struct("d", "at")).alias("lead"), F.max("d").alias("last")).where(F.col("lead.d") < F.col("last"))
         return materialize(anchors.join(lead.select("h1", "h2", "lead"), ["h1", "h2"]).select("d", "at", F.col("lead.d").alias("other"), F.col("lead.at").alias("other_at")), "matches")
 
     def passages(self) -> DataFrame:
-        """(d, other, from_at, to_at, other_from, other_to, matched, longest): chains of exact matches between two texts.
+        """(d, other, from_at, to_at, other_from, other_to, matched, longest): chains of seeds, extended and aligned, between two texts with an equal window.
 
-        Each text is compared with the first text that has the same anchor, so a group of n texts with a passage gives
-        n - 1 pairs.  matched: code points in exact matches, longest: those of the longest one, at least ``span``.
+        Each text is compared with the first text that has the same window, so a group of n texts with a span gives
+        n - 1 pairs.  matched: code points that are equal in the alignment, longest: those of the longest exact run, compared point by
+        point, at least ``span`` unless two windows have the same two hashes by chance.
         """
         pairs = self.anchors.where("d <> other").groupBy("d", "other").agg(F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys"))
-        schema = "d bigint, other bigint, from_at int, to_at int, other_from int, other_to int, matched int, longest int"
-        span, gap_cost, most_gap = self.span, self.gap_cost, self.most_gap
-        return pairs.mapInPandas(lambda b: _passages(b, span, gap_cost, most_gap), schema)
+        pairs = pairs.join(self.docs, "d").join(self.docs.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
+        seed, winnow, span, gap_cost, most_gap = self.seed, self.winnow, self.span, self.gap_cost, self.most_gap
+        return pairs.mapInPandas(lambda b: _aligned(_seeds_in_windows(b, seed, winnow, span), seed, gap_cost, most_gap, span), PASSAGE)
 
     def _each(self, per_text: DataFrame) -> DataFrame:
-        """Rows of texts (by ``d``) given to every document of that text, as ``doc_id``."""
-        return per_text.join(self.texts.select("key", "d"), "d").join(self.members, "key").withColumnRenamed("member", "doc_id").drop("key", "d")
+        """Rows of texts (by ``d``) given to every document of that text, as ``doc_id``, with its ``n_chars``."""
+        heads, texts = self._texts(self.span)
+        mine = per_text.withColumnRenamed("d", "lead").join(texts.select("lead", "k1", "k2"), "lead").drop("lead")
+        return heads.select("k1", "k2", F.col("d").alias("doc_id"), "n_chars").join(mine, ["k1", "k2"]).drop("k1", "k2")
 
     def found(self) -> DataFrame:
-        """(doc_id): documents with a span that another one holds too."""
+        """(doc_id): documents with an aligned passage that holds an exact run of ``span``, and those whose whole text another one repeats."""
         p = self.passages().where(F.col("longest") >= self.span)
-        texts = p.select("d").unionByName(p.select(F.col("other").alias("d"))).unionByName(self.texts.where("n > 1").select("d")).distinct()
-        return self._each(texts).select("doc_id")
+        ends = p.select(F.explode(F.array("d", "other")).alias("d"))
+        return self._each(ends.unionByName(self._texts(self.span)[1].where("n > 1").select(F.col("lead").alias("d"))).distinct()).select("doc_id")
 
     def coverage(self) -> DataFrame:
         """(doc_id, n_chars, shared_chars, share): code points of each document inside a shared span.
@@ -277,9 +288,9 @@ class SharedSpans:
         order = Window.partitionBy("d").orderBy("at")
         step = F.least(F.coalesce(F.lead("at").over(order) - F.col("at"), F.lit(self.span)), F.lit(self.span))
         spans = self.anchors.select("d", "at").distinct().withColumn("step", step).groupBy("d").agg(F.sum("step").alias("covered"))
-        texts = self.texts.select("d", "n", F.length("t").alias("n_chars")).join(spans, "d", "left").where("n > 1 OR covered IS NOT NULL")
-        texts = texts.select("d", "n_chars", F.when(F.col("n") > 1, F.col("n_chars")).otherwise(F.col("covered")).cast("bigint").alias("shared_chars"))
-        return self._each(texts).select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("share"))
+        texts = self._texts(self.span)[1].select(F.col("lead").alias("d"), "n").join(spans, "d", "left").where("n > 1 OR covered IS NOT NULL")
+        shared = F.when(F.col("n") > 1, F.col("n_chars")).otherwise(F.col("covered")).cast("bigint")
+        return self._each(texts).select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), shared.alias("shared_chars")).withColumn("share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
 
     def fuzzy_passages(self, least: int = 100) -> DataFrame:
         """As :meth:`passages`, but with edits in them: chains of seeds, extended and aligned, that match in ``least`` points.
@@ -293,18 +304,13 @@ class SharedSpans:
         matches, all added up, stay under three quarters of ``least`` are left out.
         """
         k, width = self.seed, self.winnow
-        texts = self._texts(least)
-        seeds = materialize(texts.select("d", "t").mapInPandas(lambda b: _seeds(b, k, width), "d bigint, seed bigint"), "seeds")
-        shared = seeds.join(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed"), "seed", "left_semi")
-        per_text = shared.groupBy("d").agg(F.collect_list("seed").alias("shared"))
-        placed = materialize(texts.select("d", "t").join(per_text, "d").mapInPandas(lambda b: _places(b, k, width), "d bigint, seed bigint, at int, ctx binary"), "places")
+        placed = materialize(self.docs.join(self._shared_seeds(least), "d").mapInPandas(lambda b: _places(b, k, width), "d bigint, seed bigint, at int, ctx binary"), "places")
         rows = _seed_pairs(placed).select("d", "other", "at", "other_at", "ctx", "other_ctx")
         hopeful = rows.mapInArrow(lambda b: _hopes(b, k, least), "d bigint, other bigint, at int, other_at int, hope int")
         pairs = hopeful.groupBy("d", "other").agg(F.sum("hope").alias("hope"), F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys")).where(F.col("hope") * 4 >= 3 * least)
-        pairs = pairs.drop("hope").join(texts.select("d", "t"), "d").join(texts.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
-        schema = "d bigint, other bigint, from_at int, to_at int, other_from int, other_to int, matched int, longest int"
+        pairs = pairs.drop("hope").join(self.docs, "d").join(self.docs.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
         gap_cost, most_gap = self.gap_cost, self.most_gap
-        return pairs.mapInPandas(lambda b: _aligned(b, k, gap_cost, most_gap, least), schema)
+        return pairs.mapInPandas(lambda b: _aligned(b, k, gap_cost, most_gap, least), PASSAGE)
 
 
 CONTEXT = 100
