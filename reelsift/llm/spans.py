@@ -76,7 +76,7 @@ def code_points(text: str) -> np.ndarray:
 
 
 def _heads(batches: Iterator[pd.DataFrame], k: int, width: int) -> Iterator[pd.DataFrame]:
-    """(d, k1, k2, n_chars, seeds): each text's 128-bit key, length and distinct seeds."""
+    """(d, k1, k2, n_chars, seeds): each text's 128-bit key, length and seeds with their places, in order."""
     for pdf in batches:
         # A few hundred texts at a time, fewer if they are long.
         for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(pdf["t"].str.len().to_numpy()) // 4_000_000)) + 1):
@@ -85,31 +85,22 @@ def _heads(batches: Iterator[pd.DataFrame], k: int, width: int) -> Iterator[pd.D
                 p = code_points(t)
                 h = gram_hashes(p, k)
                 key = np.frombuffer(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")), np.int64)
-                out.append((d, key[0], key[1], len(p), np.unique(h[winnowed(h, width)]).view(np.int64)))
-            yield pd.DataFrame(out, columns=["d", "k1", "k2", "n_chars", "seeds"])
+                at = np.flatnonzero(winnowed(h, width))
+                out.append((d, key[0], key[1], len(p), h[at].view(np.int64), at.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["d", "k1", "k2", "n_chars", "seeds", "places"])
 
 
-def _anchors(batches: Iterator[pd.DataFrame], k: int, width: int, span: int) -> Iterator[pd.DataFrame]:
-    """(d, at, h1, h2): the windows of ``span`` code points whose inner seeds are all shared.
-
-    A seed at least ``width`` k-mers from both ends of a window is chosen by the window's own content, so that every text
-    with the window chose it; those nearer to the ends may be chosen by what stands outside.
-    """
-    low, high = width - 1, span - k + 2 - width
+def _anchors(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """(d, at, h1, h2): the windows of ``span`` code points that begin within the ``ranges`` of a text; the rest isn't hashed."""
     for pdf in batches:
         out, held = [], 0
-        for d, t, shared in zip(pdf["d"].tolist(), pdf["t"].tolist(), pdf["shared"].tolist()):
+        for d, t, ranges in zip(pdf["d"].tolist(), pdf["t"].tolist(), pdf["ranges"].tolist()):
             p = code_points(t)
-            h = gram_hashes(p, k)
-            lonely = winnowed(h, width) & ~np.isin(h.view(np.int64), np.asarray(shared, np.int64))
-            upto = np.concatenate([[0], np.cumsum(lonely)])
-            n = len(p) - span + 1
-            at = np.flatnonzero(upto[high : high + n] == upto[low : low + n])
-            if not len(at):
-                continue
-            one, two = (gram_hashes(p, span, f)[at].view(np.int64) for f in (0, 1))
-            out.append((np.full(len(at), d), at, one, two))
-            held += len(at)
+            for r in ranges:
+                piece = p[r["a"] : r["b"] + span]
+                one, two = (gram_hashes(piece, span, f).view(np.int64) for f in (0, 1))
+                out.append((np.full(len(one), d), np.arange(r["a"], r["b"] + 1), one, two))
+                held += len(one)
             if held > 200_000:
                 yield _columns(out, ("d", "at", "h1", "h2"))
                 out, held = [], 0
@@ -226,21 +217,34 @@ class SharedSpans:
         self._kept: dict[int, tuple[DataFrame, DataFrame]] = {}
 
     def _texts(self, least: int) -> tuple[DataFrame, DataFrame]:
-        """Of the documents with ``least`` code points or more: (d, k1, k2, n_chars, seeds), and (k1, k2, lead, n) with the least document of
+        """Of the documents with ``least`` code points or more: (d, k1, k2, n_chars, seeds, places), and (k1, k2, lead, n) with the least document of
         each text and the number of its documents.  Texts themselves aren't shuffled for this."""
         if least not in self._kept:
             k, width = self.seed, self.winnow
-            heads = self.docs.where(F.length("t") >= least).mapInPandas(lambda b: _heads(b, k, width), "d bigint, k1 bigint, k2 bigint, n_chars int, seeds array<bigint>")
+            heads = self.docs.where(F.length("t") >= least).mapInPandas(lambda b: _heads(b, k, width), "d bigint, k1 bigint, k2 bigint, n_chars int, seeds array<bigint>, places array<int>")
             heads = materialize(heads, "heads")
             self._kept[least] = heads, materialize(heads.groupBy("k1", "k2").agg(F.min("d").alias("lead"), F.count(F.lit(1)).alias("n")), "texts")
         return self._kept[least]
 
-    def _shared_seeds(self, least: int) -> DataFrame:
-        """(d, shared): the seeds that each text, by its least document, has in common with another text."""
+    def _seeds(self, least: int) -> tuple[DataFrame, DataFrame]:
+        """(d, n_chars, seed, at) of each text, by its least document, and (seed) of more than one text."""
         heads, texts = self._texts(least)
-        seeds = heads.join(texts, ["k1", "k2"]).where("d = lead").select("d", F.explode("seeds").alias("seed"))
-        both = seeds.groupBy("seed").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("seed")
-        return seeds.join(both, "seed", "left_semi").groupBy("d").agg(F.collect_list("seed").alias("shared"))
+        leads = heads.join(texts, ["k1", "k2"]).where("d = lead").select("d", "n_chars", F.inline(F.arrays_zip("seeds", "places"))).withColumnsRenamed({"seeds": "seed", "places": "at"})
+        return leads, leads.groupBy("seed").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("seed")
+
+    def _ranges(self) -> DataFrame:
+        """(d, ranges): where windows of ``span`` begin whose inner seeds are all shared; texts without any are left out.
+
+        A seed at least ``winnow`` k-mers from both ends of a window is chosen by the window's own content, so that every text
+        with the window chose it; those nearer to the ends may be chosen by what stands outside.
+        """
+        low, high, span = self.winnow - 1, self.span - self.seed + 2 - self.winnow, self.span
+        seeds, both = self._seeds(span)
+        marked = seeds.join(both.withColumn("both", F.lit(True)), "seed", "left")
+        lonely = marked.groupBy("d").agg(F.max("n_chars").alias("n"), F.array_sort(F.collect_list(F.when(F.col("both").isNull(), F.col("at")))).alias("l"))
+        # From behind one lonely seed up to the next one.
+        between = F.zip_with(F.concat(F.array(F.lit(-1)), "l"), F.concat("l", F.array(F.lit((1 << 31) - 1))), lambda p, q: F.struct(F.greatest(F.when(p < 0, 0).otherwise(p - low + 1), F.lit(0)).alias("a"), F.least(F.col("n") - span, q - high).alias("b")))
+        return lonely.select("d", F.filter(between, lambda r: r["a"] <= r["b"]).alias("ranges")).where(F.size("ranges") > 0)
 
     def copies(self, least: int = 100) -> DataFrame:
         """(doc_id, text_id): each document of ``least`` code points or more whose text another one repeats, with the least such document."""
@@ -250,8 +254,8 @@ class SharedSpans:
     @cached_property
     def anchors(self) -> DataFrame:
         """(d, at, other, other_at): windows of ``span`` code points that stand in different texts, with the first text and place."""
-        seed, winnow, span = self.seed, self.winnow, self.span
-        windows = self.docs.join(self._shared_seeds(span), "d").mapInPandas(lambda b: _anchors(b, seed, winnow, span), "d bigint, at int, h1 bigint, h2 bigint")
+        span = self.span
+        windows = self.docs.join(self._ranges(), "d").mapInPandas(lambda b: _anchors(b, span), "d bigint, at int, h1 bigint, h2 bigint")
         anchors = materialize(windows, "anchors")
         lead = anchors.groupBy("h1", "h2").agg(F.min(F.struct("d", "at")).alias("lead"), F.max("d").alias("last")).where(F.col("lead.d") < F.col("last"))
         return materialize(anchors.join(lead.select("h1", "h2", "lead"), ["h1", "h2"]).select("d", "at", F.col("lead.d").alias("other"), F.col("lead.at").alias("other_at")), "matches")
@@ -304,7 +308,9 @@ class SharedSpans:
         matches, all added up, stay under three quarters of ``least`` are left out.
         """
         k, width = self.seed, self.winnow
-        placed = materialize(self.docs.join(self._shared_seeds(least), "d").mapInPandas(lambda b: _places(b, k, width), "d bigint, seed bigint, at int, ctx binary"), "places")
+        seeds, both = self._seeds(least)
+        shared = seeds.join(both, "seed", "left_semi").groupBy("d").agg(F.collect_set("seed").alias("shared"))
+        placed = materialize(self.docs.join(shared, "d").mapInPandas(lambda b: _places(b, k, width), "d bigint, seed bigint, at int, ctx binary"), "places")
         rows = _seed_pairs(placed).select("d", "other", "at", "other_at", "ctx", "other_ctx")
         hopeful = rows.mapInArrow(lambda b: _hopes(b, k, least), "d bigint, other bigint, at int, other_at int, hope int")
         pairs = hopeful.groupBy("d", "other").agg(F.sum("hope").alias("hope"), F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys")).where(F.col("hope") * 4 >= 3 * least)
