@@ -216,10 +216,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 # p10 --------------------------------------------------------------------------------------------------------------
 
 SPAN = 300
+# For whole spans long seeds do, which fewer texts share by chance; edits need short ones.
+LONG_SEED = 96
 
 
-def _spans(spark: SparkSession, d: str) -> spans.SharedSpans:
-    return spans.SharedSpans(table(spark, d, "documents"), span=SPAN)
+def _spans(spark: SparkSession, d: str, seed: int = LONG_SEED) -> spans.SharedSpans:
+    return spans.SharedSpans(table(spark, d, "documents"), span=SPAN, seed=seed)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +236,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     """Passages that two texts share but for small edits, chained from seeds and aligned; p10_copies has the members of a text."""
-    p = _spans(spark, d).fuzzy_passages()
+    p = _spans(spark, d, spans.K).fuzzy_passages()
     return p.select(F.col("d").alias("doc_id"), F.col("other").alias("other_id"), "from_at", "to_at", "other_from", "other_to", "matched", "longest")
 
 
