@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.config import CONFIG, Config
@@ -49,20 +49,22 @@ def merge_by_shared_id(groups: DataFrame, group: str, shared: str) -> DataFrame:
     return out.select(F.col("g").alias(group), F.coalesce("label", "g").alias("merged"))
 
 
-def vendor_items(files: DataFrame, group: list[str], cfg: Config = CONFIG) -> DataFrame:
+def vendor_items(files: DataFrame, group: list[str], cfg: Config = CONFIG, vendor: Column | None = None) -> DataFrame:
     """(group, path, role, item): what each file of a vendor's group becomes.
 
     ``files`` has path, cls and duration.  The best image is an item, with other images, raws, sidecars and videos of at most
     ``live_max_s`` as companions; without an image the first raw is, with raws and sidecars.  Other videos are items;
     the first takes all proxies, and in a group of videos only the sidecars.  What is left is an orphan.  With a raw but no image, short
     videos are items, too.  role is item, companion or orphan; item is the path of the item a file belongs to.
+    Where ``vendor`` is given and false, images rank as other cameras' do and every video is an item.
     """
+    vendor = F.lit(True) if vendor is None else vendor
     w = Window.partitionBy(*group)
     f = files.withColumns({"n_img": F.count_if(F.col("cls") == "image").over(w), "n_raw": F.count_if(F.col("cls") == "raw").over(w)})
-    live = (F.col("cls") == "video") & (F.col("n_img") > 0) & F.coalesce(F.col("duration") <= cfg.live_max_s, F.lit(False))
+    live = vendor & (F.col("cls") == "video") & (F.col("n_img") > 0) & F.coalesce(F.col("duration") <= cfg.live_max_s, F.lit(False))
     f = f.withColumns({"live": live, "long": (F.col("cls") == "video") & ~live})
     name = F.substring_index("path", "/", -1)
-    rank = F.when(F.col("cls") == "image", image_rank(F.col("path"), F.lit(True))).otherwise(0)
+    rank = F.when(F.col("cls") == "image", image_rank(F.col("path"), vendor)).otherwise(0)
     order = Window.partitionBy(*group, "cls", "live").orderBy(rank, name, "path")
     f = f.withColumn("nth", F.row_number().over(order))
     best_image = F.max(F.when((F.col("cls") == "image") & (F.col("nth") == 1), F.col("path"))).over(w)
@@ -100,7 +102,34 @@ def backup_groups(files: DataFrame, signature: list[str], digest: str) -> DataFr
     return cand.groupBy(*signature, digest).agg(F.min(score).getField("path").alias("keeper"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
 
 
+def backup_items(files: DataFrame, signature: list[str], digest: str) -> DataFrame:
+    """(primary, keeper, backups): items that are copies of another one, which stays, with the files that go to it as backups.
+
+    ``files`` has primary, kind and mixed (of the item), path and the columns of ``signature`` and ``digest``.  Items that hold files of equal signature and digest are
+    one set, transitively; of a set the item with a raw beside its image stays, then images, then the least path.  Rows with
+    a null in signature or digest are no copies.  Digests are only looked at where signatures repeat.
+    """
+    ok = files.where(F.concat(*[F.col(s).cast("string") for s in signature]).isNotNull()).select("primary", *signature, digest).distinct()
+    repeated = ok.groupBy(*signature).agg(F.count_distinct("primary").alias("c")).where("c > 1").select(*signature)
+    cand = ok.join(repeated, signature, "left_semi").where(F.col(digest).isNotNull())
+    first = cand.groupBy(*signature, digest).agg(F.min("primary").alias("first"))
+    sets = component_labels(cand.join(first, [*signature, digest]).where("primary <> first").select(F.col("first").alias("a"), F.col("primary").alias("b")))
+    score = F.struct(~F.coalesce("mixed", F.lit(False)), F.coalesce("kind", F.lit("")) != "image", F.col("primary").alias("primary"))
+    members = files.select("primary", "kind", "mixed").distinct().join(sets.withColumnRenamed("node", "primary"), "primary")
+    keeper = members.groupBy("label").agg(F.min(score).getField("primary").alias("keeper"))
+    held = files.groupBy("primary").agg(F.array_sort(F.collect_set("path")).alias("backups"))
+    return members.join(keeper, "label").where("primary <> keeper").select("primary", "keeper").join(held, "primary")
+
+
 def expand_files(entries: DataFrame, primary: str = "primary", companions: str = "companions", backups: str | None = None) -> DataFrame:
     """One row per physical file of an entry: its primary, companions and backups, each once (``path``)."""
     lists = [F.array(primary), F.coalesce(companions, F.array().cast("array<string>"))] + ([F.coalesce(backups, F.array().cast("array<string>"))] if backups else [])
     return entries.withColumn("path", F.explode(F.array_distinct(F.concat(*lists))))
+
+
+def with_shadows(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``files`` (primary, path, ...) and, for each file that has one in ``manifest`` (path), its shadow '._name' beside it as a further row."""
+    name = F.substring_index("path", "/", -1)
+    shadow = F.concat(F.substring("path", F.lit(1), F.length("path") - F.length(name)), F.lit("._"), name)
+    there = manifest.where(F.col("path").isNotNull() & F.substring_index("path", "/", -1).startswith("._")).select("path").distinct()
+    return files.unionByName(files.where(~name.startswith("._")).withColumn("path", shadow).join(there, "path", "left_semi").select(*files.columns))

@@ -84,6 +84,17 @@ def cluster_spread(records: DataFrame, group: list[str], loose_size: int = CONFI
     return out.withColumn("dup_loose", (F.col("dup_size") >= loose_size) | (F.col("dup_maxdist") > loose_bits))
 
 
+def video_spread(records: DataFrame, group: list[str], loose_size: int = CONFIG.loose_size, loose_bits: int = CONFIG.burst_bits) -> DataFrame:
+    """As :func:`cluster_spread` for videos, whose bits are arrays of frame hashes: distances are means over the frames."""
+    size = records.groupBy(*group).agg(F.count(F.lit(1)).alias("dup_size"), F.round(F.coalesce(F.max("time") - F.min("time"), F.lit(0.0)), 3).alias("dup_span_s"))
+    hashes = records.where(F.size("bits") > 0).select(*group, "bits").distinct()
+    pairs = hashes.withColumnRenamed("bits", "ha").join(hashes.withColumnRenamed("bits", "hb"), group).where("ha < hb")
+    total = F.aggregate(F.zip_with("ha", "hb", hamming), F.lit(0), lambda s, d: s + d)
+    far = pairs.groupBy(*group).agg(F.round(F.max(total / F.size("ha")), 4).alias("far"))
+    out = size.join(far, group, "left").withColumn("dup_maxdist", F.coalesce("far", F.lit(0.0))).drop("far")
+    return out.withColumn("dup_loose", (F.col("dup_size") >= loose_size) | (F.col("dup_maxdist") > loose_bits))
+
+
 def cross_similar(photos: DataFrame, library: list[str], cfg: Config = CONFIG, hot: int = HOT_BUCKET) -> DataFrame:
     """(a, b) of an IMG and a LIV of one scene at most ``cross_gap_s`` apart whose hashes differ in at most ``burst_bits``.
 
@@ -133,11 +144,12 @@ def relative_blink(faces: DataFrame, group: list[str], threshold: float = CONFIG
     Persons are the components of :func:`same_person_pairs`; a face without a partner or without a score has none.
     ``faces`` has face, photo, cx, cy, h, blink_l, blink_r, subject.
     """
-    person = component_labels(same_person_pairs(faces, group)).withColumnRenamed("node", "face")
+    person = component_labels(same_person_pairs(faces, group)).select(F.col("node").alias("face"), F.col("label").alias("__person"))
     most = F.greatest(F.coalesce("blink_l", F.lit(0.0)), F.coalesce("blink_r", F.lit(0.0)))
-    scored = faces.join(person, "face", "left").withColumn("__blink", F.when(F.col("label").isNotNull() & (F.col("blink_l").isNotNull() | F.col("blink_r").isNotNull()), most))
-    rel = F.round(F.col("__blink") - F.min("__blink").over(Window.partitionBy("label")), 4)
-    scored = scored.withColumn("rel_blink", F.when(F.col("__blink").isNotNull(), rel)).drop("__blink", "label")
+    scored = faces.join(person, "face", "left").withColumn("__blink", F.when(F.col("__person").isNotNull() & (F.col("blink_l").isNotNull() | F.col("blink_r").isNotNull()), most))
+    least = scored.where("__person IS NOT NULL").groupBy(F.col("__person").alias("__p")).agg(F.min("__blink").alias("__least"))
+    scored = scored.join(least, F.col("__person") == F.col("__p"), "left")
+    scored = scored.withColumn("rel_blink", F.round(F.col("__blink") - F.col("__least"), 4)).drop("__blink", "__least", "__person", "__p")
     closed = F.sum(F.when(F.coalesce("subject", F.lit(False)) & (F.coalesce("rel_blink", F.lit(0.0)) >= threshold), 1).otherwise(0))
     return scored, scored.groupBy("photo").agg(closed.cast("int").alias("eye_rel_closed_n"))
 

@@ -71,3 +71,19 @@ def best_landmarks(candidates: DataFrame, face: str) -> DataFrame:
 def covered_eye(mean: Column, std: Column) -> Column:
     """A dark and flat eye patch."""
     return F.coalesce((mean < 22) & (std < 18), F.lit(False))
+
+
+def match_landmarks(faces: DataFrame, candidates: DataFrame, face: str, cfg: Config = CONFIG) -> DataFrame:
+    """``faces`` (face, x, y, w, h, h_px) with ``candidate``, ``attempt`` and ``note`` of the landmark set that is theirs.
+
+    ``candidates`` (face, attempt, candidate, cx, cy, px, py): centres of the sets found in a face's crops, attempt 0 in the first crop, 1 in the wider one
+    that is tried next.  The first attempt with a set inside the face's box counts, in it the set nearest to the crop's centre.  A face lower than
+    ``tiny_face_px`` isn't tried ('tiny'); one without a set is 'no_match'.
+    """
+    boxed = candidates.join(faces.select(face, "x", "y", "w", "h"), face)
+    inside = F.col("cx").between(F.col("x"), F.col("x") + F.col("w")) & F.col("cy").between(F.col("y"), F.col("y") + F.col("h"))
+    far = F.hypot(F.col("cx") - F.col("px"), F.col("cy") - F.col("py"))
+    best = boxed.where(inside).groupBy(face).agg(F.min(F.struct("attempt", far.alias("far"), "candidate")).alias("__best"))
+    tiny = F.col("h_px") < cfg.tiny_face_px
+    out = faces.join(best, face, "left").withColumns({"candidate": F.when(~tiny, F.col("__best.candidate")), "attempt": F.when(~tiny, F.col("__best.attempt"))})
+    return out.withColumn("note", F.when(tiny, "tiny").when(F.col("candidate").isNull(), "no_match")).drop("__best")

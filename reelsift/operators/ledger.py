@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,22 @@ def undo_actions(log: DataFrame, exists: DataFrame) -> DataFrame:
     return m.select("batch", "seq", "src", "dst", action.alias("action"), F.struct((-F.col("first_ord")).alias("batch"), shadow.alias("shadow"), (-F.col("seq")).alias("seq")).alias("turn"))
 
 
+def numbered_turns(actions: DataFrame) -> DataFrame:
+    """(batch, seq, turn): undo actions numbered in their order; equal ones share a number.  Sorted by range, numbered over the ranges' sizes."""
+    order = actions.select("batch", "seq", F.col("turn").alias("t"), F.struct(F.col("turn.batch").alias("b"), F.col("turn.shadow").alias("h"), F.col("turn.seq").alias("s")).alias("o"))
+    distinct = order.select("o", F.col("o.b").alias("b")).distinct()
+    sizes = distinct.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = distinct.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("o"))).join(sizes.select("b", "before"), "b")
+    return order.join(inside.select("o", (F.col("before") + F.col("k")).alias("turn")), "o").select("batch", "seq", "turn")
+
+
+def apply_guard(log: DataFrame, moves: DataFrame) -> DataFrame:
+    """(rule, n): what forbids carrying out a plan: open batches of ``log``, and ``moves`` (from_device, to_device) between devices.  No row: nothing does."""
+    open_ = open_batches(log).agg(F.lit("open_batch").alias("rule"), F.count(F.lit(1)).alias("n"))
+    across = moves.where("from_device <> to_device").agg(F.lit("other_device").alias("rule"), F.count(F.lit(1)).alias("n"))
+    return open_.unionByName(across).where("n > 0")
+
+
 def orphan_shadows(manifest: DataFrame) -> DataFrame:
     """Shadow files ('._x') without the file x beside them."""
     name = F.substring_index("path", "/", -1)
@@ -54,5 +70,5 @@ def empty_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     real = files.where((name != ".DS_Store") & ~name.startswith("._"))
     parts = F.split("path", "/")
-    above = real.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path")).where("path <> ''") if True else None
+    above = real.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path")).where("path <> ''")
     return folders.join(above.distinct(), "path", "left_anti").select("path", F.size(parts).alias("depth"))

@@ -106,6 +106,26 @@ def image_measures(images: DataFrame, key: str = "path") -> DataFrame:
     return cols.mapInPandas(measure, f"key {kind}, {GRAY_SCHEMA}, error string").withColumnRenamed("key", key)
 
 
+def oriented(image: np.ndarray, orientation: int) -> np.ndarray:
+    """An image turned upright by its orientation tag: 2 to 4 mirror and turn it by half, 5 to 8 swap its sides; others leave it."""
+    if orientation in (5, 6, 7, 8):
+        image = image.swapaxes(0, 1)
+    if orientation in (3, 4, 7, 8):
+        image = image[::-1]
+    return image[:, ::-1] if orientation in (2, 3, 6, 7) else image
+
+
+def reduced(image: np.ndarray, side: int = 1600) -> np.ndarray:
+    """An image of which no side is longer than ``side``: each pixel the mean of those that it covers."""
+    h, w = image.shape[:2]
+    step = -(-max(h, w) // side)
+    if step <= 1:
+        return image
+    cut = image[: max(1, h // step) * min(step, h), : max(1, w // step) * min(step, w)]
+    blocks = cut.reshape(cut.shape[0] // min(step, h), min(step, h), cut.shape[1] // min(step, w), min(step, w), *image.shape[2:])
+    return np.rint(blocks.mean((1, 3))).astype(image.dtype)
+
+
 def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(dx, dy) of b against a by phase correlation under a Hann window, refined by the peak's centroid."""
     h, w = a.shape
@@ -120,6 +140,17 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return (dx - w if dx > w / 2 else dx, dy - h if dy > h / 2 else dy)
 
 
+def moved_frames(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Frames of a video by its number: a picture of noise moved by (vec_id mod 4, vec_id div 4 mod 3) per frame; frame 4 is cut short.  To test shifts with."""
+    for pdf in batches:
+        out = []
+        for v, i in zip(pdf["vec_id"].tolist(), pdf["i"].tolist()):
+            picture = np.random.default_rng(v).integers(0, 256, (size, size), np.uint8)
+            data = np.roll(picture, (i * (v // 4 % 3), i * (v % 4)), (0, 1)).tobytes()
+            out.append((v, 0, i, data[: len(data) // 2] if i == 4 else data))
+        yield pd.DataFrame(out, columns=["vec_id", "window", "i", "data"])
+
+
 def shake_of_frames(frames: DataFrame, video: str = "video", size: int = 256) -> DataFrame:
     """(video, window, i, dx, dy): shifts between neighbouring frames of (video, window, i, data), grey bytes of size x size.
 

@@ -120,6 +120,18 @@ def colliding(moves: DataFrame) -> DataFrame:
     return moves.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def stale_plans(plans: DataFrame, runs: DataFrame, by: str) -> DataFrame:
+    """(by, stale): whether any analysis of ``runs`` (by, run_at) is newer than the latest plan of ``plans`` (by, planned_at); equal times aren't."""
+    latest = plans.groupBy(by).agg(F.max("planned_at").alias("planned_at"))
+    return latest.join(runs.groupBy(by).agg(F.max("run_at").alias("run_at")), by, "left").select(by, F.coalesce(F.col("run_at") > F.col("planned_at"), F.lit(False)).alias("stale"))
+
+
+def dup_index(sources: list[DataFrame]) -> DataFrame:
+    """(primary, dup_group): groups of several reports (primary, dup_group) as one index; a later report's label replaces an earlier one's."""
+    rows = [s.where("primary IS NOT NULL AND dup_group IS NOT NULL").select("primary", "dup_group", F.lit(i).alias("turn")) for i, s in enumerate(sources)]
+    return reduce(DataFrame.unionByName, rows).groupBy("primary").agg(F.max(F.struct("turn", "dup_group")).getField("dup_group").alias("dup_group"))
+
+
 def is_stale(plan_mtime: float, artefact_mtimes: list[float]) -> bool:
     """Whether an analysis is newer than the plan."""
     return any(m > plan_mtime for m in artefact_mtimes)

@@ -498,9 +498,7 @@ def _plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dups(spark: SparkSession, d: str) -> DataFrame:
-    a = current_rows(table(spark, d, "analysis"), "primary", "run_at", ["dup_group", "root"])
-    v = current_rows(table(spark, d, "video_analysis"), "primary", "run_at", ["dup_group", "root"])
-    return a.unionByName(v)
+    return planning.dup_index([current_rows(table(spark, d, t), "primary", "run_at", ["dup_group"]) for t in ("analysis", "video_analysis")])
 
 
 _PLAN_SQL = f"""WITH plans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "primary" ORDER BY planned_at DESC, keep, reason, tier) AS rn FROM plan WHERE "primary" IS NOT NULL) WHERE rn = 1),
@@ -585,7 +583,7 @@ def curated_per_scene(spark: SparkSession, d: str) -> DataFrame:
 def _moves(spark: SparkSession, d: str) -> DataFrame:
     known = catalog.expand_files(items(spark, d, "companions")).select("primary", "path")
     plan = _plan(spark, d).where(F.col("tier").isin("00", "01", "02", "03")).select("primary", "tier", "reason")
-    return planning.destinations(known.join(plan, "primary"), _files(spark, d))
+    return planning.destinations(catalog.with_shadows(known.join(plan, "primary"), table(spark, d, "file_manifest")), _files(spark, d))
 
 
 _DST = """CASE tier WHEN '00' THEN '00_待删除' WHEN '01' THEN '01_待复核' WHEN '02' THEN '02_优秀' ELSE '03_普通' END || '/' || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' ELSE '' END

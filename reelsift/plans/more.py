@@ -44,14 +44,6 @@ def group_keys(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(k.getField("parent").alias("parent"), k.getField("key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def shot_roles(spark: SparkSession, d: str) -> DataFrame:
-    """Roles of the files of each shot: item, companion or orphan."""
-    i = items(spark, d, "companions", "duration")
-    f = catalog.expand_files(i).where("path IS NOT NULL").groupBy("path").agg(F.max(F.when(F.col("path") == F.col("primary"), F.col("duration"))).alias("duration"))
-    f = catalog.with_keys(f)
-    return catalog.vendor_items(f, ["parent", "stem_l"]).select("path", "role", "item")
-
-
 def face_counts(spark: SparkSession, d: str) -> DataFrame:
     """Roll-up of faces; embeddings are read as four faces each."""
     e = table(spark, d, "embeddings")
@@ -78,21 +70,13 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 _DURATIONS = f"""WITH {_ITEMS}, ex AS (SELECT "primary" AS p, duration, unnest(list_append(coalesce(companions, []), "primary")) AS path FROM items)"""
 
-QUERIES = {"tag_times": tag_times, "group_keys": group_keys, "shot_roles": shot_roles, "face_counts": face_counts, "stream_sessions": stream_sessions}
+QUERIES = {"tag_times": tag_times, "group_keys": group_keys, "face_counts": face_counts, "stream_sessions": stream_sessions}
 
-_RANK = f"CASE WHEN {_ext('path')} IN ('.heic', '.heif', '.hif') THEN 0 WHEN {_ext('path')} IN ('.jpg', '.jpeg') THEN 1 ELSE 2 END"
 _VENDOR = "'(?i)^(IMG|LIV|VID|LRV)_([0-9]{8})_([0-9]{6})_([0-9]+)$'"
 
 SQL = {
     "group_keys": f"""{_DURATIONS}, f AS (SELECT DISTINCT path, {_parent('path')} AS parent, {_stem('path')} AS stem FROM ex WHERE path IS NOT NULL)
 SELECT parent, CASE WHEN regexp_matches(stem, {_VENDOR}) THEN regexp_extract(stem, {_VENDOR}, 2) || '_' || regexp_extract(stem, {_VENDOR}, 3) || '_' || regexp_extract(stem, {_VENDOR}, 4) ELSE lower(stem) END AS key, count(*) AS n FROM f GROUP BY ALL""",
-    "shot_roles": f"""{_DURATIONS}, f AS (SELECT path, max(CASE WHEN path = p THEN duration END) AS duration FROM ex WHERE path IS NOT NULL GROUP BY path),
-k AS (SELECT *, {_cls('path')} AS cls, {_parent('path')} AS parent, lower({_stem('path')}) AS s, {_NAME.format(p='path')} AS name, {_RANK} AS rank FROM f),
-g AS (SELECT parent, s, count_if(cls = 'image') AS n_img, arg_min(path, (rank, name, path)) FILTER (cls = 'image') AS image, arg_min(path, (name, path)) FILTER (cls = 'raw') AS raw FROM k GROUP BY parent, s),
-l AS (SELECT k.*, image, raw, cls = 'video' AND n_img > 0 AND coalesce(duration <= 4.0, false) AS live FROM k JOIN g USING (parent, s)),
-v AS (SELECT parent, s, arg_min(path, (name, path)) AS video FROM l WHERE cls = 'video' AND NOT live GROUP BY parent, s),
-i AS (SELECT path, CASE WHEN cls IN ('image', 'raw') THEN coalesce(image, raw) WHEN live THEN image WHEN cls = 'video' THEN path WHEN cls = 'proxy' THEN video WHEN cls = 'sidecar' THEN coalesce(image, raw, video) END AS item FROM l LEFT JOIN v USING (parent, s))
-SELECT path, CASE WHEN item IS NULL THEN 'orphan' WHEN item = path THEN 'item' ELSE 'companion' END AS role, item FROM i""",
     "tag_times": f"""WITH {_ITEMS}, t AS (SELECT "primary", {_parsed('SubSecDateTimeOriginal')} AS a, {_parsed('CreateDate')} AS b FROM items)
 SELECT "primary", round(coalesce(a, b) / 1e6, 6) AS time_s, CASE WHEN a IS NOT NULL THEN 'SubSecDateTimeOriginal' WHEN b IS NOT NULL THEN 'CreateDate' END AS source FROM t""",
     "face_counts": """WITH f AS (SELECT vec_id, i, abs(embedding[i * 3 + 1])::DOUBLE AS a, abs(embedding[i * 3 + 2])::DOUBLE AS b, abs(embedding[i * 3 + 3])::FLOAT AS c FROM embeddings, range(4) t(i)),

@@ -156,6 +156,11 @@ def tail_color_mode(paths: DataFrame, n_bytes: int = 4 << 20, marker: bytes = b"
     return paths.select("path").mapInPandas(look, "path STRING, color_mode STRING")
 
 
+def with_digests(blobs: DataFrame, content: str = "content") -> DataFrame:
+    """``blobs`` with ``md5`` and ``sha256`` of their content in hex; of null content null."""
+    return blobs.withColumns({"md5": F.md5(content), "sha256": F.sha2(content, 256)})
+
+
 def digest(manifest: DataFrame) -> DataFrame:
     """(n_files, digest): by which a stored scan is known to be stale; sees renames, sizes and times, not only the count."""
     h = F.xxhash64("path", "size", "mtime").cast("decimal(38,0)")
