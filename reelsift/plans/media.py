@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelsift.config import CONFIG, DELETE_REASONS, DUPLICATE_REASON
+from reelsift.config import CONFIG, DELETE_REASONS, DUPLICATE_REASON, VENDOR_DEVICE
 from reelsift.functions import media as m
 from reelsift.functions.text import nfc
 from reelsift.operators import catalog, clusters, eyes, flags, ledger, pixels, planning
@@ -238,6 +238,18 @@ def flag_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _photo_flags(spark, d).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH {_STILLS}, x AS (SELECT "primary" AS p, NOT coalesce(screenshot, false) AS free, eyes_closed_n AS c, CASE WHEN subject_open_n = 0 THEN 1 ELSE 0 END AS h, coalesce(eyes_closed_n, 0) + coalesce(subject_open_n, 0) > 2 AS rel FROM stills)
+SELECT p AS "primary", array_to_string(list_filter([CASE WHEN free AND c > 0 THEN 'EYE' WHEN free AND h > 0 THEN 'EYE-half' END, CASE WHEN rel THEN 'EYE-rel' END], lambda f: f IS NOT NULL), ',') AS flags FROM x"""
+)
+def eye_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of eyes; the table has no half-closed eyes, so photos without an open one stand in, and none relative, so the number of faces does."""
+    r = stills(spark, d, "screenshot", "eyes_closed_n", "subject_open_n")
+    half = F.when(F.col("subject_open_n") == 0, 1).otherwise(0)
+    many = F.when(F.coalesce("eyes_closed_n", F.lit(0)) + F.coalesce("subject_open_n", F.lit(0)) > 2, 1).otherwise(0)
+    return r.select("primary", F.array_join(flags.listed(flags.eye_flag(F.col("eyes_closed_n"), half, F.col("screenshot")), flags.relative_eye_flag(many)), ",").alias("flags"))
+
+
 def _video_flags(spark: SparkSession, d: str) -> DataFrame:
     r = _video_medians(spark, d)
     return r.withColumn("flags", flags.video_flags(*[F.col(c) for c in ("duration", "brightness", "clip_high", "clip_low", "sharp", "v3_median", "shake", "slowmo_factor", "hdr", "color_mode", "device")]))
@@ -462,10 +474,30 @@ def video_sources(spark: SparkSession, d: str) -> DataFrame:
 _ZOOM = "CASE WHEN focal35 IS NOT NULL AND focal35 <> 0 THEN CASE WHEN device = 'Insta360 Luna Ultra' THEN CASE WHEN abs(focal35 - 20) <= 2 THEN 'w' WHEN abs(focal35 - 60) <= 6 THEN 't' WHEN focal35 <= 40 THEN 'wide' WHEN focal35 <= 150 THEN 'tele' ELSE 'digital' END WHEN focal35 <= 40 THEN 'wide' WHEN focal35 <= 105 THEN 'mid' ELSE 'tele' END END"
 
 
-@query(f"""WITH {_ITEMS} SELECT "primary", {_ZOOM} AS zoom FROM items""")
+@query(
+    f"""WITH {_ITEMS}, z AS (SELECT "primary", focal35, CASE WHEN seq % 2 = 0 THEN 'Insta360 Luna Ultra' ELSE device END AS device, CASE seq % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 0.0 END AS ratio FROM items), b AS (SELECT *, coalesce(nullif(ratio, 0), 1.0) AS r, focal35 / coalesce(nullif(ratio, 0), 1.0) AS base FROM z)
+SELECT "primary", CASE WHEN focal35 <> 0 THEN CASE WHEN device = 'Insta360 Luna Ultra' THEN CASE WHEN abs(base - 20) <= 2 THEN CASE WHEN r > 1.05 THEN 'w_crop' ELSE 'w' END WHEN abs(base - 60) <= 6 THEN CASE WHEN r > 1.05 THEN 't_crop' ELSE 't' END WHEN focal35 <= 40 THEN 'wide' WHEN focal35 <= 150 THEN 'tele' ELSE 'digital' END
+  WHEN focal35 <= 40 THEN 'wide' WHEN focal35 <= 105 THEN 'mid' ELSE 'tele' END END AS zoom FROM b"""
+)
 def zoom_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """Lens classes by focal length."""
-    return items(spark, d, "focal35", "device").select("primary", m.zoom_bucket(F.col("focal35"), F.lit(None).cast("double"), F.col("device")).alias("zoom"))
+    """Lens classes by focal length, ratio and camera; every second item is taken as the vendor's, ratios go by the item's number."""
+    ratio = F.when(F.pmod("seq", F.lit(3)) == 0, 2.0).when(F.pmod("seq", F.lit(3)) == 1, 0.0)
+    device = F.when(F.pmod("seq", F.lit(2)) == 0, VENDOR_DEVICE).otherwise(F.col("device"))
+    return items(spark, d, "focal35", "device", "seq").select("primary", m.zoom_bucket(F.col("focal35"), ratio, device).alias("zoom"))
+
+
+@query(
+    f"""WITH {_ITEMS}, n AS (SELECT "primary" AS p, seq, width, ['x.jpg', 'a_SCREENSHOT.jpg', 'Screen Shot 1.tif', '截屏1.jpg', '屏幕快照.jpg', '屏幕截图2.jpg', 'y.PNG', 'z.heic'][seq % 8 + 1] AS name, seq % 5 = 0 AS noted, seq % 3 = 0 AS bare FROM items WHERE seq >= 0)
+SELECT p AS "primary", contains(lower(name), 'screenshot') OR contains(lower(name), 'screen shot') OR contains(name, '截屏') OR contains(name, '屏幕快照') OR contains(name, '屏幕截图') OR noted OR (name = 'y.PNG' AND bare) AS shot, seq % 11 = 0 OR (coalesce(width, 0) > 0 AND seq % 2 = 0) AS pano FROM n"""
+)
+def special_photos(spark: SparkSession, d: str) -> DataFrame:
+    """Screenshots by each of their rules and panoramas by either, on names and tags that go by the item's number."""
+    i = items(spark, d, "seq", "width").where("seq >= 0")
+    names = F.array(*[F.lit(x) for x in ("x.jpg", "a_SCREENSHOT.jpg", "Screen Shot 1.tif", "截屏1.jpg", "屏幕快照.jpg", "屏幕截图2.jpg", "y.PNG", "z.heic")])
+    by = lambda n: F.pmod("seq", F.lit(n))
+    shot = m.is_screenshot(F.get(names, by(8)), F.when(by(5) == 0, "Screenshot").otherwise("none"), F.when(by(3) == 0, "").otherwise("maker"))
+    side = F.when(F.coalesce(F.col("width"), F.lit(0)) > 0, F.when(by(2) == 0, 8000).otherwise(5998))
+    return i.select("primary", shot.alias("shot"), m.is_pano(F.when(by(11) == 0, "Equirectangular"), side, F.floor(side / 2).cast("int")).alias("pano"))
 
 
 @query(
@@ -766,13 +798,13 @@ def analysis_width(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT vec_id, abs(embedding[1])::DOUBLE * 3 AS l, abs(embedding[2])::DOUBLE * 3 AS r, abs(embedding[3])::DOUBLE * 4 AS sq, abs(embedding[4])::DOUBLE * 4 AS sm, embedding[5]::DOUBLE * 2 AS yaw FROM embeddings),
-s AS (SELECT *, CASE WHEN abs(yaw) > 0.55 THEN 'unsure' WHEN l >= 0.5 AND r >= 0.5 THEN 'closed' WHEN l >= 0.5 OR r >= 0.5 OR (l >= 0.35 AND r >= 0.35) THEN 'half' ELSE 'open' END AS raw FROM e)
+s AS (SELECT *, CASE WHEN abs(yaw) > 0.55 OR vec_id % 50 + 20 < 30 OR vec_id % 17 = 0 THEN 'unsure' WHEN l >= 0.5 AND r >= 0.5 THEN 'closed' WHEN l >= 0.5 OR r >= 0.5 OR (l >= 0.35 AND r >= 0.35) THEN 'half' ELSE 'open' END AS raw FROM e)
 SELECT vec_id, CASE WHEN raw = 'closed' AND sm >= 0.4 AND sq >= 0.4 THEN 'half' WHEN raw = 'half' AND sm >= 0.4 AND sq >= 0.4 THEN 'open' ELSE raw END AS eye_state FROM s"""
 )
 def eye_states(spark: SparkSession, d: str) -> DataFrame:
     """M7: eye states decided on scores."""
     x = lambda i, k: F.abs(F.col("embedding")[i].cast("double")) * k
-    state = eyes.eye_state(x(0, 3), x(1, 3), x(2, 4), x(3, 4), F.col("embedding")[4].cast("double") * 2, F.lit(100.0), F.lit(1000.0), F.lit(False))
+    state = eyes.eye_state(x(0, 3), x(1, 3), x(2, 4), x(3, 4), F.col("embedding")[4].cast("double") * 2, F.pmod("vec_id", F.lit(50)) + 20, F.lit(1000.0), F.pmod("vec_id", F.lit(17)) == 0)
     return table(spark, d, "embeddings").select("vec_id", state.getField("eye_state").alias("eye_state"))
 
 
