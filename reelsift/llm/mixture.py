@@ -37,8 +37,31 @@ def token_count(text: Column, path: str = TOKENIZER, pattern: str = PATTERN) ->
     return count(text)
 
 
-def mixture_plan(spark: SparkSession, totals: DataFrame, targets: DataFrame, tilt: float, budget: float | None, most_sources: int = 100_000) -> DataFrame:
-    """Per source of ``targets`` its tokens, goal share, demand and curriculum slope.
+Schedule = dict[str, list[tuple[float, float]]]
+
+
+def segments_of(points: list[tuple[float, float]]) -> tuple[list[tuple[float, float, float, float]], float]:
+    """((at, weight, rise, before) ..., whole) of a weight that runs straight between ``points`` (progress, weight).
+
+    before is the integral up to a segment's start, whole that over the run.  Before its first and behind its last point a weight stays.
+    Weights below 0 and a weight that is 0 throughout are errors.
+    """
+    points = sorted(((min(max(float(u), 0.0), 1.0), float(w)) for u, w in points), key=lambda x: x[0])
+    if not points or any(w < 0 or w != w for _, w in points):
+        raise ValueError("a schedule needs points with weights of at least 0")
+    points = [(0.0, points[0][1]), *points, (1.0, points[-1][1])]
+    out, before = [], 0.0
+    for (u, w), (v, x) in zip(points, points[1:]):
+        if v > u:
+            out.append((u, w, (x - w) / (v - u), before))
+            before += (v - u) * (w + x) / 2
+    if before <= 0:
+        raise ValueError("a schedule's weights must not all be 0")
+    return out, before
+
+
+def mixture_plan(spark: SparkSession, totals: DataFrame, targets: DataFrame, tilt: float, budget: float | None, schedule: Schedule | None = None, most_sources: int = 100_000) -> DataFrame:
+    """Per source of ``targets`` its tokens, goal share, demand and curriculum, see :func:`mix`.
 
     Sources are normalised already.  A source without tokens can't have a share: its goal is 0, and the other goals
     are raised in proportion.  The total is the greatest that all caps allow, or ``budget`` if that is less.
@@ -57,8 +80,14 @@ def mixture_plan(spark: SparkSession, totals: DataFrame, targets: DataFrame, til
     for r in sorted(rows, key=lambda r: r["source"]):
         goal = r["target_share"] / whole if r in live else 0.0
         slope = tilt * (mean - r["max_repeat"]) / most if r in live and most else 0.0
-        out.append((r["source"], float(r["target_share"] or 0), int(r["max_repeat"] or 0), int(r["tokens"]), goal, goal * total, slope))
-    return spark.createDataFrame(out, "source string, target_share double, max_repeat int, tokens bigint, goal_share double, demand double, slope double")
+        segments, area = segments_of((schedule or {}).get(r["source"]) or [(0.0, 1 + slope), (1.0, 1 - slope)])
+        out.append((r["source"], float(r["target_share"] or 0), int(r["max_repeat"] or 0), int(r["tokens"]), goal, goal * total, segments, area))
+    return spark.createDataFrame(out, "source string, target_share double, max_repeat int, tokens bigint, goal_share double, demand double, segments array<struct<at: double, weight: double, rise: double, before: double>>, area double")
+
+
+def random_order(doc_id: Column, seed: int) -> Column:
+    """A number of 60 bits by which documents stand in a fixed random order; SQL can compute it, too."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string"))), 1, 15), 16, 10).cast("bigint")
 
 
 def mix(
@@ -72,6 +101,8 @@ def mix(
     seed: int = 11,
     tokenizer: str = TOKENIZER,
     pattern: str = PATTERN,
+    schedule: Schedule | None = None,
+    size: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, plan): which documents are used how often and at which position of the training run.
 
@@ -80,21 +111,24 @@ def mix(
     tokens aren't used.  ``targets`` (source, target_share, max_repeat): repeated rows of a source count once, the greatest
     share holds.
 
-    A source's documents stand in a fixed random order, epoch after epoch up to max_repeat; the prefix whose tokens fit its
-    demand is used, so its share is off by less than one document.  At progress u of the run a source weighs
-    goal * (1 + slope * (1 - 2u)): slopes, whose mean over the goals is 0, bring sources with few repeats early and those that
-    repeat late; ``tilt`` in [0, 1] is the greatest slope.  The integral of that schedule is inverted in closed
-    form: token offset c of a source stands at position u where the source's cumulative demand is c.
+    A document's size is its number of tokens, or ``size`` if that is given.  A source's documents stand in a fixed random order, epoch after epoch up to
+    max_repeat; the prefix whose tokens fit its demand is used, so its share is off by less than one document.
+
+    The curriculum: at progress u of the run a source weighs goal * w(u), and its documents take the positions at which the integral of that has
+    grown by as much as their tokens.  ``schedule`` gives w by points (u, w) per normalised source, straight between them; only its course counts, as
+    the integral over the run is scaled to the demand.  A source without points has w = 1 + slope * (1 - 2u), where slopes, whose mean over the goals
+    is 0, bring sources with few repeats early and those that repeat late; ``tilt`` in [0, 1] is the greatest slope.  The integral is
+    inverted in closed form, piece by piece.
 
     Offsets are prefix sums in two steps, within a random bucket and over the buckets, so that no task gets a whole source.
     """
     norm = F.lower(F.trim(F.col(source)))
     goals = targets.select(norm.alias("source"), "target_share", "max_repeat").where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat"))
-    used = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), norm.alias("source"), F.col(text).alias("text")).join(goals.select("source"), "source", "left_semi")
-    sized = materialize(used.select("doc_id", "source", token_count(F.col("text"), tokenizer, pattern).alias("n_tokens")).where("n_tokens > 0"), "sized")
+    used = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), norm.alias("source"), F.col(text).alias("text") if size is None else size.cast("bigint").alias("n_tokens")).join(goals.select("source"), "source", "left_semi")
+    sized = materialize(used.select("doc_id", "source", F.col("n_tokens") if size is not None else token_count(F.col("text"), tokenizer, pattern).alias("n_tokens")).where("n_tokens > 0"), "sized")
     spark = documents.sparkSession
-    plan = mixture_plan(spark, sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), goals, tilt, budget)
-    keyed = sized.withColumn("o", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("o", F.lit(BUCKETS)))
+    plan = mixture_plan(spark, sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), goals, tilt, budget, schedule)
+    keyed = sized.withColumn("o", random_order(F.col("doc_id"), seed)).withColumn("bucket", F.pmod("o", F.lit(BUCKETS)))
     buckets = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("s"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = buckets.withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).select("source", "bucket", "base")
@@ -103,16 +137,19 @@ def mix(
     start = F.col("base") + F.col("inner")
     room = F.floor((F.col("demand") - start - F.col("n_tokens") + 1e-6) / F.col("tokens")) + 1
     copies = F.least(F.col("max_repeat").cast("bigint"), room)
-    y = F.least(F.col("c") / F.col("demand"), F.lit(1.0))
-    rise = 1 + F.col("slope")
-    # The root of slope * u ** 2 - rise * u + y = 0 in the form that is stable for small slopes; 0 / 0 stands for u = 0.
-    position = F.try_divide(2 * y, rise + F.sqrt(F.greatest(rise * rise - 4 * F.col("slope") * y, F.lit(0.0))))
+    # How much of the weight's integral is used up at a copy's start; the segment that it falls into; the root of its quadratic, in the form that is stable for small rises.
+    r = F.least(F.col("c") / F.col("demand"), F.lit(1.0)) * F.col("area")
+    piece = F.element_at(F.filter("segments", lambda x: x["before"] <= F.col("r")), -1)
+    left = F.col("r") - F.col("p.before")
+    position = F.col("p.at") + F.coalesce(F.try_divide(2 * left, F.col("p.weight") + F.sqrt(F.greatest(F.pow(F.col("p.weight"), 2) + 2 * F.col("p.rise") * left, F.lit(0.0)))), F.lit(0.0))
     mixture = (
         placed.withColumns({"start": start, "copies": copies})
         .where("demand > 0 AND copies >= 1")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
         .withColumn("c", F.col("start") + (F.col("copy") - 1) * F.col("tokens"))
-        .select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens", F.coalesce(position, F.lit(0.0)).alias("position"))
+        .withColumn("r", r)
+        .withColumn("p", piece)
+        .select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens", F.least(position, F.lit(1.0)).alias("position"))
         .orderBy("position", "doc_id", "copy")
     )
     return mixture, plan

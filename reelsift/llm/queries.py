@@ -213,6 +213,42 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(got, plan)
 
 
+def _by_chars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), size=F.length("text"))
+
+
+def p9_mixture_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture with sizes in code points, which SQL can count; everything else is as in p9_mixture."""
+    return _by_chars(spark, d)[0].withColumn("position", F.round("position", 6))
+
+
+def p9_shares_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached with sizes in code points."""
+    return mixture.shares(*_by_chars(spark, d)).withColumns({"goal_share": F.round("goal_share", 9), "actual_share": F.round("actual_share", 9)})
+
+
+def p9_scheduled(spark: SparkSession, d: str) -> DataFrame:
+    """Shares per tenth of a run whose largest source fades out by the middle, in code points."""
+    fading = {"tarnstack": [(0.0, 1.0), (0.5, 0.0), (1.0, 0.0)]}
+    got = mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), size=F.length("text"), schedule=fading)[0]
+    return got.groupBy(F.least(F.floor(F.round("position", 9) * 10), F.lit(9)).cast("int").alias("tenth"), "source").agg(F.count(F.lit(1)).alias("n_uses"), F.sum("n_tokens").alias("n_tokens"))
+
+
+_P9_SQL = """
+WITH goals AS (SELECT lower(trim(source)) AS source, max(target_share) AS target_share, max(max_repeat) AS max_repeat FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+docs AS (SELECT doc_id, lower(trim(source)) AS source, length("text") AS n, ('0x' || substr(md5('11:' || doc_id::VARCHAR), 1, 15))::BIGINT AS o FROM documents WHERE doc_id IS NOT NULL AND length("text") > 0),
+tot AS (SELECT source, sum(n)::BIGINT AS tokens FROM docs JOIN goals USING (source) GROUP BY source),
+lv AS (SELECT g.*, coalesce(tokens, 0) AS tokens, coalesce(tokens, 0) > 0 AND target_share > 0 AND max_repeat > 0 AS live FROM goals g LEFT JOIN tot USING (source)),
+w AS (SELECT sum(target_share) AS whole, min(max_repeat * tokens / target_share) AS per, sum(target_share * max_repeat) / sum(target_share) AS mean FROM lv WHERE live),
+m AS (SELECT max(abs(mean - max_repeat)) AS most FROM lv, w WHERE live),
+plans AS (SELECT lv.*, CASE WHEN live THEN target_share / whole ELSE 0 END AS goal_share, CASE WHEN live THEN target_share / whole ELSE 0 END * per * whole AS demand, CASE WHEN live AND most > 0 THEN 0.5 * (mean - max_repeat) / most ELSE 0 END AS slope FROM lv, w, m),
+pre AS (SELECT d.*, p.*, coalesce(sum(n) OVER (PARTITION BY d.source ORDER BY o % 1024, o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM docs d JOIN plans p ON d.source = p.source),
+cp AS (SELECT *, least(max_repeat, floor((demand - start - n + 1e-6) / tokens) + 1)::BIGINT AS copies FROM pre WHERE demand > 0),
+mixed AS (SELECT doc_id, source, n, c AS copy, least((start + (c - 1) * tokens) / demand, 1) AS y, slope FROM (SELECT *, unnest(range(1, copies + 1)) AS c FROM cp WHERE copies >= 1)),
+placed AS (SELECT *, CASE WHEN {fade} THEN CASE WHEN y < 1 THEN (1 - sqrt(1 - y)) / 2 ELSE 0.5 END ELSE 2 * y / nullif(1 + slope + sqrt(greatest(pow(1 + slope, 2) - 4 * slope * y, 0)), 0) END AS position FROM mixed)
+"""
+
+
 # p10 --------------------------------------------------------------------------------------------------------------
 
 SPAN = 300
@@ -265,6 +301,9 @@ QUERIES = {
     "p8_leaked_items": p8_leaked_items,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_mixture_chars": p9_mixture_chars,
+    "p9_shares_chars": p9_shares_chars,
+    "p9_scheduled": p9_scheduled,
     "p10_found": p10_found,
     "p10_coverage": p10_coverage,
     "p10_passages": p10_passages,
@@ -289,6 +328,11 @@ SQL = {
     "p3_distances": _P3_SQL + "SELECT floor(dt * 10)::BIGINT AS tenths, count(*) AS n FROM near WHERE k = 1 GROUP BY 1",
     "p7_found": _P7_SQL,
     "p8_found": _P8_SQL,
+    "p9_mixture_chars": _P9_SQL.replace("{fade}", "false") + "SELECT doc_id, source, copy::INT AS copy, n AS n_tokens, round(coalesce(position, 0), 6) AS position FROM placed",
+    "p9_shares_chars": _P9_SQL.replace("{fade}", "false")
+    + """SELECT p.source, target_share, round(goal_share, 9) AS goal_share, round(coalesce(u / sum(u) OVER (), 0), 9) AS actual_share, coalesce(u, 0)::BIGINT AS used_tokens, coalesce(uses, 0) AS uses, coalesce(nd, 0) AS n_docs, coalesce(most, 0)::INT AS most_repeat, max_repeat
+FROM plans p LEFT JOIN (SELECT source, sum(n) AS u, count(*) AS uses, count(DISTINCT doc_id) AS nd, max(copy) AS most FROM placed GROUP BY source) g USING (source)""",
+    "p9_scheduled": _P9_SQL.replace("{fade}", "source = 'tarnstack'") + "SELECT least(floor(round(coalesce(position, 0), 9) * 10), 9)::INT AS tenth, source, count(*) AS n_uses, sum(n)::BIGINT AS n_tokens FROM placed GROUP BY ALL",
     "p10_copies": """SELECT doc_id, min(doc_id) OVER (PARTITION BY "text") AS text_id FROM documents WHERE doc_id IS NOT NULL AND length("text") >= 100 QUALIFY count(*) OVER (PARTITION BY "text") > 1""",
     "p10_found": _P10_SQL + "SELECT DISTINCT doc_id FROM places",
     "p10_coverage": _P10_SQL + """SELECT doc_id, n_chars, shared_chars, round(shared_chars / n_chars, 6) AS share FROM (
