@@ -175,6 +175,49 @@ SELECT root, dup_group, "primary" FROM r WHERE n >= 2 AND k = 1
 """
 
 
+def _fusion_sql(rounds: int = 4, rare: int = 50) -> str:
+    """The rounds of :func:`reelsift.llm.survivor.fuse` with its default rates, one after the other."""
+    held = "exp(greatest(least({}, 500.0), -500.0))".format
+    likely = lambda x, y: f"(1 / (1 + 9.0 / (0.5 * {held(x)} + 0.5 * {held(y)})))"
+    agree = "ln((0.8 + 0.644 * 0.2) / 0.644)"
+    parts = [
+        f"""{_STILLS}, r AS MATERIALIZED (SELECT *, root || chr(1) || dup_group AS object, CASE WHEN NOT isnan("time") AND NOT isinf("time") THEN "time" END AS tm, CASE WHEN sharp_p90 >= 0 AND NOT isnan(sharp_p90) AND NOT isinf(sharp_p90) THEN sharp_p90 END AS sharp FROM stills WHERE root IS NOT NULL AND dup_group IS NOT NULL),
+cl AS MATERIALIZED (SELECT object, "primary" AS source, tm, f.field, f.value FROM (SELECT *, unnest([{", ".join(f"{{'field': {f!r}, 'value': {'sharp' if f == 'sharp_p90' else f}::VARCHAR}}" for f in FUSED)}]) AS f FROM r) WHERE f.value IS NOT NULL),
+sg AS (SELECT source, object || chr(2) || string_agg(field || '=' || value, chr(1) ORDER BY field) AS sig FROM cl GROUP BY source, object),
+cs AS (SELECT source, min(source) OVER (PARTITION BY sig) AS c FROM sg),
+votes AS MATERIALIZED (SELECT object, field, value, c, count(*) AS n, min((tm IS NULL, coalesce(tm, 0), source)) AS late FROM cl JOIN cs USING (source) GROUP BY ALL),
+few AS (SELECT object, field, value FROM votes GROUP BY ALL HAVING count(*) BETWEEN 2 AND {rare}),
+near AS (SELECT object, field, value, c FROM votes SEMI JOIN few USING (object, field, value)),
+pr AS (SELECT DISTINCT x.c AS a, y.c AS b FROM near x JOIN near y USING (object, field, value) WHERE x.c < y.c),
+cmp AS MATERIALIZED (SELECT a, b, x.object, x.field, x.value AS va, y.value AS vb, x.late > y.late AS later, x.n AS na, y.n AS nb FROM pr JOIN votes x ON x.c = a JOIN votes y ON y.c = b AND y.object = x.object AND y.field = x.field),
+ov AS MATERIALIZED (SELECT a, b, count_if(va = vb) AS ks, count_if(va <> vb) AS kd FROM cmp GROUP BY a, b),
+sh AS MATERIALIZED (SELECT object, field, va AS value, a, b, CASE WHEN later THEN a ELSE b END AS c, CASE WHEN later THEN nb ELSE na END AS earlier FROM cmp WHERE va = vb),
+dep0 AS MATERIALIZED (SELECT a, b, {likely(f"ks * {agree} + kd * ln(0.2)", f"ks * {agree} + kd * ln(0.2)")} AS dep FROM ov),
+src0 AS MATERIALIZED (SELECT c, max(n) AS size, {likely(f"count(*) * {agree}", f"count(*) * {agree}")} AS own, 0.8 AS acc FROM votes GROUP BY c)"""
+    ]
+    ratio = lambda o: f"(kt * ln(({o} * 0.8 + p * q * 0.2) / (p * q)) + greatest(ks - kt, 0) * ln(((1 - {o}) * 0.8 + (1 - p) * (1 - q) / 10 * 0.2) / ((1 - p) * (1 - q) / 10)))"
+    for t in range(rounds):
+        parts.append(
+            f"""fr{t} AS (SELECT object, field, value, c, exp(sum(earlier * ln(1 - 0.8 * dep))) AS free FROM sh JOIN dep{t} USING (a, b) GROUP BY ALL),
+sc{t} AS MATERIALIZED (SELECT object, field, value, round(sum(ln(10 * acc / (1 - acc)) * CASE WHEN size = 1 THEN 1 ELSE (1 - pow(1 - 0.8 * own, size)) / (0.8 * own) END * coalesce(free, 1)), 9) AS score FROM votes JOIN src{t} USING (c) LEFT JOIN fr{t} USING (object, field, value, c) GROUP BY ALL),
+tp{t} AS (SELECT object, field, max(score) AS most, count(*) AS k FROM sc{t} GROUP BY ALL),
+po{t} AS MATERIALIZED (SELECT object, field, value, exp(score - most) / (sum(exp(score - most)) OVER (PARTITION BY object, field) + greatest(11 - k, 0) * exp(-most)) AS post FROM sc{t} JOIN tp{t} USING (object, field))"""
+        )
+        if t < rounds - 1:
+            parts.append(
+                f"""al{t} AS (SELECT c, max(n) AS size, sum(post) AS kt, count(*) AS ks, least(greatest((sum(post) + 1.6) / (count(*) + 2), 0.01), 0.99) AS p FROM votes JOIN po{t} USING (object, field, value) GROUP BY c),
+src{t + 1} AS MATERIALIZED (SELECT c, size, {likely(ratio("p"), ratio("p"))} AS own, p AS acc FROM (SELECT *, p AS q FROM al{t})),
+bl{t} AS (SELECT a, b, sum(post) AS kt FROM sh JOIN po{t} USING (object, field, value) GROUP BY a, b),
+dep{t + 1} AS MATERIALIZED (SELECT a, b, {likely(ratio("p") + " + kd * ln(0.2)", ratio("q") + " + kd * ln(0.2)")} AS dep FROM (SELECT ov.*, bl{t}.kt, x.p, y.p AS q FROM ov JOIN bl{t} USING (a, b) JOIN al{t} x ON x.c = a JOIN al{t} y ON y.c = b))"""
+            )
+    last = rounds - 1
+    # Posteriors within rounding of each other tie.
+    parts.append(f"best AS (SELECT object, field, min(value) AS value, max(post) AS post FROM (SELECT *, max(post) OVER (PARTITION BY object, field) AS top FROM po{last}) WHERE post >= top - 1e-12 GROUP BY ALL)")
+    wide = ", ".join(f"max(value) FILTER (field = {f!r})::{'DOUBLE' if t == 'double' else t.upper()} AS {f}" for f, t in FUSED.items())
+    parts.append(f"wide AS (SELECT object, {wide}, round(min(post), 6) AS least_posterior FROM best GROUP BY object)")
+    return "WITH " + ",\n".join(parts) + f" SELECT root, dup_group, {', '.join(f'w.{f}' for f in FUSED)}, least_posterior, n_sources FROM (SELECT root, dup_group, object, count(*) AS n_sources FROM r GROUP BY ALL) g LEFT JOIN wide w USING (object)"
+
+
 # p8 ---------------------------------------------------------------------------------------------------------------
 
 LEAK_WORDS = 12
@@ -327,6 +370,7 @@ SQL = {
     "p3_found": _P3_SQL + "SELECT least(p, q) AS primary_a, greatest(p, q) AS primary_b FROM near WHERE k = 1",
     "p3_distances": _P3_SQL + "SELECT floor(dt * 10)::BIGINT AS tenths, count(*) AS n FROM near WHERE k = 1 GROUP BY 1",
     "p7_found": _P7_SQL,
+    "p7_fused": _fusion_sql(),
     "p8_found": _P8_SQL,
     "p9_mixture_chars": _P9_SQL.replace("{fade}", "false") + "SELECT doc_id, source, copy::INT AS copy, n AS n_tokens, round(coalesce(position, 0), 6) AS position FROM placed",
     "p9_shares_chars": _P9_SQL.replace("{fade}", "false")

@@ -171,6 +171,21 @@ def test_copies_among_later_sources_are_discounted(spark):
     assert sum(got[f"o{o}"] == f"t{o}" for o in range(60)) > 50
 
 
+def test_a_crowd_of_identical_sources_is_one_class(spark):
+    rnd = random.Random(25)
+    rows = []
+    for o in range(40):
+        truth, lie = f"t{o}", f"t{o}" if rnd.random() < 0.3 else f"lie{o % 7}"
+        rows += [(f"o{o}", "f", s, truth if rnd.random() < 0.9 else f"w{rnd.randrange(9)}", 1.0) for s in ("good1", "good2", "good3")]
+        rows += [(f"o{o}", "f", f"copy{i:03d}", lie, 2.0) for i in range(200)]
+    # An object with thousands of sources, all of one common value, each with one of its own: no pair of them is compared.
+    rows += [(f"big", f, f"s{i:04d}", v, None) for i in range(4000) for f, v in (("f", "same"), ("g", f"own{i}"))]
+    df = spark.createDataFrame(rows, "object string, field string, source string, value string, at double")
+    got = {(r.object, r.field): r for r in survivor.fuse(df).collect()}
+    assert sum(got[f"o{o}", "f"].value == f"t{o}" for o in range(40)) > 33
+    assert (got["big", "f"].value, got["big", "f"].n_sources) == ("same", 4000) and got["big", "g"].n_sources == 1
+
+
 def test_fused_groups_have_their_records_as_sources(spark, tmp_path):
     # (primary, dup_group, device, scene, eyes_closed_n, sharp_p90, suggested_keep)
     rows = [("a", "D1", "cam", "S1", 1, 5.0, "a"), ("b", "D1", "cam", "S1", 1, 5.0, "a"), ("c", "D1", "cam", "S9", 0, 9.0, "c")]
