@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.shared import materialize, release
@@ -21,42 +21,39 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, labe
 
     Distinct left instants are matched against distinct right instants.  In a ring of width w every instant within
     w lies in its own bucket or one of the two beside it, so a nearest one at most w away is final; the
-    others go on to the next ring of double width.  In the first ring all instants of the own bucket are compared, whose number
-    is bounded by the resolution of times.  In later rings the half of the own bucket around the left instant
+    others go on to the next ring of double width.  In the first ring the instants of a bucket are merged in order, so that each left one sees
+    the right ones next to it, however many a burst puts into the bucket.  In later rings the half of the own bucket around the left instant
     is known to be empty, and of the buckets beside it only the ends matter: one row per bucket, the ends of its instants,
-    is enough.  Widths are powers of two, by which times divide exactly.
+    is enough.  Widths are powers of two, by which times divide exactly.  Rings carry times only; labels are joined at the end.
     """
     if math.log2(finest) % 1:
         raise ValueError("finest must be a power of two")
     ok = F.col(key).isNotNull() & F.col(time).isNotNull() & ~F.isnan(F.col(time).cast("double")) & (F.abs(F.col(time).cast("double")) < float("inf"))
-    cast = lambda df: df.where(ok).select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), F.col(label).alias("l"))
-    rights = cast(right).where("l IS NOT NULL").groupBy("k", "t").agg(F.min("l").alias("l"))
-    rights = materialize(rights.withColumn("b", F.floor(F.col("t") / finest)), "instants-right")
-    todo = materialize(cast(left).select("k", "t").distinct(), "instants-left")
+    cast = lambda df, *more: df.where(ok).select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), *more)
+    labels = materialize(cast(right, F.col(label).alias("l")).where("l IS NOT NULL").groupBy("k", "t").agg(F.min("l").alias("l")), "instants-right")
+    todo = materialize(cast(left).distinct(), "instants-left")
+    bucket = lambda w: F.floor(F.col("t") / w).alias("b")
     found, width, ends = [], finest, None
     while True:
-        first = ends is None
-        cells = (rights if first else ends).groupBy("k", (F.col("b") if first else F.floor(F.col("b") / 2)).alias("b"))
-        if first:
-            rolled = cells.agg(F.min(F.struct("t", "l")).alias("lo"), F.max_by(F.struct("t", "l"), "t").alias("hi"))
+        if ends is None:
+            rolled = labels.groupBy("k", bucket(width)).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+            both = todo.select("k", "t", bucket(width), F.lit(None).cast("double").alias("c")).unionByName(labels.select("k", "t", bucket(width), F.col("t").alias("c")))
+            order = Window.partitionBy("k", "b").orderBy("t", F.col("c").isNull())
+            merged = both.select("k", "t", "c", F.last("c", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x"), F.min("c").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("y"))
+            seen = merged.where("c IS NULL").select("k", "t", F.explode(F.array("x", "y")).alias("c")).where("c IS NOT NULL")
         else:
-            rolled = cells.agg(F.min("lo").alias("lo"), F.max_by("hi", "hi.t").alias("hi"))
+            rolled = ends.groupBy("k", F.floor(F.col("b") / 2).alias("b")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            seen = None
         rolled = materialize(rolled, "bucket-ends")
-        if not first:
-            release(ends)
+        release(ends)
         ends = rolled
-        # What a bucket shows to its own left rows (d = 0), to those of the next (d = 1) and of the one before (d = -1).
-        beside = ends.select("k", F.inline(F.array(F.struct((F.col("b") + 1).alias("b"), F.col("hi").alias("c")), F.struct((F.col("b") - 1).alias("b"), F.col("lo").alias("c")))))
-        own = rights.select("k", "b", F.struct("t", "l").alias("c")) if first else ends.select("k", "b", F.explode(F.array("lo", "hi")).alias("c"))
-        near = (
-            todo.withColumn("b", F.floor(F.col("t") / width))
-            .join(own.unionByName(beside), ["k", "b"])
-            .withColumn("d", F.abs(F.col("t") - F.col("c.t")))
-            .where(F.col("d") <= min(width, tolerance))
-            .groupBy("k", "t")
-            .agg(F.min(F.struct("d", "c.l", "c.t")).alias("best"))
-        )
-        near = materialize(near, "near")
+        # What a bucket shows to the left rows of the next one, of the one before and, beyond the first ring, to its own.
+        shown = [F.struct((F.col("b") + 1).alias("b"), F.col("hi").alias("c")), F.struct((F.col("b") - 1).alias("b"), F.col("lo").alias("c"))]
+        if seen is None:
+            shown += [F.struct(F.col("b").alias("b"), F.col(c).alias("c")) for c in ("lo", "hi")]
+        beside = todo.withColumn("b", bucket(width)).join(ends.select("k", F.inline(F.array(*shown))), ["k", "b"]).select("k", "t", "c")
+        near = (beside if seen is None else beside.unionByName(seen)).where(F.abs(F.col("t") - F.col("c")) <= min(width, tolerance))
+        near = materialize(near.groupBy("k", "t").agg(F.max(F.when(F.col("c") <= F.col("t"), F.col("c"))).alias("x"), F.min(F.when(F.col("c") >= F.col("t"), F.col("c"))).alias("y")), "near")
         found.append(near)
         if width >= tolerance:
             break
@@ -66,7 +63,11 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, labe
     best = found[0]
     for more in found[1:]:
         best = best.unionByName(more)
-    best = best.select(F.col("k").alias("__k"), F.col("t").alias("__n"), F.col("best.l").alias("near_label"), F.col("best.t").alias("near_time"))
+    # The nearer of the two neighbours, both where they are equally near; of their labels the least.
+    gap = lambda c: F.abs(F.col("n") - c)
+    best = best.withColumnRenamed("t", "n").withColumn("d", F.least(gap(F.col("x")), gap(F.col("y"))))
+    best = best.select("k", "n", F.explode(F.filter(F.array_distinct(F.array("x", "y")), lambda c: c.isNotNull() & (gap(c) == F.col("d")))).alias("t")).join(labels, ["k", "t"])
+    best = best.groupBy(F.col("k").alias("__k"), F.col("n").alias("__n")).agg(F.min(F.struct("l", "t")).alias("b")).select("__k", "__n", F.col("b.l").alias("near_label"), F.col("b.t").alias("near_time"))
     left = left.drop("near_label", "near_time")
     rows = left.where(ok).withColumn("__t", F.col(time).cast("double"))
     return rows.join(best, (F.col(key) == F.col("__k")) & (F.col("__t") == F.col("__n"))).drop("__t", "__k", "__n")
