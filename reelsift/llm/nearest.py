@@ -38,8 +38,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, labe
         if ends is None:
             rolled = labels.groupBy("k", bucket(width)).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
             both = todo.select("k", "t", bucket(width), F.lit(None).cast("double").alias("c")).unionByName(labels.select("k", "t", bucket(width), F.col("t").alias("c")))
-            order = Window.partitionBy("k", "b").orderBy("t", F.col("c").isNull())
-            merged = both.select("k", "t", "c", F.last("c", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x"), F.min("c").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("y"))
+            # Up and down the bucket, each in one pass.
+            up, down = (Window.partitionBy("k", "b").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (["t", F.col("c").isNull()], [F.desc("t"), F.col("c").isNull().desc()]))
+            merged = both.withColumn("x", F.last("c", ignorenulls=True).over(up)).withColumn("y", F.last("c", ignorenulls=True).over(down))
             seen = merged.where("c IS NULL").select("k", "t", F.explode(F.array("x", "y")).alias("c")).where("c IS NOT NULL")
         else:
             rolled = ends.groupBy("k", F.floor(F.col("b") / 2).alias("b")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

@@ -122,7 +122,8 @@ def test_nearest_matches_brute_force(spark):
                 want.append((name, min(near)[1]))
     schema = "id string, key string, time double"
     ldf, rdf = spark.createDataFrame(left, schema).withColumn("near_label", F.lit("clash")), spark.createDataFrame(right, schema)
-    for finest in (0.125, 2.0, 8.0):
+    # 2048.0: everything in one bucket.
+    for finest in (0.125, 2.0, 8.0, 2048.0):
         got = nearest.nearest_in_time(ldf, rdf, "key", "time", "id", 5.0, finest)
         assert sorted((r.id, r.near_label) for r in got.collect()) == sorted(want)
     assert nearest.nearest_in_time(ldf.limit(0), rdf, "key", "time", "id", 5.0).count() == 0
