@@ -81,6 +81,7 @@ def instant_dictionary(keys: DataFrame, path: str | None = None) -> DataFrame:
     """The dictionary (source, raw, zone, micros) of ``keys`` (source, raw, zone), each distinct key parsed once.
 
     With ``path`` it is persistent: entries kept there are read, only new keys are parsed and appended.
+    Two runs at once may both append a key; it is read as one entry all the same, since equal keys have equal instants.
     Without, it is written to the session's shared folder.  Null raws are no keys.
     """
     spark = keys.sparkSession
@@ -91,7 +92,7 @@ def instant_dictionary(keys: DataFrame, path: str | None = None) -> DataFrame:
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         keys = keys.join(spark.read.parquet(path), ["source", "raw", "zone"], "left_anti")
     parse_instants(keys).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).groupBy("source", "raw", "zone").agg(F.max("micros").alias("micros"))
 
 
 def normalise_instants(

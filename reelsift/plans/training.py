@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsift.functions.text import nfc
 from reelsift.operators.current import current_rows, finite, known
-from reelsift.operators.instants import known_zone, normalise_instants, offset_zone
+from reelsift.operators.instants import instant_dictionary, known_zone, normalise_instants, offset_zone
 from reelsift.operators.references import orphan_references, orphan_report
 from reelsift.operators.sessions import sessions
 from reelsift.plans.tables import table
+from reelsift.shared import shared_dir
 
 GAP_S = 600.0
 SLACK_S = 2.0
@@ -91,8 +94,8 @@ FROM z GROUP BY device, s
 """
 
 
-def instants_of_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Current rows of scan with ``instant_us``, the UTC instant of their time tags in microseconds."""
+def instants_of_scan(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """Current rows of scan with ``instant_us``, the UTC instant of their time tags in microseconds; the dictionary is kept at ``path``, if that is given."""
     cur = current_rows(table(spark, d, "scan"), "primary", "run_at", ["root", "kind", "time", "SubSecDateTimeOriginal", "OffsetTimeOriginal", "CreateDate"])
     homes = table(spark, d, "photo_root").where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.col("home_zone")).alias("home_zone"))
     cur = cur.join(homes, "root", "left").withColumn("home", known_zone(spark, F.col("home_zone")))
@@ -102,6 +105,7 @@ def instants_of_scan(spark: SparkSession, d: str) -> DataFrame:
             ("SubSecDateTimeOriginal", F.col("SubSecDateTimeOriginal"), F.coalesce(offset_zone(F.col("OffsetTimeOriginal")), F.col("home"))),
             ("CreateDate", F.col("CreateDate"), F.when(F.col("kind") == "video", F.lit("UTC")).otherwise(F.col("home"))),
         ],
+        path=path,
     )
 
 
@@ -117,6 +121,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return i.select("primary", F.floor(F.col("instant_us") / 1_000_000).cast("bigint").alias("utc_s"))
 
 
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """As p6_instants, from a dictionary that is kept: a first run has seen half of the tags, of libraries in UTC; the second one parses only what is new."""
+    path = f"{shared_dir(spark)}/dictionary-{uuid.uuid4().hex[:12]}"
+    tags = table(spark, d, "scan").where("SubSecDateTimeOriginal IS NOT NULL").select(F.lit("SubSecDateTimeOriginal").alias("source"), F.trim("SubSecDateTimeOriginal").alias("raw"), F.lit("UTC").alias("zone"))
+    instant_dictionary(tags.where(F.pmod(F.xxhash64("raw"), F.lit(2)) == 0), path)
+    return instants_of_scan(spark, d, path).select("primary", (F.col("instant_us") / 1e6).alias("instant_s"))
+
+
 _ZONE_RE = r"(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|Z|UTC|GMT"
 
 
@@ -145,7 +157,7 @@ i AS (SELECT "primary", "time", ord, coalesce(CASE WHEN coalesce(own, fallback)
 best AS (SELECT "primary", any_value("time") AS t, arg_min(m, ord) FILTER (m IS NOT NULL) AS m FROM i GROUP BY "primary")
 """
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_instants": p6_instants}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_sessions": p5_sessions, "p6_found": p6_found, "p6_instants": p6_instants, "p6_kept": p6_kept}
 
 SQL = {
     "p4_found": _P4_SQL + 'SELECT DISTINCT tbl, field, "primary", target FROM orphans',
@@ -153,5 +165,6 @@ SQL = {
     "p5_found": f"SELECT device, first_primary, last_primary, n_items FROM ({_P5_SQL})",
     "p5_sessions": _P5_SQL,
     "p6_found": _P6_SQL + """SELECT "primary", floor(m / 1e6)::BIGINT AS utc_s FROM best WHERE t IS NOT NULL AND abs(m / 1e6 - t) > 2""",
+    "p6_kept": _P6_SQL + """SELECT "primary", m / 1e6 AS instant_s FROM best""",
     "p6_instants": _P6_SQL + """SELECT "primary", m / 1e6 AS instant_s, m / 1e6 - t AS off_s FROM best""",
 }

@@ -8,13 +8,17 @@ local session that has none gets a temporary one; on a cluster without the setti
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="reelsift-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
@@ -50,9 +54,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._reelsift_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, at its end, the tables that :func:`materialize` wrote within; results must be written or collected before.
+
+    Without a scope they stay until the session ends.  Scopes may be nested: a table belongs to the innermost one.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            release(df)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table made by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_reelsift_path", None)

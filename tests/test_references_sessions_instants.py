@@ -1,5 +1,6 @@
 """Orphan references, sessions and instants: defined edge cases and sequential models."""
 
+import os
 import random
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelsift.functions.text import nfc
 from reelsift.operators.current import current_rows
+from reelsift.shared import materialize, scope
 from reelsift.operators.instants import instant_dictionary, known_zone, normalise_instants, offset_zone, parse_instants
 from reelsift.operators.references import orphan_references, orphan_report
 from reelsift.operators.sessions import sessions
@@ -160,3 +162,17 @@ def test_dictionary_grows(spark, tmp_path):
 def test_unknown_zones_are_utc(spark):
     df = spark.createDataFrame([("Europe/Berlin",), ("Mars/Phobos",), (None,), ("",)], "z string")
     assert [r[0] for r in df.select(known_zone(spark, F.col("z"))).collect()] == ["Europe/Berlin", "UTC", "UTC", "UTC"]
+    # Two writers at once: the file holds a key twice, the dictionary doesn't.
+    spark.read.parquet(path).limit(1).write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == 3 and instant_dictionary(more, path).count() == 2
+
+
+def test_scopes_delete_what_they_wrote(spark):
+    df = spark.range(3)
+    kept = materialize(df, "kept")
+    with scope():
+        inner = materialize(df, "inner")
+        with scope():
+            innermost = materialize(df, "innermost")
+        assert inner.count() == 3 and not os.path.exists(innermost._reelsift_path)
+    assert not os.path.exists(inner._reelsift_path) and kept.count() == 3
