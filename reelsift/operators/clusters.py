@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.config import CONFIG, Config
 from reelsift.operators.components import component_labels
+from reelsift.operators.order import place_along
 from reelsift.operators.similarity import HOT_BUCKET, band, band_cuts, band_layout, block_keys, frame_links, frame_runs, hamming, hamming_links, links
 from reelsift.shared import materialize
 
@@ -51,8 +52,8 @@ def label_clusters(records: DataFrame, components: DataFrame, library: list[str]
     """
     of = records.join(components, "node")
     first = of.groupBy(*library, "label").agg(*[F.min(c).alias(f"__{c}") for c in order], F.count(F.lit(1)).alias("dup_size"))
-    rank = F.row_number().over(Window.partitionBy(*library).orderBy(*[f"__{c}" for c in order], "label"))
-    first = first.withColumn("dup_group", F.format_string(f"{letter}%03d", rank)).select(*[F.col(c).alias(f"__k{c}") for c in library], F.col("label").alias("__label"), "dup_group", "dup_size")
+    first = place_along(first, library, [*[F.col(f"__{c}") for c in order], F.col("label")], "__rank")
+    first = first.withColumn("dup_group", F.format_string(f"{letter}%03d", F.col("__rank"))).select(*[F.col(c).alias(f"__k{c}") for c in library], F.col("label").alias("__label"), "dup_group", "dup_size")
     cond = F.col("label") == F.col("__label")
     for c in library:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__k{c}"))
@@ -70,16 +71,46 @@ def keeper(records: DataFrame, group: list[str], bad_flags: list[str], order: li
     return records.join(best, group)
 
 
-def cluster_spread(records: DataFrame, group: list[str], loose_size: int = CONFIG.loose_size, loose_bits: int = CONFIG.burst_bits) -> DataFrame:
+def _centre(bits: str) -> Column:
+    """The hash that has, in each bit, what most of a group's hashes have."""
+    most = [F.when(F.sum(band(bits, i, 1)) * 2 > F.count(F.lit(1)), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
+    out = most[0]
+    for m in most[1:]:
+        out = out.bitwiseOR(m)
+    return out
+
+
+def farthest(hashes: DataFrame, group: list[str], few: int = 64) -> DataFrame:
+    """(group, far): the greatest distance between two of a group's distinct ``bits``; groups of one hash are left out.
+
+    Groups of up to ``few`` are compared in pairs.  In larger ones each hash has its distance r from the group's centre, and no pair is further apart than its
+    two r together; the distances from the hash with the greatest r give a bound from below.  Only pairs that may exceed it
+    are compared, among the hashes that have such a partner.
+    """
+    sizes = materialize(hashes.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), _centre("bits").alias("__m")).where("__n > 1"), "centres")
+    a, b = hashes.select(*group, F.col("bits").alias("ha")), hashes.select(*group, F.col("bits").alias("hb"))
+    pairs = lambda of, x, y: x.join(of, group, "left_semi").join(y, group).where("ha < hb")
+    plain = pairs(sizes.where(F.col("__n") <= few), a, b).groupBy(*group).agg(F.max(hamming(F.col("ha"), F.col("hb"))).alias("far"))
+    big = sizes.where(F.col("__n") > few)
+    if big.isEmpty():
+        return plain
+    rings = materialize(hashes.join(big, group).select(*group, "bits", hamming(F.col("bits"), F.col("__m")).alias("r")), "rings")
+    edge = rings.groupBy(*group).agg(F.max(F.struct("r", "bits")).alias("e"))
+    low = materialize(rings.join(edge, group).groupBy(*group).agg(F.max(hamming(F.col("bits"), F.col("e.bits"))).alias("low"), F.max("e.r").alias("most")), "bounds")
+    live = materialize(rings.join(low, group).where(F.col("r") + F.col("most") > F.col("low")).select(*group, "bits", "r", "low"), "outer")
+    x, y = live.select(*group, F.col("bits").alias("ha"), F.col("r").alias("ra"), "low"), live.select(*group, F.col("bits").alias("hb"), F.col("r").alias("rb"))
+    far = x.join(y, group).where((F.col("ha") < F.col("hb")) & (F.col("ra") + F.col("rb") > F.col("low"))).groupBy(*group).agg(F.max(hamming(F.col("ha"), F.col("hb"))).alias("far"))
+    outer = low.join(far, group, "left").select(*group, F.greatest("low", F.coalesce("far", F.lit(0))).alias("far"))
+    return plain.unionByName(outer)
+
+
+def cluster_spread(records: DataFrame, group: list[str], loose_size: int = CONFIG.loose_size, loose_bits: int = CONFIG.burst_bits, few: int = 64) -> DataFrame:
     """Per group its size, time span, greatest distance over all pairs (``dup_maxdist``) and whether it is loose.
 
-    ``records`` have bits and time.  The greatest distance is taken between distinct hashes; groups are small, as they hold
-    alike hashes only, and pairs come from an equality join on the group.
+    ``records`` have bits and time; the greatest distance is exact, see :func:`farthest`.
     """
     size = records.groupBy(*group).agg(F.count(F.lit(1)).alias("dup_size"), F.round(F.coalesce(F.max("time") - F.min("time"), F.lit(0.0)), 3).alias("dup_span_s"))
-    hashes = records.where("bits IS NOT NULL").select(*group, "bits").distinct()
-    pairs = hashes.withColumnRenamed("bits", "ha").join(hashes.withColumnRenamed("bits", "hb"), group).where("ha < hb")
-    far = pairs.groupBy(*group).agg(F.max(hamming(F.col("ha"), F.col("hb"))).alias("far"))
+    far = farthest(materialize(records.where("bits IS NOT NULL").select(*group, "bits").distinct(), "hashes"), group, few)
     out = size.join(far, group, "left").withColumn("dup_maxdist", F.coalesce("far", F.lit(0))).drop("far")
     return out.withColumn("dup_loose", (F.col("dup_size") >= loose_size) | (F.col("dup_maxdist") > loose_bits))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelsift.config import CONFIG, Config
 from reelsift.functions.media import haversine
+from reelsift.operators.order import place_along
 from reelsift.shared import materialize
 
 
@@ -71,15 +72,14 @@ def assign_scenes(items: DataFrame, library: list[str], cfg: Config = CONFIG, ti
 def assign_ids(items: DataFrame, library: list[str], tie: str = "primary") -> DataFrame:
     """``items`` with ``id``: 'P0001' for stills and 'V0001' for videos along (time, seq, tie) in each ``library``."""
     video = F.coalesce(F.col("kind") == "video", F.lit(False))
-    w = Window.partitionBy(*library, video).orderBy(F.col("time").asc_nulls_last(), F.coalesce("seq", F.lit(0)), F.col(tie))
-    n = F.row_number().over(w)
-    return items.withColumn("id", F.when(video, F.format_string("V%04d", n)).otherwise(F.format_string("P%04d", n)))
+    order = [F.col("time").isNull(), F.col("time"), F.coalesce("seq", F.lit(0)), F.col(tie)]
+    placed = place_along(items.withColumn("__video", video), [*library, "__video"], order, "__n")
+    named = F.when(F.col("__video"), F.format_string("V%04d", F.col("__n"))).otherwise(F.format_string("P%04d", F.col("__n")))
+    return placed.withColumn("id", named).drop("__video", "__n")
 
 
 def sheet_layout(photos: DataFrame, library: list[str], per_sheet: int = 9, tie: str = "primary") -> DataFrame:
     """``photos`` with ``sheet`` ('<scene>_<nn>') and ``sheet_pos`` (from 1): by time in each scene, ``per_sheet`` a sheet."""
-    w = Window.partitionBy(*library, "scene").orderBy(F.col("time").asc_nulls_last(), F.col(tie))
-    n = F.row_number().over(w) - 1
-    out = photos.withColumn("__n", n)
+    placed = place_along(photos, [*library, "scene"], [F.col("time").isNull(), F.col("time"), F.col(tie)], "__n").withColumn("__n", F.col("__n") - 1)
     sheet = F.format_string("%s_%02d", "scene", F.floor(F.col("__n") / per_sheet).cast("int") + 1)
-    return out.withColumns({"sheet": F.when(F.col("scene").isNotNull(), sheet), "sheet_pos": (F.col("__n") % per_sheet + 1).cast("int")}).drop("__n")
+    return placed.withColumns({"sheet": F.when(F.col("scene").isNotNull(), sheet), "sheet_pos": (F.col("__n") % per_sheet + 1).cast("int")}).drop("__n")

@@ -12,6 +12,7 @@ from reelsift.operators import catalog, clusters, eyes, flags, ledger, pixels, p
 from reelsift.operators.components import component_labels
 from reelsift.operators.baseline import PHOTO_LEVELS, adaptive_levels, ladder_median
 from reelsift.operators.current import current_rows, finite, known, valid_number
+from reelsift.operators.order import carried_last, selected_percentile
 from reelsift.operators.scenes import assign_ids, assign_scenes, sheet_layout
 from reelsift.operators.similarity import hash_bits
 from reelsift.plans.tables import table
@@ -108,12 +109,16 @@ def scene_summary(spark: SparkSession, d: str) -> DataFrame:
     return _scened(spark, d).where("scene IS NOT NULL").groupBy("root", "scene").agg(F.count(F.lit(1)).alias("n_items"), F.min("time").alias("first_s"), F.max(F.coalesce("time_end", "time")).alias("last_s"))
 
 
+# Days cut the timeline; items without a time come last.
+_DAY = "coalesce(floor(time / 86400), 9223372036854775807)"
+
+
 @query(_SCENES + 'SELECT p AS "primary", lg.lat AS last_lat, lg.lon AS last_lon FROM s1')
 def carry_forward_place(spark: SparkSession, d: str) -> DataFrame:
     """The last known place before each item."""
-    w = Window.partitionBy("root").orderBy(F.col("time").asc_nulls_last(), F.coalesce("seq", F.lit(0)), "primary").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.last("gps", ignorenulls=True).over(w)
-    return items(spark, d, "seq", "time", "gps").withColumn("place", place).select("primary", F.col("place.lat").alias("last_lat"), F.col("place.lon").alias("last_lon"))
+    i = items(spark, d, "seq", "time", "gps")
+    seen = carried_last(i, ["root"], [F.col("time").isNull(), F.col("time"), F.coalesce("seq", F.lit(0)), F.col("primary")], F.expr(_DAY), "gps", "place")
+    return seen.select("primary", F.col("place.lat").alias("last_lat"), F.col("place.lon").alias("last_lon"))
 
 
 @query(
@@ -516,8 +521,8 @@ SELECT "primary", round({_FAR}, 1) AS moved_m FROM o WHERE pa IS NOT NULL"""
 )
 def moved_metres(spark: SparkSession, d: str) -> DataFrame:
     """Great-circle distance from the item before."""
-    w = Window.partitionBy("root").orderBy("time", "primary")
-    rows = items(spark, d, "gps", "time").where("gps IS NOT NULL AND time IS NOT NULL").withColumn("before", F.lag("gps").over(w)).where("before IS NOT NULL")
+    rows = items(spark, d, "gps", "time").where("gps IS NOT NULL AND time IS NOT NULL")
+    rows = carried_last(rows, ["root"], [F.col("time"), F.col("primary")], F.expr(_DAY), "gps", "before").where("before IS NOT NULL")
     return rows.select("primary", F.round(m.haversine(F.col("gps.lat"), F.col("gps.lon"), F.col("before.lat"), F.col("before.lon")), 1).alias("moved_m"))
 
 
@@ -749,8 +754,9 @@ def offset_mode_share(spark: SparkSession, d: str) -> DataFrame:
 def shake_stats(spark: SparkSession, d: str) -> DataFrame:
     """Shake per colour mode, slow motion pooled."""
     pool = F.when(F.col("slowmo_factor").isNotNull(), "slow").otherwise(F.coalesce("color_mode", F.lit("(none)")))
-    v = videos(spark, d, "slowmo_factor", "color_mode", "shake").where(F.col("shake").isNotNull() & ~F.isnan("shake"))
-    return v.groupBy(pool.alias("pool")).agg(F.count("shake").alias("n"), F.min("shake").alias("least"), F.max("shake").alias("most"), F.round(F.percentile("shake", 0.5), 4).alias("middle"))
+    v = videos(spark, d, "slowmo_factor", "color_mode", "shake").where(F.col("shake").isNotNull() & ~F.isnan("shake")).groupBy(pool.alias("pool"), "shake").agg(F.count(F.lit(1)).alias("c"))
+    middle = selected_percentile(v, ["pool"], "shake", "c").select("pool", F.round("percentile", 4).alias("middle"))
+    return v.groupBy("pool").agg(F.sum("c").alias("n"), F.min("shake").alias("least"), F.max("shake").alias("most")).join(middle, "pool")
 
 
 @query(f"WITH {_VIDEOS} SELECT color_mode, hdr, count(*) AS n FROM videos GROUP BY color_mode, hdr")
@@ -789,8 +795,8 @@ def human_sizes(spark: SparkSession, d: str) -> DataFrame:
 def analysis_width(spark: SparkSession, d: str) -> DataFrame:
     """One analysis width per library, the least of its videos'."""
     v = items(spark, d, "kind", "width").where("kind = 'video'")
-    least = F.min(F.when(F.col("width") > 0, F.col("width"))).over(Window.partitionBy("root"))
-    return v.select("primary", F.least(F.lit(CONFIG.analysis_px), F.coalesce(least, F.lit(CONFIG.analysis_px))).alias("width"))
+    least = v.groupBy(F.col("root").alias("of")).agg(F.min(F.when(F.col("width") > 0, F.col("width"))).alias("least"))
+    return v.join(least, F.col("root").eqNullSafe(F.col("of"))).select("primary", F.least(F.lit(CONFIG.analysis_px), F.coalesce("least", F.lit(CONFIG.analysis_px))).alias("width"))
 
 
 # Pixels and eyes: embeddings read as scores and grey levels --------------------------------------------------------
