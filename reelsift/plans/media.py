@@ -814,9 +814,8 @@ def eye_states(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", state.getField("eye_state").alias("eye_state"))
 
 
-@query()
 def image_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Measures of 8 x 8 images made of embeddings."""
+    """Measures of 8 x 8 images made of embeddings, for image_statistics and image_hashes."""
     levels = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor((x.cast("double") + 1) * 128).cast("bigint"), F.lit(256))), 2, "0"))
     images = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(levels, "")).alias("data"))
     return pixels.image_measures(images)

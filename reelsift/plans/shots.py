@@ -479,13 +479,26 @@ def face_matches(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH RECURSIVE g AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 128)::INT % 256) AS v FROM embeddings),
 p AS (SELECT vec_id, v, r, c, v[r * 8 + c + 1] AS z, v[(CASE WHEN r = 0 THEN 1 ELSE r - 1 END) * 8 + c + 1] + v[(CASE WHEN r = 7 THEN 6 ELSE r + 1 END) * 8 + c + 1] + v[r * 8 + (CASE WHEN c = 0 THEN 1 ELSE c - 1 END) + 1] + v[r * 8 + (CASE WHEN c = 7 THEN 6 ELSE c + 1 END) + 1] - 4 * v[r * 8 + c + 1] AS lap FROM g, range(8) a(r), range(8) b(c)),
+q AS (SELECT vec_id, v[16 * i + 2 * j + 1] AS a, v[16 * i + 2 * j + 2] AS b, v[16 * i + 2 * j + 9] AS c, v[16 * i + 2 * j + 10] AS d FROM g, range(4) x(i), range(4) y(j)), q2 AS (SELECT vec_id, [2 * b + 2 * c - 4 * a, 2 * a + 2 * d - 4 * b, 2 * a + 2 * d - 4 * c, 2 * b + 2 * c - 4 * d] AS l FROM q),
+sp AS (SELECT vec_id, quantile_cont((4 * list_sum(list_transform(l, lambda x: x * x)) - list_sum(l) * list_sum(l)) / 16.0, 0.9) AS sharp FROM q2 GROUP BY vec_id),
 h AS (SELECT vec_id, z, count(*) / 64 AS s FROM p GROUP BY ALL), en AS (SELECT vec_id, -sum(s * log2(s)) AS e FROM h GROUP BY vec_id)
-SELECT vec_id, round_even(var_pop(lap), 1) AS blur_var, round_even(avg(z), 1) AS brightness, round(avg((z >= 250)::INT), 3) AS clip_high, round(avg((z < 5)::INT), 3) AS clip_low, round_even(max(e), 2) AS entropy FROM p JOIN en USING (vec_id) GROUP BY vec_id"""
+SELECT vec_id, round_even((64 * sum(lap * lap) - sum(lap) * sum(lap)) / 4096.0, 1) AS blur_var, round_even(avg(z), 1) AS brightness, round(avg((z >= 250)::INT), 3) AS clip_high, round(avg((z < 5)::INT), 3) AS clip_low, round_even(max(e), 2) AS entropy, round_even(max(sharp), 1) AS sharp_p90, 0.0::DOUBLE AS sharp_tile_max FROM p JOIN en USING (vec_id) JOIN sp USING (vec_id) GROUP BY vec_id"""
 )
 def image_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Grey statistics of 8 x 8 images made of embeddings."""
+    """Grey statistics of 8 x 8 images made of embeddings; tiles of their tiles are single points, which are flat."""
     measured = plans.image_measures(spark, d)
-    return measured.select(F.col("path").cast("bigint").alias("vec_id"), "blur_var", "brightness", "clip_high", "clip_low", "entropy")
+    return measured.select(F.col("path").cast("bigint").alias("vec_id"), "blur_var", "brightness", "clip_high", "clip_low", "entropy", "sharp_p90", "sharp_tile_max")
+
+
+@query(
+    """WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 128)::INT % 256) AS v FROM embeddings), p AS (SELECT vec_id, r, c, v[r * 8 + c + 1] AS z FROM g, range(8) a(r), range(8) b(c)),
+w AS (SELECT k, x, sum(cos(pi() * k * (2 * (4 * x + j) + 1) / 64)) AS f FROM range(8) a(k), range(8) b(x), range(4) c(j) GROUP BY ALL), half AS (SELECT vec_id, k, c, sum(f * z) AS s FROM p JOIN w ON r = x GROUP BY ALL),
+low AS (SELECT vec_id, h.k AS a, w.k AS b, sum(f * s) AS y FROM half h JOIN w ON c = x GROUP BY ALL), mid AS (SELECT vec_id, quantile_cont(y, 0.5) AS m FROM low GROUP BY vec_id)
+SELECT vec_id, format('{:016x}', sum(CASE WHEN y > m THEN 1::UBIGINT << (63 - a * 8 - b)::UBIGINT ELSE 0::UBIGINT END)::UBIGINT) AS phash FROM low JOIN mid USING (vec_id) GROUP BY vec_id"""
+)
+def image_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Perceptual hashes of 8 x 8 images made of embeddings."""
+    return plans.image_measures(spark, d).select(F.col("path").cast("bigint").alias("vec_id"), "phash")
 
 
 @query("SELECT vec_id, 3 AS n_shifts, (vec_id % 4)::DOUBLE AS dx, (vec_id // 4 % 3)::DOUBLE AS dy FROM embeddings")
