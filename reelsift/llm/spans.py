@@ -251,11 +251,16 @@ class SharedSpans:
         heads, texts = self._texts(least)
         return heads.select("k1", "k2", "d").join(texts.where("n > 1"), ["k1", "k2"]).select(F.col("d").alias("doc_id"), F.col("lead").alias("text_id"))
 
+    @cached_property
+    def live(self) -> DataFrame:
+        """(d, t, ranges): the texts that may hold a shared span.  They are shuffled once, for this; all later joins take them from here."""
+        return materialize(self.docs.join(self._ranges(), "d"), "live")
+
     @cached_property
     def anchors(self) -> DataFrame:
         """(d, at, other, other_at): windows of ``span`` code points that stand in different texts, with the first text and place."""
         span = self.span
-        windows = self.docs.join(self._ranges(), "d").mapInPandas(lambda b: _anchors(b, span), "d bigint, at int, h1 bigint, h2 bigint")
+        windows = self.live.mapInPandas(lambda b: _anchors(b, span), "d bigint, at int, h1 bigint, h2 bigint")
         anchors = materialize(windows, "anchors")
         lead = anchors.groupBy("h1", "h2").agg(F.min(F.struct("d", "at")).alias("lead"), F.max("d").alias("last")).where(F.col("lead.d") < F.col("last"))
         return materialize(anchors.join(lead.select("h1", "h2", "lead"), ["h1", "h2"]).select("d", "at", F.col("lead.d").alias("other"), F.col("lead.at").alias("other_at")), "matches")
@@ -268,7 +273,7 @@ class SharedSpans:
         point, at least ``span`` unless two windows have the same two hashes by chance.
         """
         pairs = self.anchors.where("d <> other").groupBy("d", "other").agg(F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys"))
-        pairs = pairs.join(self.docs, "d").join(self.docs.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
+        pairs = pairs.join(self.live.select("d", "t"), "d").join(self.live.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
         seed, winnow, span, gap_cost, most_gap = self.seed, self.winnow, self.span, self.gap_cost, self.most_gap
         return pairs.mapInPandas(lambda b: _aligned(_seeds_in_windows(b, seed, winnow, span), seed, gap_cost, most_gap, span), PASSAGE)
 
@@ -314,7 +319,9 @@ class SharedSpans:
         rows = _seed_pairs(placed).select("d", "other", "at", "other_at", "ctx", "other_ctx")
         hopeful = rows.mapInArrow(lambda b: _hopes(b, k, least), "d bigint, other bigint, at int, other_at int, hope int")
         pairs = hopeful.groupBy("d", "other").agg(F.sum("hope").alias("hope"), F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys")).where(F.col("hope") * 4 >= 3 * least)
-        pairs = pairs.drop("hope").join(self.docs, "d").join(self.docs.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
+        pairs = materialize(pairs.drop("hope"), "pairs")
+        live = materialize(self.docs.join(pairs.select(F.explode(F.array("d", "other")).alias("d")).distinct(), "d"), "live")
+        pairs = pairs.join(live, "d").join(live.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
         gap_cost, most_gap = self.gap_cost, self.most_gap
         return pairs.mapInPandas(lambda b: _aligned(b, k, gap_cost, most_gap, least), PASSAGE)
 

@@ -431,6 +431,29 @@ def test_passages_between_all_texts_and_at_all_places(spark):
     assert {(r.d, r.other) for r in rows} == {(9, 8), *((d, o) for d in (8, 9) for o in range(4))}
 
 
+def test_recall_of_passages_with_planted_edits(spark):
+    rnd = random.Random(26)
+    letters = "abcdefghijklmnop "
+    text = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    docs, want = [], {}
+    for i in range(0, 300, 2):
+        # Two to eight points of 400 replaced, inserted or left out, at places of their own.
+        piece, parts, last = text(400), [], 0
+        for at in sorted(rnd.sample(range(400), rnd.randrange(2, 9))):
+            parts.append(piece[last:at] + rnd.choice(["#", "#" + piece[at], ""]))
+            last = at + 1
+        before, other = text(rnd.randrange(300)), text(rnd.randrange(300))
+        docs += [(i, other + piece + text(200)), (i + 1, before + "".join(parts) + piece[last:] + text(200))]
+        want[i + 1, i] = len(other)
+    found = {}
+    for r in spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string")).fuzzy_passages().collect():
+        found[r.d, r.other] = found.get((r.d, r.other), 0) + r.matched
+    assert set(found) <= set(want)
+    # Found is a pair of which at least four fifths of the points are matched.
+    assert sum(found.get(pair, 0) >= 320 for pair in want) >= 0.9 * len(want)
+    print("planted", len(want), "found", len(found), "whole", sum(found.get(pair, 0) >= 320 for pair in want))
+
+
 def test_short_exact_stretches_and_short_texts_are_passages(spark):
     rnd = random.Random(20)
     letters = "abcdefghijklmnop "
