@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelsift.shared import materialize
+from reelsift.shared import materialize, release
 
 K = 32
 WINNOW = 64
@@ -263,7 +263,9 @@ class SharedSpans:
         windows = self.live.mapInPandas(lambda b: _anchors(b, span), "d bigint, at int, h1 bigint, h2 bigint")
         anchors = materialize(windows, "anchors")
         lead = anchors.groupBy("h1", "h2").agg(F.min(F.struct("d", "at")).alias("lead"), F.max("d").alias("last")).where(F.col("lead.d") < F.col("last"))
-        return materialize(anchors.join(lead.select("h1", "h2", "lead"), ["h1", "h2"]).select("d", "at", F.col("lead.d").alias("other"), F.col("lead.at").alias("other_at")), "matches")
+        matches = materialize(anchors.join(lead.select("h1", "h2", "lead"), ["h1", "h2"]).select("d", "at", F.col("lead.d").alias("other"), F.col("lead.at").alias("other_at")), "matches")
+        release(anchors)
+        return matches
 
     def passages(self) -> DataFrame:
         """(d, other, from_at, to_at, other_from, other_to, matched, longest): chains of seeds, extended and aligned, between two texts with an equal window.
@@ -320,6 +322,7 @@ class SharedSpans:
         hopeful = rows.mapInArrow(lambda b: _hopes(b, k, least), "d bigint, other bigint, at int, other_at int, hope int")
         pairs = hopeful.groupBy("d", "other").agg(F.sum("hope").alias("hope"), F.collect_list("at").alias("xs"), F.collect_list("other_at").alias("ys")).where(F.col("hope") * 4 >= 3 * least)
         pairs = materialize(pairs.drop("hope"), "pairs")
+        release(placed)
         live = materialize(self.docs.join(pairs.select(F.explode(F.array("d", "other")).alias("d")).distinct(), "d"), "live")
         pairs = pairs.join(live, "d").join(live.select(F.col("d").alias("other"), F.col("t").alias("u")), "other")
         gap_cost, most_gap = self.gap_cost, self.most_gap
