@@ -126,6 +126,31 @@ def reduced(image: np.ndarray, side: int = 1600) -> np.ndarray:
     return np.rint(blocks.mean((1, 3))).astype(image.dtype)
 
 
+def eye_patches(images: DataFrame, key: str = "path", least: int = 8, margin: int = 2) -> DataFrame:
+    """(key, mean, std): grey level and deviation of the patch that holds the eyes' landmarks, of images (key, height, width, nChannels, data, xs, ys).
+
+    The patch is the landmarks' box, ``margin`` points wider on each side and cut at the edges.  Null for fewer than ``least`` landmarks, a patch
+    under four points wide or high, or an image that can't be read.
+    """
+    kind = images.schema[key].dataType.simpleString()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, h, w, n, data, xs, ys in zip(*(pdf[c] for c in ("key", "height", "width", "n", "data", "xs", "ys"))):
+                found = (None, None)
+                if data is not None and xs is not None and ys is not None and len(xs) >= least and len(data) == h * w * n:
+                    left, top = max(0, int(min(xs) - margin)), max(0, int(min(ys) - margin))
+                    patch = np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(n)).mean(2)[top : int(max(ys) + margin), left : int(max(xs) + margin)]
+                    if min(patch.shape) >= 4:
+                        found = (float(patch.mean()), float(patch.std()))
+                out.append((k, *found))
+            yield pd.DataFrame(out, columns=["key", "mean", "std"])
+
+    cols = images.select(F.col(key).alias("key"), "height", "width", F.col("nChannels").alias("n"), "data", "xs", "ys")
+    return cols.mapInPandas(measure, f"key {kind}, mean double, std double").withColumnRenamed("key", key)
+
+
 def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(dx, dy) of b against a by phase correlation under a Hann window, refined by the peak's centroid."""
     h, w = a.shape

@@ -541,12 +541,15 @@ def _dups(spark: SparkSession, d: str) -> DataFrame:
 _PLAN_SQL = f"""WITH plans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "primary" ORDER BY planned_at DESC, keep, reason, tier) AS rn FROM plan WHERE "primary" IS NOT NULL) WHERE rn = 1),
 known AS (SELECT DISTINCT nfc_normalize("primary") AS k FROM scan),
 dups AS (SELECT k, max(g) AS g FROM (SELECT nfc_normalize("primary") AS k, dup_group AS g FROM {_CUR.format(t='analysis', w='')} UNION ALL SELECT nfc_normalize("primary"), dup_group FROM {_CUR.format(t='video_analysis', w='')}) WHERE g IS NOT NULL GROUP BY k),
+lost AS (SELECT path FROM (SELECT DISTINCT path FROM (SELECT "primary" AS path FROM scan UNION ALL SELECT path FROM file_manifest) WHERE path IS NOT NULL) f WHERE {_cls('path')} IN ('sidecar', 'proxy')
+  AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {_parent('q')} AS a, lower({_stem('q')}) AS b FROM (SELECT "primary" AS q FROM scan UNION ALL SELECT path FROM file_manifest) WHERE q IS NOT NULL AND {_cls('q')} IN ('image', 'raw', 'video')) k WHERE k.a = {_parent('f.path')} AND k.b = lower({_stem('f.path')}))),
 pl AS (SELECT nfc_normalize("primary") AS p, tier, coalesce(reason, '') AS reason, nullif(nfc_normalize(keep), '') AS keep, row_number() OVER (PARTITION BY nfc_normalize("primary") ORDER BY "primary") AS nth FROM plans),
 x AS (SELECT pl.*, k1.k IS NOT NULL AS known, k2.k IS NOT NULL AS keep_known, d1.g AS g1, d2.g AS g2, coalesce(tier IN ('00', '01', '02', '03'), false) AS tier_ok,
   keep IN (SELECT p FROM pl WHERE tier = '00') AS keep_deleted
   FROM pl LEFT JOIN known k1 ON p = k1.k LEFT JOIN known k2 ON keep = k2.k LEFT JOIN dups d1 ON p = d1.k LEFT JOIN dups d2 ON keep = d2.k),
 broken AS (
-  SELECT 'proxy' AS rule, p, '' AS detail FROM x WHERE {_cls('p')} = 'proxy'
+  SELECT 'proxy' AS rule, p, '' AS detail FROM x WHERE {_cls('p')} = 'proxy' OR p IN (SELECT path FROM lost)
+  UNION ALL SELECT 'primary_missing', NULL, '' FROM plan WHERE "primary" IS NULL OR nfc_normalize("primary") = ''
   UNION ALL SELECT 'sidecar', p, '' FROM x WHERE {_ext('p')} IN ('.xmp', '.aae', '.thm', '.nksc')
   UNION ALL SELECT 'unknown', p, '' FROM x WHERE NOT known
   UNION ALL SELECT 'repeated', p, '' FROM x WHERE known AND nth > 1
@@ -565,7 +568,12 @@ broken AS (
 
 def _broken(spark: SparkSession, d: str) -> DataFrame:
     scan = table(spark, d, "scan").select("primary")
-    return planning.validate_plan(_plan(spark, d), scan, _dups(spark, d), order=["ord"], nfc=nfc)
+    # Entries without a primary have no revisions; each is judged.
+    nameless = table(spark, d, "plan").where("primary IS NULL").select("primary", "tier", "reason", "keep").withColumn("ord", F.lit(None).cast("string"))
+    f = _files(spark, d)
+    _, lost = catalog.attach(f.where(F.col("cls").isin("image", "raw", "video")), f.where(F.col("cls").isin("sidecar", "proxy")), ["parent", "stem_l"])
+    plan = _plan(spark, d).select("primary", "tier", "reason", "keep", "ord").unionByName(nameless)
+    return planning.validate_plan(plan, scan, _dups(spark, d), orphans=lost, order=["ord"], nfc=nfc)
 
 
 @query(_PLAN_SQL + 'SELECT rule, p AS "primary", detail FROM broken')
@@ -814,11 +822,15 @@ def eye_states(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", state.getField("eye_state").alias("eye_state"))
 
 
-def image_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Measures of 8 x 8 images made of embeddings, for image_statistics and image_hashes."""
+def embedded_images(spark: SparkSession, d: str) -> DataFrame:
+    """8 x 8 images made of embeddings."""
     levels = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor((x.cast("double") + 1) * 128).cast("bigint"), F.lit(256))), 2, "0"))
-    images = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(levels, "")).alias("data"))
-    return pixels.image_measures(images)
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(levels, "")).alias("data"))
+
+
+def image_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of such images, for image_statistics and image_hashes."""
+    return pixels.image_measures(embedded_images(spark, d))
 
 
 @query(

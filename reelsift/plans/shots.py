@@ -430,9 +430,8 @@ def relative_eyes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_FACES} SELECT count(*) AS n_pairs, (SELECT count(*) FROM (SELECT a FROM same UNION SELECT b FROM same)) AS n_faces FROM same")
 def person_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of faces in different photos of a cluster that are one person."""
-    p = clusters.same_person_pairs(_faces(spark, d), ["label"])
-    ends = p.select("a").unionByName(p.select(F.col("b").alias("a"))).agg(F.count_distinct("a").alias("n_faces"))
-    return p.agg(F.count(F.lit(1)).alias("n_pairs")).join(F.broadcast(ends))
+    p = clusters.same_person_pairs(_faces(spark, d), ["label"]).select(F.explode(F.array("a", "b")).alias("face"))
+    return p.agg((F.count(F.lit(1)) / 2).cast("bigint").alias("n_pairs"), F.count_distinct("face").alias("n_faces"))
 
 
 @query(
@@ -501,6 +500,21 @@ def image_hashes(spark: SparkSession, d: str) -> DataFrame:
     return plans.image_measures(spark, d).select(F.col("path").cast("bigint").alias("vec_id"), "phash")
 
 
+@query(
+    """WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 128)::INT % 256) AS v FROM embeddings),
+p AS (SELECT vec_id, v[r * 8 + c + 1] AS z FROM g, range(1, 3 + 4) a(r), range(0, 5) b(c) WHERE vec_id % 7 <> 0)
+SELECT vec_id, round(avg(z), 4) AS mean, round(stddev_pop(z), 4) AS std, coalesce(avg(z) < 22 AND stddev_pop(z) < 18, false) AS covered FROM embeddings LEFT JOIN p USING (vec_id) GROUP BY vec_id"""
+)
+def eye_patches(spark: SparkSession, d: str) -> DataFrame:
+    """M6: mean and deviation of a patch around the eyes, and whether that is covered; every seventh image has too few landmarks."""
+    images = plans.embedded_images(spark, d)
+    # Landmarks from (2, 3) to (3, 5), widened by two points to each side and cut at the picture's edge.
+    xs = F.when(F.pmod(F.col("path").cast("bigint"), F.lit(7)) != 0, F.array(*[F.lit(float(x)) for x in (2, 3, 2, 3, 2, 3, 2, 3)]))
+    ys = F.array(*[F.lit(float(y)) for y in (3, 5, 4, 3, 5, 4, 3, 5)])
+    p = pixels.eye_patches(images.withColumns({"xs": xs, "ys": ys}))
+    return p.select(F.col("path").cast("bigint").alias("vec_id"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), eyes.covered_eye(F.col("mean"), F.col("std")).alias("covered"))
+
+
 @query("SELECT vec_id, 3 AS n_shifts, (vec_id % 4)::DOUBLE AS dx, (vec_id // 4 % 3)::DOUBLE AS dy FROM embeddings")
 def planted_shifts(spark: SparkSession, d: str) -> DataFrame:
     """Shifts between frames by phase correlation; each video is a picture that was moved by a known shift per frame, its last frame cut short."""
@@ -511,6 +525,38 @@ def planted_shifts(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("vec_id").agg(F.count(F.lit(1)).cast("int").alias("n_shifts"), (F.round(F.percentile("dx", 0.5)) + 0.0).alias("dx"), (F.round(F.percentile("dy", 0.5)) + 0.0).alias("dy"))
 
 
+@query(_BUILT + " SELECT time_source, kind, count(*) AS n FROM built GROUP BY ALL")
+def time_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Where the times of items built from files come from."""
+    return _built(spark, d)[0].groupBy("time_source", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_ITEMS} SELECT CASE WHEN len(list_filter(coalesce(companions, []), lambda x: {_ext('x')} = '.lrv' OR upper({_NAME.format(p='x')}) LIKE 'LRV\\_%' ESCAPE '\\')) > 0 THEN 'lrv' ELSE 'source' END AS analysis_src, count(*) AS n FROM items WHERE kind = 'video' GROUP BY 1""")
+def analysis_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How many videos are analysed from a proxy and how many from themselves."""
+    v = items(spark, d, "kind", "companions").where("kind = 'video'")
+    src = F.when(m.source_choice(F.col("primary"), F.col("companions")) != F.col("primary"), "lrv").otherwise("source")
+    return v.groupBy(src.alias("analysis_src")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(plans._VIDEO_FLAGS + "SELECT flag, count(*) AS n FROM (SELECT unnest(fl) AS flag FROM vflagged) GROUP BY flag")
+def video_flag_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """How often each flag of videos is set."""
+    return plans._video_flags(spark, d).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_ITEMS}, x AS (SELECT coalesce(nullif(trim(device), ''), '(unknown)') AS device, kind, coalesce(companions, []) AS c, len(list_filter(coalesce(companions, []), lambda y: {_ext('y')} IN ('.dng', '.cr2', '.cr3', '.nef', '.arw', '.raf', '.orf', '.rw2'))) > 0 AS raw, len(list_filter(coalesce(companions, []), lambda y: {_parent('y')} <> {_parent(plans._P)})) > 0 AS far FROM items)
+SELECT device, count_if(kind = 'image' AND raw) AS pairs, count_if(kind IN ('image', 'raw') AND far) AS cross_dir FROM x GROUP BY device"""
+)
+def device_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Per device its images with a raw file, and items with files in another folder."""
+    i = items(spark, d, "device", "kind", "companions")
+    far = F.exists(F.coalesce("companions", F.array().cast("array<string>")), lambda c: m.parent_of(c) != m.parent_of(F.col("primary")))
+    photo = F.col("kind").isin("image", "raw")
+    return i.groupBy(F.coalesce(known("device"), F.lit("(unknown)")).alias("device")).agg(F.count_if(is_mixed(F.col("kind"), F.col("companions"))).alias("pairs"), F.count_if(photo & far).alias("cross_dir"))
+
+
 # Plans, ledgers, reports -----------------------------------------------------------------------------------------------
 
 
