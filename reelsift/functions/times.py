@@ -44,7 +44,11 @@ def _first(*found: tuple[Column, Column]) -> Column:
 
 def tag_time(subsec: Column, original: Column, creation: Column, create: Column, is_video: Column, zone: Column) -> Column:
     """(time, source): SubSecDateTimeOriginal, DateTimeOriginal, CreationDate if it has an offset, CreateDate (UTC in videos)."""
-    a, b, c, e = (parse_stamp(x) for x in (subsec, original, creation, create))
+    return tag_time_of(*(parse_stamp(x) for x in (subsec, original, creation, create)), is_video, zone)
+
+
+def tag_time_of(a: Column, b: Column, c: Column, e: Column, is_video: Column, zone: Column) -> Column:
+    """As :func:`tag_time`, of stamps that are parsed already; columns keep the expression small."""
     return _first(
         (seconds(a, zone), F.lit("SubSecDateTimeOriginal")),
         (seconds(b, zone), F.lit("DateTimeOriginal")),
@@ -63,9 +67,12 @@ def other_time(subsec: Column, original: Column, offset: Column, tag: Column, mt
 
     ``clock_offset`` corrects the model's clock and is added, 0 where it is null.
     """
-    o = parse_stamp(original)
-    joined = parse_stamp(F.concat(F.trim(original), F.trim(offset)))
+    return other_time_of(parse_stamp(subsec), parse_stamp(original), parse_stamp(F.concat(F.trim(original), F.trim(offset))), offset, tag, mtime, zone, clock_offset)
+
+
+def other_time_of(a: Column, o: Column, joined: Column, offset: Column, tag: Column, mtime: Column, zone: Column, clock_offset: Column) -> Column:
+    """As :func:`other_time`, of the stamps of SubSecDateTimeOriginal, of DateTimeOriginal and of that with its offset behind it."""
     with_offset = F.coalesce(F.when(o["offset_s"].isNull(), seconds(joined, zone)), seconds(o, zone))
     named = F.when(F.coalesce(offset, F.lit("")) != "", "DateTimeOriginal+OffsetTimeOriginal").otherwise("DateTimeOriginal")
-    best = _first((seconds(parse_stamp(subsec), zone), F.lit("SubSecDateTimeOriginal")), (with_offset, named), (tag["time"], tag["source"]), (mtime, F.lit("mtime")))
+    best = _first((seconds(a, zone), F.lit("SubSecDateTimeOriginal")), (with_offset, named), (tag["time"], tag["source"]), (mtime, F.lit("mtime")))
     return F.struct((best["time"] + F.coalesce(clock_offset, F.lit(0.0))).alias("time"), best["source"].alias("source"))

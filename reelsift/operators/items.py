@@ -61,12 +61,18 @@ def build_items(files: DataFrame, tags: DataFrame, zone: Column, cfg: Config = C
     near = roles.where("role = 'companion'").groupBy(F.col("item").alias("path")).agg(F.array_sort(F.collect_list("path")).alias("companions"), F.max((cls == "video").cast("int")).alias("has_live"))
     mine = roles.where("role = 'item'").select("path").join(near, "path", "left").join(f, "path")
     video, still = F.col("kind") == "video", F.col("kind") != "video"
-    created, modified = (times.seconds(times.parse_stamp(F.col(c)), F.lit("UTC")) for c in ("CreateDate", "ModifyDate"))
-    tag = times.tag_time(F.col("SubSecDateTimeOriginal"), F.col("DateTimeOriginal"), F.col("CreationDate"), F.col("CreateDate"), F.col("cls") == "video", zone)
     offsets = F.create_map(*[F.lit(x) for kv in clock_offsets.items() for x in kv]) if clock_offsets else None
-    clock = F.lit(0.0) if offsets is None else F.coalesce(F.get(F.map_values(F.map_filter(offsets, lambda k, v: k == F.trim(F.col("Model")))), F.lit(0)), F.lit(0.0))
-    when = F.when(F.col("vendor"), times.vendor_time(p, tag, F.col("mtime"), zone)).otherwise(times.other_time(F.col("SubSecDateTimeOriginal"), F.col("DateTimeOriginal"), F.col("OffsetTimeOriginal"), tag, F.col("mtime"), zone, clock))
-    rows = media_fields(mine, cfg).withColumns({"kind": F.col("cls"), "when": when, "slow": F.when(F.col("cls") == "video", m.slow_motion(F.col("duration"), created, modified))})
+    clock = F.lit(0.0) if offsets is None else F.coalesce(F.try_element_at(offsets, F.coalesce(F.trim(F.col("Model")), F.lit(""))), F.lit(0.0))
+    # Step by step in columns: a stamp is parsed once, however many rules look at it.
+    stamps = {"__sub": "SubSecDateTimeOriginal", "__dto": "DateTimeOriginal", "__made": "CreationDate", "__new": "CreateDate", "__end": "ModifyDate"}
+    rows = media_fields(mine, cfg).withColumns({k: times.parse_stamp(F.col(c)) for k, c in stamps.items()} | {"kind": F.col("cls"), "__off": times.parse_stamp(F.concat(F.trim(F.col("DateTimeOriginal")), F.trim(F.col("OffsetTimeOriginal")))), "__name": times.name_time(p, zone)})
+    s = {k: F.col(k) for k in [*stamps, "__off"]}
+    rows = rows.withColumn("__tag", times.tag_time_of(s["__sub"], s["__dto"], s["__made"], s["__new"], video, zone))
+    tag = F.col("__tag")
+    named = F.struct(F.coalesce("__name", tag["time"], F.col("mtime")).alias("time"), F.when(F.col("__name").isNotNull(), F.lit("filename")).when(tag.isNotNull(), tag["source"]).when(F.col("mtime").isNotNull(), F.lit("mtime")).alias("source"))
+    other = times.other_time_of(s["__sub"], s["__dto"], s["__off"], F.col("OffsetTimeOriginal"), tag, F.col("mtime"), zone, clock)
+    slow = m.slow_motion(F.col("duration"), times.seconds(s["__new"], F.lit("UTC")), times.seconds(s["__end"], F.lit("UTC")))
+    rows = rows.withColumns({"when": F.when(F.col("vendor"), named).otherwise(other), "slow": F.when(video, slow)})
     embedded = still & m.is_live_embedded(F.col("MotionPhoto"))
     items = rows.select(
         p.alias("primary"),
