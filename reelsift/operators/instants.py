@@ -112,14 +112,17 @@ def normalise_instants(
     entry = F.inline(F.array(*[F.struct(F.lit(n).alias("source"), F.col(f"__raw{i}").alias("raw"), F.col(f"__zone{i}").alias("zone")) for i, (n, _, _z) in enumerate(raws)]))
     dictionary = instant_dictionary(rows.select(entry), path)
     spread = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if kind in ("string", "bigint", "double", "int")])
+    # Joined by 128 bits of the key, so that the texts stay behind.
+    key = lambda raw, zone: {"1": F.xxhash64(raw, zone), "2": F.xxhash64(F.lit(17), raw, zone)}
+    rows = rows.withColumns({f"__k{i}{j}": h for i in range(len(raws)) for j, h in key(F.col(f"__raw{i}"), F.col(f"__zone{i}")).items()} | {f"__no{i}": F.col(f"__raw{i}").isNull() for i in range(len(raws))} | {"__spread": spread})
+    rows = rows.drop(*[f"__{c}{i}" for i in range(len(raws)) for c in ("raw", "zone")])
     found = []
     for i, (name, _, _z) in enumerate(raws):
-        d = dictionary.where(F.col("source") == name).select(F.col("raw").alias(f"__k{i}"), F.col("zone").alias(f"__z{i}"), F.lit(0).cast("bigint").alias(f"__s{i}"), F.col("micros").alias(f"__m{i}"))
-        done = F.coalesce(*found, F.lit(None).cast("bigint")).isNotNull()
-        # A row that has its instant already needs no further entry.
-        idle = F.col(f"__raw{i}").isNull() | done
-        rows = rows.withColumns({f"__k{i}": F.when(~idle, F.col(f"__raw{i}")).otherwise(F.lit("")), f"__z{i}": F.coalesce(F.col(f"__zone{i}"), F.lit("")), f"__s{i}": F.when(idle, spread).otherwise(F.lit(0))})
-        rows = rows.join(d, [f"__k{i}", f"__z{i}", f"__s{i}"], "left")
+        d = dictionary.where(F.col("source") == name).select(*[h.alias(f"__d{j}") for j, h in key(F.col("raw"), F.col("zone")).items()], F.col("micros").alias(f"__m{i}"))
+        # A row without a key, or that has its instant already, needs no entry: it is spread, and matches none.
+        idle = F.col(f"__no{i}") | F.coalesce(*found, F.lit(None).cast("bigint")).isNotNull()
+        rows = rows.withColumns({"__j1": F.when(idle, F.col("__spread")).otherwise(F.col(f"__k{i}1")), "__j2": F.when(~idle, F.col(f"__k{i}2"))})
+        rows = rows.join(d, (F.col("__j1") == F.col("__d1")) & (F.col("__j2") == F.col("__d2")), "left").drop("__d1", "__d2", "__j1", "__j2")
         found.append(F.col(f"__m{i}"))
     rows = rows.withColumn(out, F.coalesce(*found))
-    return rows.drop(*[c for c in rows.columns if c[:2] == "__" and c[2:-1] in ("raw", "zone", "k", "z", "s", "m")])
+    return rows.drop("__spread", *[f"__{c}" for i in range(len(raws)) for c in (f"k{i}1", f"k{i}2", f"no{i}", f"m{i}")])
