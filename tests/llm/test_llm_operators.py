@@ -1,5 +1,6 @@
 """The operators against brute force, with their defined edge cases."""
 
+import math
 import random
 from itertools import combinations
 
@@ -187,6 +188,84 @@ def test_a_crowd_of_identical_sources_is_one_class(spark):
     assert (got["big", "f"].value, got["big", "f"].n_sources) == ("same", 4000) and got["big", "g"].n_sources == 1
 
 
+def fused_by_hand(rows, rounds=4):
+    """The rounds over all pairs of sources with different claims, one after the other; a source has one value of a field."""
+    copy, false, likely = 0.8, 10, lambda x, y: 1 / (1 + 9 / (0.5 * math.exp(max(min(x, 500), -500)) + 0.5 * math.exp(max(min(y, 500), -500))))
+    claims, late, classes = {}, {}, {}
+    for o, f, s, v, at in rows:
+        claims.setdefault(s, {})[o, f] = v
+        late[o, f, s] = (at is None, at or 0, s)
+    for s, c in claims.items():
+        classes.setdefault(tuple(sorted(c.items())), []).append(s)
+    members = {min(m): m for m in classes.values()}
+    first = {(g, c): min(late[(*g, s)] for s in m) for c, m in members.items() for g in claims[c]}
+    votes = {}
+    for c in members:
+        for g, v in claims[c].items():
+            votes.setdefault(g, {}).setdefault(v, []).append(c)
+    both = {(a, b): [g for g in claims[a] if claims[b].get(g) == claims[a][g]] for a, b in combinations(sorted(members), 2)}
+    both = {p: gs for p, gs in both.items() if gs}
+    apart = {(a, b): len(claims[a].keys() & claims[b].keys()) - len(gs) for (a, b), gs in both.items()}
+    agree = math.log((copy + 0.644 * 0.2) / 0.644)
+    dep = {p: likely(*[len(gs) * agree + apart[p] * math.log(0.2)] * 2) for p, gs in both.items()}
+    own, acc = {c: likely(*[len(claims[c]) * agree] * 2) for c in members}, dict.fromkeys(members, 0.8)
+    for _ in range(rounds):
+        post = {}
+        for g, by in votes.items():
+            score = {}
+            for v, cs in by.items():
+                score[v] = 0
+                for c in cs:
+                    free = math.prod((1 - copy * dep[min(c, x), max(c, x)]) ** len(members[x]) for x in cs if first[g, x] < first[g, c])
+                    n = len(members[c])
+                    score[v] += math.log(false * acc[c] / (1 - acc[c])) * (1 if n == 1 else (1 - (1 - copy * own[c]) ** n) / (copy * own[c])) * free
+            score, most = {v: round(x, 9) for v, x in score.items()}, round(max(score.values()), 9)
+            mass = sum(math.exp(x - most) for x in score.values()) + max(false + 1 - len(score), 0) * math.exp(-most)
+            post |= {(g, v): math.exp(x - most) / mass for v, x in score.items()}
+        acc = {c: min(max((sum(post[gv] for gv in claims[c].items()) + 1.6) / (len(claims[c]) + 2), 0.01), 0.99) for c in members}
+
+        def ratio(o, p, q, kt, ks):
+            pt, pf = p * q, (1 - p) * (1 - q) / false
+            return kt * math.log((o * copy + pt * 0.2) / pt) + max(ks - kt, 0) * math.log(((1 - o) * copy + pf * 0.2) / pf)
+
+        own = {c: likely(*[ratio(acc[c], acc[c], acc[c], sum(post[gv] for gv in claims[c].items()), len(claims[c]))] * 2) for c in members}
+        dep = {(a, b): likely(*[ratio(x, acc[a], acc[b], sum(post[g, claims[a][g]] for g in gs), len(gs)) + apart[a, b] * math.log(0.2) for x in (acc[a], acc[b])]) for (a, b), gs in both.items()}
+    best = {g: max(post[g, v] for v in by) for g, by in votes.items()}
+    won = {g: min(v for v in by if post[g, v] == best[g]) for g, by in votes.items()}
+    return {g: (v, round(best[g], 6), sum(len(members[c]) for c in votes[g][v])) for g, v in won.items()}
+
+
+def fused(spark, rows):
+    df = spark.createDataFrame(rows, "object string, field string, source string, value string, at double")
+    return {(r.object, r.field): (r.value, round(r.posterior, 6), r.n_sources) for r in survivor.fuse(df).collect()}
+
+
+def test_copies_are_discounted_however_many_share_a_value(spark):
+    rnd = random.Random(26)
+    rows = []
+    for o in range(40):
+        truth, lie = f"t{o}", f"t{o}" if rnd.random() < 0.3 else f"lie{o % 7}"
+        rows += [(f"o{o:02d}", "f", f"good{i}", truth if rnd.random() < 0.9 else f"w{rnd.randrange(9)}", 1.0) for i in range(4)]
+        # Copies are of one class nowhere: each has a value of its own, or one of a few others, in some place.
+        rows += [(f"o{o:02d}", "f", f"copy{i:02d}", f"own{i}" if i % 40 == o else "slip" if i * 7 % 40 == o else lie, 2.0) for i in range(60)]
+    got = fused(spark, rows)
+    assert sum(v[0] == f"t{int(g[0][1:])}" for g, v in got.items()) > 33
+    assert got == fused_by_hand(rows)
+
+
+def test_rounds_match_all_pairs_in_groups_of_many_records(spark):
+    rnd = random.Random(27)
+    rows = []
+    for o, n in enumerate((150, 90, 60, 12, 3, 1)):
+        for i in range(n):
+            at = rnd.choice([None, rnd.randrange(40) / 4])
+            values = {"scene": rnd.choice("AAAAB"), "hdr": rnd.choice("tf"), "eyes": rnd.choice(["0"] * 20 + ["1", "2"]), "sharp": str(rnd.randrange(n * n // 2 + 1))}
+            rows += [(f"o{o}", f, f"s{o}-{i:03d}", v, at) for f, v in values.items() if rnd.random() < 0.9]
+            # Some repeat the one before.
+            rows += [(f"o{o}", f, f"s{o}-{i:03d}-again", v, at) for f, v in values.items() if i % 30 == 0]
+    assert fused(spark, rows) == fused_by_hand(rows)
+
+
 def test_fused_groups_have_their_records_as_sources(spark, tmp_path):
     # (primary, dup_group, device, scene, eyes_closed_n, sharp_p90, suggested_keep)
     rows = [("a", "D1", "cam", "S1", 1, 5.0, "a"), ("b", "D1", "cam", "S1", 1, 5.0, "a"), ("c", "D1", "cam", "S9", 0, 9.0, "c")]
